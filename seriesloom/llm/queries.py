@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import encoding, token_output
+from .common import documents, fresh_path
+from .decontam import contaminated
 from .near_dedup import near_duplicates
 
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 #: Words and five-word shingles of a text in SQL: A-Z lower-cased, words split at space and 0x09-0x0D.
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = "unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 4], ' '))))"
@@ -27,5 +36,34 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.v, d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS v FROM reach GROUP BY u) m ON m.u = d.doc_id
 """
 
-QUERIES = {"op4_near_dedup": op4_near_dedup}
-ORACLE_SQL = {"op4_near_dedup": OP4_SQL}
+
+def op8_decontamination(spark, sf_dir):
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT doc_id, {_SHINGLES} AS g FROM d WHERE len(w) > 0), s AS (SELECT item_id, {_SHINGLES} AS g FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_common, count(*) / n_item AS containment
+FROM ds JOIN s USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+
+def op9_bpe(spark, sf_dir):
+    return encoding.round_trip_digests(documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_token_output(spark, sf_dir):
+    docs, folder = documents(spark, sf_dir), fresh_path(spark, "tokens")
+    shards = token_output.write_tokens(docs, folder, token_output.Settings(tokenizer_path()))
+    return token_output.read_tokens(spark, folder, shards, with_ids=False).drop("ids")
+
+
+QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_bpe": op9_bpe,
+    "op10_token_output": op10_token_output,
+}
+ORACLE_SQL = {"op4_near_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
