@@ -8,6 +8,7 @@ from . import encoding, token_output
 from .common import documents, fresh_path
 from .decontam import contaminated
 from .near_dedup import near_duplicates
+from .pii import personal_data
 
 
 def tokenizer_path() -> str:
@@ -37,6 +38,10 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v)
 """
 
 
+def op6_pii(spark, sf_dir):
+    return personal_data(documents(spark, sf_dir))
+
+
 def op8_decontamination(spark, sf_dir):
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,7 @@ def op10_token_output(spark, sf_dir):
 
 QUERIES = {
     "op4_near_dedup": op4_near_dedup,
+    "op6_pii": op6_pii,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_token_output": op10_token_output,
