@@ -9,6 +9,7 @@ from .common import documents, fresh_path
 from .decontam import contaminated
 from .near_dedup import near_duplicates
 from .pii import personal_data
+from .toxicity import toxicity
 
 
 def tokenizer_path() -> str:
@@ -42,6 +43,10 @@ def op6_pii(spark, sf_dir):
     return personal_data(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark, sf_dir):
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -68,6 +73,7 @@ def op10_token_output(spark, sf_dir):
 QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_token_output": op10_token_output,
