@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import encoding, token_output
+from .ann import nearest
 from .common import documents, fresh_path
 from .decontam import contaminated
 from .near_dedup import near_duplicates
@@ -39,6 +40,21 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v)
 """
 
 
+def op5_ann(spark, sf_dir):
+    vectors = documents(spark, sf_dir, "embeddings")
+    return nearest(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])))) AS score
+FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op6_pii(spark, sf_dir):
     return personal_data(documents(spark, sf_dir))
 
@@ -72,10 +88,11 @@ def op10_token_output(spark, sf_dir):
 
 QUERIES = {
     "op4_near_dedup": op4_near_dedup,
+    "op5_ann": op5_ann,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_token_output": op10_token_output,
 }
-ORACLE_SQL = {"op4_near_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL = {"op4_near_dedup": OP4_SQL, "op5_ann": OP5_SQL, "op8_decontamination": OP8_SQL}
