@@ -118,7 +118,7 @@ def train_dictionary(docs: DataFrame, s: Settings) -> bytes:
 
     n = docs.count()
     keep = F.lit(True) if n <= s.sample_documents else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * s.sample_documents / n)
-    got = docs.select("doc_id", "text").filter(keep).coalesce(1).mapInArrow(run, "dictionary binary").collect()
+    got = docs.select("doc_id", "text").filter(keep).repartition(1).mapInArrow(run, "dictionary binary").collect()
     return bytes(got[0][0]) if got else b""
 
 
