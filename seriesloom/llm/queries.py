@@ -8,6 +8,7 @@ from . import encoding, token_output
 from .ann import nearest
 from .common import documents, fresh_path
 from .decontam import contaminated
+from .language_id import identify_pages
 from .near_dedup import near_duplicates
 from .pii import personal_data
 from .toxicity import toxicity
@@ -24,6 +25,10 @@ _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGH
 _SHINGLES = "unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 4], ' '))))"
 
 
+def op2_language_id(spark, sf_dir):
+    return identify_pages(documents(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
 def op4_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -87,6 +92,7 @@ def op10_token_output(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_ann": op5_ann,
     "op6_pii": op6_pii,
