@@ -9,6 +9,7 @@ from .ann import nearest
 from .common import documents, fresh_path
 from .decontam import contaminated
 from .language_id import identify_pages
+from .licenses import TEMPLATES, scan
 from .near_dedup import near_duplicates
 from .pii import personal_data
 from .toxicity import toxicity
@@ -29,6 +30,23 @@ def op2_language_id(spark, sf_dir):
     return identify_pages(documents(spark, sf_dir, "pages"), documents(spark, sf_dir))
 
 
+def op3_licenses(spark, sf_dir):
+    return scan(documents(spark, sf_dir))
+
+
+_LICENSE_WORDS = "list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\"''()[]*' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz' || repeat(' ', 18)), ' '), lambda x: x <> '')"
+_FIVE = "unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))"
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_LICENSE_WORDS} AS w FROM documents),
+i AS (SELECT license, {_LICENSE_WORDS} AS w FROM (VALUES {_TEMPLATE_ROWS}) t(license, text)),
+ds AS (SELECT doc_id, {_FIVE} AS g FROM d WHERE len(w) >= 5), s AS (SELECT license, {_FIVE} AS g FROM i WHERE len(w) >= 5),
+n AS (SELECT license, count(*) AS n_template FROM s GROUP BY license)
+SELECT doc_id, license, n_template, count(*) AS n_common, count(*) / n_template AS containment
+FROM ds JOIN s USING (g) JOIN n USING (license) GROUP BY doc_id, license, n_template HAVING 100 * count(*) >= 80 * n_template
+"""
+
+
 def op4_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -93,6 +111,7 @@ def op10_token_output(spark, sf_dir):
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_licenses": op3_licenses,
     "op4_near_dedup": op4_near_dedup,
     "op5_ann": op5_ann,
     "op6_pii": op6_pii,
@@ -101,4 +120,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_token_output": op10_token_output,
 }
-ORACLE_SQL = {"op4_near_dedup": OP4_SQL, "op5_ann": OP5_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL = {"op3_licenses": OP3_SQL, "op4_near_dedup": OP4_SQL, "op5_ann": OP5_SQL, "op8_decontamination": OP8_SQL}
