@@ -221,7 +221,7 @@ class Ragged:
 class WordTable:
     """Encodes texts word by word and remembers at most `limit` words; `encode_words` fills in unseen ones."""
 
-    def __init__(self, encode_words, limit: int = 600_000):
+    def __init__(self, encode_words, limit: int = 1_200_000):
         self.encode_words, self.limit = encode_words, limit
         self.seen, self.table = Interned(), Ragged()
 
