@@ -12,6 +12,7 @@ from .language_id import identify_pages
 from .licenses import TEMPLATES, scan
 from .near_dedup import near_duplicates
 from .pii import personal_data
+from .suffix_dedup import repeated_passages
 from .toxicity import toxicity
 
 
@@ -26,6 +27,12 @@ _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGH
 _SHINGLES = "unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 4], ' '))))"
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    found = repeated_passages(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.stop - x.start)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark, sf_dir):
     return identify_pages(documents(spark, sf_dir, "pages"), documents(spark, sf_dir))
 
@@ -110,6 +117,7 @@ def op10_token_output(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op3_licenses": op3_licenses,
     "op4_near_dedup": op4_near_dedup,
