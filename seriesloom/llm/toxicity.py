@@ -95,14 +95,15 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> tuple[np.ndarray, np.
     keep = F.lit(True) if total <= s.sample_rows else pick < int((1 << 30) * s.sample_rows / total)
     sample = labelled.filter(keep).select("text", F.col("y").cast("double"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", F.lit(29)).alias("turn"))
     sample = stage(sample, "toxicity-sample")
-    z, n = np.zeros(_bias(s) + 1), np.zeros(_bias(s) + 1)
-    for turn in range(s.passes):
-        start = sample.sparkSession.sparkContext.broadcast((np.flatnonzero(n), z[n > 0], n[n > 0]))
+    size = _bias(s) + 1
+    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    for _ in range(s.passes):
+        start = sample.sparkSession.sparkContext.broadcast((z, n))
 
-        def learn(groups, start=start, turn=turn):
+        def learn(groups, start=start):
             for t in groups:
-                m = Ftrl(_bias(s) + 1, s)
-                i, m.z[start.value[0]], m.n[start.value[0]] = start.value
+                m = Ftrl(0, s)
+                m.z, m.n = (x.astype(np.float64) for x in start.value)
                 t = t.sort_by("turn")
                 data, offsets = byte_view(t.column("text"))
                 f, row = features(data, offsets, s.bits)
@@ -110,17 +111,19 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> tuple[np.ndarray, np.
                 f, at = f[order], np.searchsorted(row[order], np.arange(t.num_rows + 1))
                 for j, y in enumerate(t.column("y").to_pylist()):
                     m.learn(np.append(np.unique(f[at[j] : at[j + 1]]), _bias(s)), y, boost if y > 0 else 1.0)
-                used = np.flatnonzero(m.n)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(m.z[used]), pa.array(m.n[used])], names=["i", "z", "n"])
-
-        got = by_key(sample, shards, ["shard"], learn, "i long, z double, n double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
-        z, n = np.zeros(_bias(s) + 1), np.zeros(_bias(s) + 1)
-        z[got.i], n[got.i] = got.z, got.n
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.z, m.n)], names=["z", "n"])
+
+        total_z, total_n, states = np.zeros(size), np.zeros(size), 0
+        for r in by_key(sample, shards, ["shard"], learn, "z binary, n binary").toLocalIterator():  # one packed state per shard
+            total_z += np.frombuffer(r.z, np.float32)
+            total_n += np.frombuffer(r.n, np.float32)
+            states += 1
+        z, n = ((x / max(states, 1)).astype(np.float32) for x in (total_z, total_n))
         start.unpersist()
     unstage(sample)
     m = Ftrl(0, s)
-    m.z, m.n = z, n
-    w = m.weights(np.arange(len(z)))
+    m.z, m.n = z.astype(np.float64), n.astype(np.float64)
+    w = m.weights(np.arange(size))
     keep_ = np.flatnonzero(w)
     return keep_, w[keep_]
 
