@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_key, byte_view, stage, text_slices, unstage
+from .common import arrow_batches, by_key, byte_view, pieces, stage, text_slices, unstage
 from .shingles import U64, mix, word_hashes, word_spans
 
 _SALTS = (U64(0x51ED270B), U64(0x2545F491), U64(0x9E3779B1))
@@ -106,11 +106,13 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> tuple[np.ndarray, np.
                 m.z, m.n = (x.astype(np.float64) for x in start.value)
                 t = t.sort_by("turn")
                 data, offsets = byte_view(t.column("text"))
-                f, row = features(data, offsets, s.bits)
-                order = np.argsort(row, kind="stable")
-                f, at = f[order], np.searchsorted(row[order], np.arange(t.num_rows + 1))
-                for j, y in enumerate(t.column("y").to_pylist()):
-                    m.learn(np.append(np.unique(f[at[j] : at[j + 1]]), _bias(s)), y, boost if y > 0 else 1.0)
+                labels = t.column("y").to_pylist()
+                for i, k in pieces(offsets):
+                    f, row = features(data[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i], s.bits)
+                    order = np.argsort(row, kind="stable")
+                    f, at = f[order], np.searchsorted(row[order], np.arange(k - i + 1))
+                    for j, y in enumerate(labels[i:k]):
+                        m.learn(np.append(np.unique(f[at[j] : at[j + 1]]), _bias(s)), y, boost if y > 0 else 1.0)
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.z, m.n)], names=["z", "n"])
 
         total_z, total_n, states = np.zeros(size), np.zeros(size), 0
