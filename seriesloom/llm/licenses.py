@@ -99,25 +99,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, s: Settings |
     index = {(b, min(h * f & MASK for h in hashes[i : i + PIECE]), name) for name, _, hashes in found for i in range(0, len(hashes), PIECE) for b, f in enumerate(factors)}
     if not index:
         return spark.createDataFrame([], "doc_id long, license string, n_template long, n_common long, containment double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
-    hashed = rows.select("doc_id", F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: _shingle(F.col("w"), i)).alias("h"))
+    # no filter on the words: it would be pushed below them and split every text twice
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", words(F.col("text")).alias("w"))
+    places = F.when(F.size("w") >= 5, F.sequence(F.lit(0), F.size("w") - 5))
+    hashed = rows.select("doc_id", "text", F.transform(places, lambda i: _shingle(F.col("w"), i)).alias("h"))
     zero = F.lit(0).cast("long")
     window = lambda i: F.struct(*(F.coalesce(F.get("h", i + k), F.get("h", i), zero).alias(f"h{k}") for k in range(WINDOW)))
-    windows = hashed.select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(STEP)), window)))
+    starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(STEP)))
+    windows = hashed.select("doc_id", "text", F.inline(F.transform(starts, window)))
     least = [F.least(*(_value(F.col(f"h{k}"), f) for k in range(WINDOW))) for f in factors]
     hit = None
     for b, v in enumerate(least):
-        one = v.isin([x for x in sorted({x for c, x, _ in index if c == b})])
+        one = v.isin(sorted({x for c, x, _ in index if c == b}))
         hit = one if hit is None else hit | one
-    # the few windows that hit a band are dealt by document; only for them the bands are looked up one by one
-    hits = windows.filter(hit).repartition("doc_id")
-    bands = hits.select("doc_id", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in enumerate(least)))).alias("x")).select("doc_id", "x.*")
+    # a lambda keeps this filter out of whole-stage code, where it would be one method too long to be compiled; outside,
+    # Spark gives every band a method of its own. The lambda itself is true and only reached by windows that hit.
+    hit = hit & F.exists(F.array("h0"), lambda x: x >= 0)
+    # the few windows that hit a band are dealt by document, with its text; only for them bands are looked up one by one
+    hits = windows.filter(hit).withColumn("key", F.xxhash64("text")).repartition("doc_id", "key")
+    looked = hits.select("doc_id", "key", "text", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in enumerate(least)))).alias("x")).select("doc_id", "key", "text", "x.*")
     table = spark.createDataFrame(sorted(index), "band int, value long, license string")
-    pairs = bands.join(F.broadcast(table), ["band", "value"]).select("doc_id", "license").distinct().groupBy("doc_id").agg(F.collect_set("license").alias("licenses"))
-    again = rows.withColumnRenamed("doc_id", "_d")
+    pairs = looked.join(F.broadcast(table), ["band", "value"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.collect_set("license").alias("licenses"))
     own = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.concat_ws(" ", F.slice("w", i, 5)))
     texts = F.create_map(*(x for name, t, _ in found for x in (F.lit(name), F.array(*(F.lit(y) for y in sorted(set(t)))))))
-    exact = again.join(pairs, F.col("_d").eqNullSafe(F.col("doc_id"))).select("doc_id", "licenses", own.alias("own")).select("doc_id", "own", F.explode("licenses").alias("license"))
+    exact = pairs.select("doc_id", "licenses", words(F.col("text")).alias("w")).select("doc_id", "licenses", own.alias("own")).select("doc_id", "own", F.explode("licenses").alias("license"))
     counted = exact.withColumn("t", F.element_at(texts, F.col("license"))).select("doc_id", "license", F.size("t").cast("long").alias("n_template"), F.size(F.array_intersect("t", "own")).cast("long").alias("n"))
     best = counted.groupBy("doc_id", "license", "n_template").agg(F.max("n").alias("n_common"))
     return best.filter(F.col("n_common") * 100 >= F.col("n_template") * s.percent).withColumn("containment", F.col("n_common") / F.col("n_template"))
