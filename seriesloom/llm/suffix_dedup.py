@@ -50,7 +50,7 @@ class Settings:
     range_names: names that meet in one place, on average."""
 
     length: int = 100
-    block_bytes: int = 12 << 20
+    block_bytes: int = 6 << 20
     range_names: int = 2_000_000
 
     @property
@@ -77,21 +77,35 @@ def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack_numbers(raw, n), dtype=U64)
 
 
-def fingerprints(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the `length` bytes from each place; the whole block is hashed once in stretches of bounded size."""
-    out = np.empty(len(places), U64)
-    step = 4 << 20
-    for a in range(0, max(1, len(data)), step):
-        lo, hi = np.searchsorted(places, (a, a + step))
-        if lo == hi:
-            continue
-        part = data[a : a + step + length]
-        up, down = powers(step + length + 1)
+class Prefix:
+    """Polynomial prefix sums of a block, from which the hash of any string of it follows. Up to `STRETCH` bytes are
+    summed once and kept; a longer block is summed stretch by stretch."""
+
+    STRETCH = 8 << 20
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.kept = data, None
+
+    def _sums(self, a: int, z: int) -> np.ndarray:
+        part = self.data[a:z]
         total = np.zeros(len(part) + 1, U64)
-        np.cumsum(_BYTE_ALL[part] * up[: len(part)], out=total[1:])
-        p = places[lo:hi] - a
-        out[lo:hi] = mix((total[p + length] - total[p]) * down[p])
-    return out
+        np.cumsum(_BYTE_ALL[part] * powers(len(part) + 1)[0][: len(part)], out=total[1:])
+        return total
+
+    def hashes(self, places: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the `length` bytes from each place (ascending)."""
+        n = len(self.data)
+        if n <= self.STRETCH:
+            if self.kept is None:
+                self.kept = self._sums(0, n)
+            return mix((self.kept[places + length] - self.kept[places]) * powers(n + 1)[1][places])
+        out = np.empty(len(places), U64)
+        for a in range(0, n, self.STRETCH):
+            lo, hi = np.searchsorted(places, (a, a + self.STRETCH))
+            if lo < hi:
+                total, p = self._sums(a, a + self.STRETCH + length), places[lo:hi] - a
+                out[lo:hi] = mix((total[p + length] - total[p]) * powers(len(total))[1][p])
+        return out
 
 
 _BYTE_ALL = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, dtype=U64)
@@ -151,31 +165,50 @@ class BlockText:
         self.ids, self.offsets = np.frombuffer(get("ids"), np.int64), np.frombuffer(get("offsets"), np.int64)
         self.data = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8)
 
-    def names(self, s: Settings):
-        """Sampled places, their fingerprints, the sorted distinct ones, and the place of each in them with its count."""
+        self.prefix = Prefix(self.data)
+        self.lens = np.diff(self.offsets)
+        self.row_of = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lens)
+
+    def names(self, s: Settings, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places and their names, cut by `drop` bits."""
         at = sampled(self.offsets, s)
-        h = fingerprints(self.data, at, s.tuple_bytes)
-        names, which, count = np.unique(h, return_inverse=True, return_counts=True)
-        return at, names, which, count
-
-    def strings(self, s: Settings, repeated: np.ndarray, skip: np.ndarray):
-        """Places with a repeated sampled tuple less than a cycle after them, their documents and fingerprints."""
-        at, names, which, count = self.names(s)
-        good = at[(repeated | (count > 1))[which]]
-        lens = np.diff(self.offsets)
-        change = np.zeros(len(self.data) + 1, np.int32)
-        doc = np.searchsorted(self.offsets, good, "right") - 1
-        np.add.at(change, np.maximum(good - CYCLE + 1, self.offsets[doc]), 1)
-        change[good + 1] -= 1
-        ok = np.cumsum(change[:-1], dtype=np.int32) > 0
-        none = (lens < s.length) | skip
+        return at, self.prefix.hashes(at, s.tuple_bytes) >> drop << drop
+
+    def strings(self, s: Settings, at: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places that have one of the sampled places `at` less than a cycle after them, and their fingerprints."""
+        n = len(self.data)
+        edge = np.bincount(np.maximum(at - CYCLE + 1, self.offsets[self.row_of[at]]), minlength=n + 1).astype(np.int32)
+        edge[at + 1] -= 1
+        ok = np.cumsum(edge[:n], dtype=np.int32) > 0
+        none = (self.lens < s.length) | skip
         for d in np.flatnonzero(none):
             ok[self.offsets[d] : self.offsets[d + 1]] = False
         tail = self.offsets[1:][~none]
         if len(tail):
             ok[(tail[:, None] - np.arange(1, s.length)).ravel()] = False
         places = np.flatnonzero(ok)
-        return places, np.searchsorted(self.offsets, places, "right") - 1, fingerprints(self.data, places, s.length)
+        return places, self.prefix.hashes(places, s.length)
+
+
+def distinct_sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and whether each stands more than once."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x))) > 1
+
+
+def members(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted chosen ones: a small table on the upper bits rules most out, a search the rest."""
+    if not len(chosen):
+        return np.zeros(len(x), bool)
+    bits = U64(64 - 24)
+    table = np.zeros(1 << 24, bool)
+    table[(chosen >> bits).astype(np.int64)] = True
+    out = table[(x >> bits).astype(np.int64)]
+    at = np.flatnonzero(out)
+    i = np.minimum(np.searchsorted(chosen, x[at]), len(chosen) - 1)
+    out[at] = chosen[i] == x[at]
+    return out
 
 
 def _answers(folder: str, block: int) -> dict[int, bytes]:
@@ -275,7 +308,7 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = BlockText(batch, i)
-                h = np.unique(b.names(s)[1] >> drop) << drop
+                h, _ = distinct_sorted(b.names(s, drop)[1])
                 if len(h):
                     yield _messages(b.number, h, n, None)
 
@@ -306,19 +339,19 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
                     with where.open_input_file(f.path) as file:
                         for rows in pq.ParquetFile(file).read(columns=["rows"]).column("rows").to_pylist():
                             skip[rows] = True
-        names = b.names(s)[1]
-        short = np.unique(names >> drop) << drop
-        flags = _flags(_answers(answers, b.number), ranges(short, n)) if len(short) else np.zeros(0, bool)
-        # two names of this block that differ only in the dropped bits count as repeated as well
-        return skip, flags[np.searchsorted(short, names >> drop << drop)] if len(names) else np.zeros(0, bool)
+        at, names = b.names(s, drop)
+        short, more = distinct_sorted(names)
+        flags = _flags(_answers(answers, b.number), ranges(short, n)) if len(short) else more
+        return skip, at[members(names, short[flags | more])]
 
     def counted(b: BlockText):
-        skip, repeated = prepared(b)
-        places, doc, h = b.strings(s, repeated, skip)
-        order = np.argsort(h, kind="stable")
-        sorted_h = h[order]
-        new = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return skip, places, doc, order, sorted_h, new
+        """Rows to skip, candidate places in order of their strings, and where each distinct string begins among them."""
+        skip, at = prepared(b)
+        places, h = b.strings(s, at, skip)
+        order = np.argsort(h)
+        h = h[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return skip, places[order], h[new], new
 
     size = max(1, math.ceil(n_names * CYCLE / len(COVER) / 4 / s.range_names))  # about a quarter of all strings is named again
 
@@ -326,9 +359,9 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = BlockText(batch, i)
-                _, _, doc, order, sorted_h, new = counted(b)
+                _, places, names, new = counted(b)
                 if len(new):
-                    yield _messages(b.number, sorted_h[new], size, b.ids[doc[order[new]]])
+                    yield _messages(b.number, names, size, b.ids[b.row_of[np.minimum.reduceat(places, new)]])
 
     earlier = _write_answers(by_key(packed.mapInArrow(merged, MESSAGE), size, ["range"], lambda g: _meet(g, True), ANSWER), spread, "earlier-strings")
 
@@ -336,20 +369,27 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = BlockText(batch, i)
-                skip, places, doc, order, sorted_h, new = counted(b)
+                skip, places, names, new = counted(b)
                 gone = np.zeros(len(b.data) + 1, np.int32)
                 if len(new):
-                    flags = _flags(_answers(earlier, b.number), ranges(sorted_h[new], size))
-                    group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
-                    row = doc[order]
-                    least = b.ids[row[new]][group]
-                    again = np.concatenate([[False], (sorted_h[1:] == sorted_h[:-1]) & (row[1:] == row[:-1])])
-                    hit = places[order[flags[group] | (b.ids[row] > least) | again]]
+                    flags = _flags(_answers(earlier, b.number), ranges(names, size))
+                    n_each = np.diff(np.append(new, len(places)))
+                    first = np.repeat(np.minimum.reduceat(places, new), n_each)  # rows ascend by doc_id in a block
+                    row, first_row = b.row_of[places], b.row_of[first]
+                    hit = np.repeat(flags, n_each) | (b.ids[row] > b.ids[first_row]) | ((row == first_row) & (places > first))
+                    tied = ~hit & (row != first_row)
+                    if tied.any():  # rows that repeat a doc_id: only a start before it in the same row counts
+                        group = np.repeat(np.arange(len(new)), n_each)[tied]
+                        order = np.lexsort((places[tied], row[tied], group))
+                        again = np.zeros(len(order), bool)
+                        g, r = group[order], row[tied][order]
+                        again[order[1:]] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
+                        hit[np.flatnonzero(tied)[again]] = True
+                    hit = places[hit]
                     gone[hit] += 1
-                    np.add.at(gone, hit + s.length, -1)
+                    gone[hit + s.length] -= 1
                 removed = np.cumsum(gone[:-1]) > 0
-                lens = np.diff(b.offsets)
-                for d in np.flatnonzero(skip & (lens >= s.length)):
+                for d in np.flatnonzero(skip & (b.lens >= s.length)):
                     removed[b.offsets[d] : b.offsets[d + 1]] = True
                 yield from _rows(b, removed)
 
