@@ -1,6 +1,488 @@
-"""The registered queries over the driver's tables and their SQL equivalents."""
+"""The registered queries over the driver's tables and their SQL equivalents.
+
+Sensors are the event types of `events`, numbered by time. Queries run over all sensors and all places; where SQL over
+whole tables would take too long, there is none, and tests compare the operator with brute force on small series.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns
+from ..operators import forecast, gather, invlist, search, series
+from ..operators import queries as q
+from ..sources import files
+from ..sources.storage import fresh_path
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: Length of items, neighbours, band, index window and horizon in the queries that SQL checks.
+L, K, R, W, H = 16, 8, 4, 8, 3
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return series.index_series(events, "event_type", "ts", "value", "event_id")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def latest(s: DataFrame, length: int = L, back: int = 0) -> DataFrame:
+    """query_id, sensor_id, start, q, item: each sensor's latest history."""
+    return q.latest(s, length, back).select(F.col("sensor_id").alias("query_id"), "sensor_id", "start", "q", F.col("q").alias("item"))
+
+
+S = "s AS (SELECT event_type AS sensor_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, value AS v FROM events)"
+P = S + ", p AS (SELECT sensor_id, list(v ORDER BY t) AS a, count(*) AS n FROM s GROUP BY sensor_id)"
+
+
+def win(length: int = L, ahead: int = 0) -> str:
+    return f"w AS (SELECT sensor_id, i AS start, a[i + 1:i + {length}] AS c, a[i + {length + ahead}] AS y FROM (SELECT *, unnest(range(0, n - {length + ahead} + 1)) AS i FROM p))"
+
+
+Q = f"q AS (SELECT sensor_id AS query_id, sensor_id, n - {L} AS at, a[n - {L} + 1:n] AS q FROM p)"
+EU = f"list_sum(list_transform(range(1, {L + 1}), lambda i: (c[i] - q[i]) * (c[i] - q[i])))"
+L1 = f"list_sum(list_transform(range(1, {L + 1}), lambda i: abs(c[i] - q[i])))"
+
+
+def dtw_sql(band: int | None, n: int = L) -> str:
+    value = "(c[j[1]::INT] - q[i[1]::INT]) * (c[j[1]::INT] - q[i[1]::INT]) + least(now[i[1]::INT], prev[i[1]::INT + 1], prev[i[1]::INT])"
+    cell = value if band is None else f"CASE WHEN abs(i[1] - j[1]) <= {band} THEN {value} ELSE 'inf'::DOUBLE END"
+    places = f"list_transform(range(1, {n + 1}), lambda k: [k::DOUBLE])"
+    inner = f"list_reduce({places}, lambda now, i: list_append(now, {cell}), ['inf'::DOUBLE])"
+    return f"list_extract(list_reduce({places}, lambda prev, j: {inner}, list_concat([0::DOUBLE], list_transform(range(0, {n}), lambda k: 'inf'::DOUBLE))), -1)"
+
+
+def env_sql(a: str, r: int, f: str, n: int = L) -> str:
+    return f"list_transform(range(1, {n + 1}), lambda i: list_{f}({a}[greatest(i - {r}, 1):least(i + {r}, {n})]))"
+
+
+def keogh_sql(a: str, b: str, r: int = R, n: int = L) -> str:
+    """b against the envelope of a."""
+    up, lo = f"list_max({a}[greatest(i - {r}, 1):least(i + {r}, {n})])", f"list_min({a}[greatest(i - {r}, 1):least(i + {r}, {n})])"
+    return f"list_sum(list_transform(range(1, {n + 1}), lambda i: CASE WHEN {b}[i] > {up} THEN pow({b}[i] - {up}, 2) WHEN {b}[i] < {lo} THEN pow({b}[i] - {lo}, 2) ELSE 0 END))"
+
+
+def top_sql(dist: str, k: int = K, extra: str = "", skip: int = 0, ahead: int = 0) -> str:
+    return f"WITH {P}, {win(ahead=ahead)}, {Q}, d AS (SELECT query_id, start, {dist} AS dist FROM w JOIN q USING (sensor_id) {extra}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, start) - {skip} AS rank FROM d) SELECT query_id, start::BIGINT AS start, rank::BIGINT AS rank, round(dist, 6) AS dist FROM r WHERE rank BETWEEN 1 AND {k}"
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "start", F.col("rank").cast("long").alias("rank"), r6("dist", "dist"))
+
+
+# --- sources and sinks
+
+
+def _csv(spark, sf_dir, cols=("sensor_id", "t", "v")):
+    path = fresh_path(spark, "series-csv")
+    files.write_series_csv(sensors(spark, sf_dir), path, list(cols))
+    return path
+
+
+@register("op_s01_read_csv_column", f"WITH {S} SELECT round(v, 6) AS value FROM s")
+def _(spark, sf):
+    return files.read_csv_column(spark, _csv(spark, sf), 2).select(r6("value", "value"))
+
+
+@register("op_s02_read_typed", f"WITH {S} SELECT t::INTEGER AS value FROM s")
+def _(spark, sf):
+    return files.read_csv_column(spark, _csv(spark, sf), 1, "int").select("value")
+
+
+@register("op_s03_read_matrix", f"WITH {S} SELECT t::DOUBLE AS t, round(v, 6) AS v FROM s")
+def _(spark, sf):
+    m = files.read_matrix(spark, _csv(spark, sf, ("t", "v")))
+    return m.select(F.get("row", F.lit(0)).alias("t"), r6(F.get("row", F.lit(1)), "v"))
+
+
+@register("op_s04_read_matrix_comma", f"WITH {S} SELECT t::DOUBLE AS t, round(v, 6) AS v FROM s")
+def _(spark, sf):
+    m = files.read_matrix(spark, _csv(spark, sf, ("t", "v")), ",")
+    return m.select(F.get("row", F.lit(0)).alias("t"), r6(F.get("row", F.lit(1)), "v"))
+
+
+@register("op_s05_columns_as_series", f"WITH {S} SELECT 0 AS sensor, t::DOUBLE AS value FROM s UNION ALL SELECT 1, round(v, 6) FROM s")
+def _(spark, sf):
+    return files.read_columns_as_series(spark, _csv(spark, sf, ("t", "v")), 0, 1).select("sensor", r6("value", "value"))
+
+
+@register("op_s06_load_series", f"WITH {S} SELECT sensor_id, t::BIGINT AS t, v FROM s")
+def _(spark, sf):
+    return sensors(spark, sf)
+
+
+def _stored_queries(spark, sf, kind="double", write=files.write_queries):
+    path = fresh_path(spark, "queries")
+    write(latest(sensors(spark, sf)), path)
+    return files.read_queries(spark, path, kind)
+
+
+@register("op_s07_read_queries", f"WITH {P}, {Q} SELECT round(list_sum(q), 6) AS total, len(q)::INTEGER AS n FROM q")
+def _(spark, sf):
+    return _stored_queries(spark, sf).select(r6(F.aggregate("q", F.lit(0.0), lambda a, x: a + x), "total"), F.size("q").alias("n"))
+
+
+@register("op_s08_write_queries", f"WITH {P}, {Q} SELECT list_sum(list_transform(q, lambda x: trunc(x)::BIGINT))::BIGINT AS total FROM q")
+def _(spark, sf):
+    ints = _stored_queries(spark, sf, "long", lambda d, p: files.write_queries(d, p, "long"))
+    return ints.select(F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@register("op_s09_write_composite_queries", f"WITH {P}, {Q} SELECT list_sum(list_transform(range(1, {L + 1}), lambda i: ((i - 1) << 12) + trunc(q[i])::BIGINT))::BIGINT AS total FROM q")
+def _(spark, sf):
+    def write(d, p):
+        files.write_composite_queries(d.withColumn("q", F.transform("q", lambda x: x.cast("long"))), p, 12)
+
+    return _stored_queries(spark, sf, "long", write).select(F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@register("op_s10_binary_queries", f"WITH {P}, {Q} SELECT query_id, round(list_sum(q), 6) AS total FROM q")
+def _(spark, sf):
+    path = fresh_path(spark, "queries-parquet")
+    latest(sensors(spark, sf)).select("query_id", "q").write.parquet(path)
+    return spark.read.parquet(path).select("query_id", r6(F.aggregate("q", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+BUCKETED = f"{P}, {win()}, b AS (SELECT sensor_id, start, list_transform(c, lambda x: trunc(x / 10)::BIGINT) AS c FROM w), x AS (SELECT sensor_id, start AS pos, unnest(range(0, {L})) AS dim, unnest(c) AS value FROM b)"
+
+
+def _bucketed(spark, sf) -> DataFrame:
+    return series.bucketise(sensors(spark, sf), width=10.0).select("sensor_id", "t", F.col("bucket").cast("double").alias("v"))
+
+
+def _bucket_windows(spark, sf) -> DataFrame:
+    return series.windows(_bucketed(spark, sf), L).withColumn("c", F.transform("c", lambda x: x.cast("long")))
+
+
+@register("op_s11_write_postings", f"WITH {BUCKETED} SELECT dim::INTEGER AS dim, value::BIGINT AS value, count(*) AS n, sum(pos)::BIGINT AS places FROM x GROUP BY ALL")
+def _(spark, sf):
+    path = fresh_path(spark, "postings")
+    files.write_postings(invlist.postings(_bucket_windows(spark, sf)), path)
+    return files.read_postings(spark, path).groupBy("dim", "value").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
+@register("op_s12_read_postings", f"WITH {BUCKETED}, l AS (SELECT sensor_id, dim, value, count(*) AS n FROM x GROUP BY ALL) SELECT sensor_id, dim::INTEGER AS dim, value::BIGINT AS value, sum(n) OVER (PARTITION BY sensor_id ORDER BY dim, value)::BIGINT AS end_offset FROM l")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    path = fresh_path(spark, "postings")
+    files.write_postings(invlist.postings(_bucket_windows(spark, sf)), path)
+    ends = F.sum("n").over(Window.partitionBy("sensor_id").orderBy("dim", "value"))
+    return invlist.lists(files.read_postings(spark, path)).select("sensor_id", "dim", "value", ends.alias("end_offset"))
+
+
+@register("op_s13_random_postings")
+def _(spark, sf):
+    return files.random_postings(spark, 32, 128, 1000)
+
+
+@register("op_s14_write_training_csv", f"WITH {P}, {win(L, 1)} SELECT round(list_sum(c), 4) AS x_total, round(y, 6) AS y FROM w")
+def _(spark, sf):
+    path = fresh_path(spark, "training")
+    rows = q.training_set(sensors(spark, sf), L, 1).select(F.concat_ws(",", F.transform("x", lambda x: x.cast("string")), F.col("y").cast("string")).alias("value"))
+    rows.write.text(path)
+    m = files.read_matrix(spark, path, ",")
+    return m.select(F.round(F.aggregate(F.slice("row", 1, L), F.lit(0.0), lambda a, x: a + x), 4).alias("x_total"), r6(F.element_at("row", -1), "y"))
+
+
+@register("op_s15_matrix_decimals", f"WITH {S} SELECT t::DOUBLE AS t, round(v, 3) AS v FROM s")
+def _(spark, sf):
+    path = fresh_path(spark, "matrix")
+    rows = sensors(spark, sf).select(F.monotonically_increasing_id().alias("line"), F.array(F.col("t").cast("double"), "v").alias("row"))
+    files.write_matrix(rows, path, 3)
+    return files.read_matrix(spark, path, ",").select(F.get("row", F.lit(0)).alias("t"), F.round(F.get("row", F.lit(1)), 3).alias("v"))
+
+
+# --- pre-processing
+
+
+@register("op_p01_znormalise", f"WITH {S} SELECT sensor_id, t::BIGINT AS t, round((v - avg(v) OVER w) / stddev_pop(v) OVER w * 100, 6) AS z FROM s WINDOW w AS (PARTITION BY sensor_id)")
+def _(spark, sf):
+    return series.znormalise(sensors(spark, sf), 100.0).select("sensor_id", "t", r6("z", "z"))
+
+
+@register("op_p02_znormalise_columns", f"WITH {S}, b AS (SELECT * FROM s UNION ALL SELECT sensor_id || '#t', t, t FROM s) SELECT sensor_id, t::BIGINT AS t, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS z FROM b WINDOW w AS (PARTITION BY sensor_id)")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    both = s.unionByName(s.select(F.concat("sensor_id", F.lit("#t")).alias("sensor_id"), "t", F.col("t").cast("double").alias("v")))
+    return series.znormalise(both).select("sensor_id", "t", r6("z", "z"))
+
+
+@register("op_p03_mean_deviation", f"WITH {S} SELECT sensor_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation FROM s GROUP BY sensor_id")
+def _(spark, sf):
+    return series.mean_deviation(sensors(spark, sf)).select("sensor_id", r6("mean", "mean"), r6("deviation", "deviation"))
+
+
+@register("op_p04_training_set", f"WITH {P}, {win(L, H)} SELECT sensor_id, start::BIGINT AS start, round(list_sum(c), 6) AS x_total, round(y, 6) AS y FROM w")
+def _(spark, sf):
+    return q.training_set(sensors(spark, sf), L, H).select("sensor_id", "start", r6(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), "x_total"), r6("y", "y"))
+
+
+@register("op_p05_drop_missing", f"WITH {S}, m AS (SELECT sensor_id, t, CASE WHEN v < 5 THEN -1 ELSE v END AS v FROM s) SELECT sensor_id, t::BIGINT AS t, v FROM m WHERE v <> -1")
+def _(spark, sf):
+    marked = sensors(spark, sf).withColumn("v", F.when(F.col("v") < 5, -1.0).otherwise(F.col("v")))
+    return series.drop_missing(marked)
+
+
+@register("op_p06_bucketise", f"WITH {S}, w AS (SELECT sensor_id, (max(v) - min(v)) / 31 AS width FROM s GROUP BY sensor_id) SELECT sensor_id, t::BIGINT AS t, trunc(v / width)::INTEGER AS bucket FROM s JOIN w USING (sensor_id)")
+def _(spark, sf):
+    return series.bucketise(sensors(spark, sf), n=32).select("sensor_id", "t", "bucket")
+
+
+@register("op_p07_read_bucketise", f"WITH {S} SELECT trunc(v / 2.5)::INTEGER AS bucket FROM s")
+def _(spark, sf):
+    read = files.read_csv_column(spark, _csv(spark, sf), 2).withColumnRenamed("value", "v")
+    return series.bucketise(read, width=2.5).select("bucket")
+
+
+@register("op_p08_keywords", f"WITH {S} SELECT sensor_id, t::BIGINT AS t, trunc(v + 0.5)::INTEGER AS k1, trunc(v / 2.5)::INTEGER AS k2, trunc(v / 2.5) * 2.5 AS low, (trunc(v / 2.5) + 1) * 2.5 AS high FROM s")
+def _(spark, sf):
+    k2 = series.keyword(F.col("v"), 2.5)
+    low, high = series.keyword_edges(k2, 2.5)
+    return sensors(spark, sf).select("sensor_id", "t", series.keyword(F.col("v"), 1).alias("k1"), k2.alias("k2"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+
+@register("op_p09_standardise", "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS quantity, round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) AS price FROM lineitem")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cols = {"l_quantity": "quantity", "l_extendedprice": "price"}
+    stats = rows.agg(*(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    return rows.crossJoin(F.broadcast(stats)).select("l_orderkey", "l_linenumber", *(r6((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), n) for c, n in cols.items()))
+
+
+@register("op_p10_widen", "SELECT o_orderkey, o_custkey::DOUBLE AS value FROM orders")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("double").alias("value"))
+
+
+# --- query construction
+
+STARTS = "st AS (SELECT sensor_id, n, a, i, i * ((n - 2 * 16 - 1) // 20) + 16 AS start FROM p, range(0, 20) t(i))"
+
+
+def _q(df: DataFrame) -> DataFrame:
+    return df.select("sensor_id", "start", r6(F.aggregate("q", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@register("op_q01_sample", f"WITH {P}, {STARTS} SELECT sensor_id, start::BIGINT AS start, round(list_sum(a[start + 1:start + 16]), 6) AS total FROM st")
+def _(spark, sf):
+    return _q(q.sample_queries(sensors(spark, sf), L, 20))
+
+
+@register("op_q02_sample_plain", f"WITH {P}, st AS (SELECT sensor_id, a, i * ((n - 16) // 20) AS start FROM p, range(0, 20) t(i)) SELECT sensor_id, start::BIGINT AS start, round(list_sum(a[start + 1:start + 16]), 6) AS total FROM st")
+def _(spark, sf):
+    return _q(q.sample_queries(sensors(spark, sf), L, 20, "plain"))
+
+
+@register("op_q03_sequential", f"WITH {P} SELECT sensor_id, start::BIGINT AS start, round(list_sum(a[start + 1:start + 16]), 6) AS total FROM p, range(50, 60) t(start)")
+def _(spark, sf):
+    return _q(q.sequential_queries(sensors(spark, sf), 50, 10, L))
+
+
+@register("op_q04_persist", f"WITH {P}, {STARTS} SELECT round(list_sum(a[start + 1:start + 16]), 6) AS total FROM st")
+def _(spark, sf):
+    path = fresh_path(spark, "sampled")
+    files.write_queries(q.sample_queries(sensors(spark, sf), L, 20), path)
+    return files.read_queries(spark, path).select(r6(F.aggregate("q", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@register("op_q05_series_with_queries", f"WITH {P}, {STARTS} SELECT sensor_id, start::BIGINT AS start, n::BIGINT AS n FROM st")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return q.sample_queries(s, L, 20).join(series.lengths(s), "sensor_id").select("sensor_id", "start", "n")
+
+
+@register("op_q06_leave_out", f"WITH {P}, {STARTS}, k AS (SELECT sensor_id || '@' || start AS query_id, sensor_id, start FROM st), x AS (SELECT query_id, t, v FROM k JOIN s USING (sensor_id) WHERE t < greatest(start - 16, 0) OR t >= start + 16) SELECT query_id, count(*) AS n, max(rn)::BIGINT AS last, round(sum(v), 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY t) - 1 AS rn FROM x) GROUP BY query_id")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    cuts = q.sample_starts(s, L, 20).select(F.concat_ws("@", "sensor_id", "start").alias("query_id"), "sensor_id", "start")
+    return series.leave_out(s, cuts, L).groupBy("query_id").agg(F.count("*").alias("n"), F.max("t").alias("last"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@register("op_q07_align_step", f"WITH {P}, e AS (SELECT sensor_id, a[n - 39:n] AS q FROM p), g AS (SELECT sensor_id, q, unnest(range(0, 10)) AS step FROM e) SELECT sensor_id, step::INTEGER AS step, round(list_sum(q[step + 1:step + 16]), 6) AS x_total, q[step + 16 + {H} + 1] AS y FROM g")
+def _(spark, sf):
+    base = q.latest(sensors(spark, sf), 40)
+    out = None
+    for step in range(10):
+        one = q.align_step(base, step, L, H).select("sensor_id", F.lit(step).alias("step"), r6(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), "x_total"), "y")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("op_q08_align_query", f"WITH {P}, e AS (SELECT sensor_id, a[n - 39:n] AS q FROM p) SELECT sensor_id, round(list_sum(q[6:21]), 6) AS total FROM e")
+def _(spark, sf):
+    return q.latest(sensors(spark, sf), 40).select("sensor_id", r6(F.aggregate(F.slice("q", 6, L), F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@register("op_q09_items", f"WITH {P}, e AS (SELECT sensor_id, a[n - 31:n] AS q, unnest([8, 16, 32]) AS len FROM p) SELECT sensor_id, len::INTEGER AS len, round(list_sum(q[32 - len + 1:32]), 6) AS total FROM e")
+def _(spark, sf):
+    i = q.items(q.latest(sensors(spark, sf), 32), [8, 16, 32])
+    return i.select("sensor_id", "len", r6(F.aggregate("item", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@register("op_q10_group_items", f"WITH r AS ({top_sql(EU)}) SELECT query_id, list(start ORDER BY rank) AS starts FROM r GROUP BY query_id")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    found = search.scan_top_k(s, latest(s), L, K)
+    return q.group_items(found, ["query_id"]).select("query_id", F.transform("results", lambda x: x.start).alias("starts"))
+
+
+@register("op_q12_replicate", f"WITH {S} SELECT sensor_id || '#' || i AS sensor_id, count(*) AS n, round(sum(v), 4) AS total FROM s, range(0, 4) t(i) GROUP BY 1")
+def _(spark, sf):
+    return series.replicate(sensors(spark, sf), 4).groupBy("sensor_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@register("op_q13_trim_tail", f"WITH {S} SELECT sensor_id, count(*) AS n, max(t)::BIGINT AS last FROM s WHERE t < (SELECT max(t) + 1 FROM s x WHERE x.sensor_id = s.sensor_id) - 21 GROUP BY sensor_id")
+def _(spark, sf):
+    return series.trim_tail(sensors(spark, sf), 21).groupBy("sensor_id").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+
+
+# --- distances and bounds
+
+
+def _pairs(spark, sf) -> DataFrame:
+    s = sensors(spark, sf)
+    return series.windows(s, L).join(latest(s).select("sensor_id", F.col("item").alias("q")), "sensor_id")
+
+
+def _pair_sql(expr: str) -> str:
+    return f"WITH {P}, {win()}, {Q} SELECT sensor_id, start::BIGINT AS start, round({expr}, 6) AS dist FROM w JOIN q USING (sensor_id)"
+
+
+for _name, _expr, _sql in (
+    ("op_d01_squared_euclid", columns.squared_euclid, EU),
+    ("op_d02_manhattan", columns.manhattan, L1),
+    ("op_d03_dtw", lambda a, c: columns.dtw(a, c), dtw_sql(None)),
+    ("op_d04_dtw_band", lambda a, c: columns.dtw(a, c, R), dtw_sql(R)),
+    ("op_d05_dtw_half_band", lambda a, c: columns.dtw(a, c, L // 2), dtw_sql(L // 2)),
+    ("op_d08_lb_keogh_query", lambda a, c: columns.lb_keogh(a, c, R), keogh_sql("q", "c")),
+    ("op_d09_lb_keogh_data", lambda a, c: columns.lb_keogh(c, a, R), keogh_sql("c", "q")),
+    ("op_d10_lb_enhanced", lambda a, c: columns.lb_enhanced(a, c, R), f"greatest({keogh_sql('q', 'c')}, {keogh_sql('c', 'q')})"),
+):
+
+    @register(_name, _pair_sql(_sql))
+    def _(spark, sf, e=_expr):
+        return _pairs(spark, sf).select("sensor_id", "start", r6(e(F.col("q"), F.col("c")), "dist"))
+
+
+ENV = f"{S}, e AS (SELECT sensor_id, t, v, max(v) OVER f - v AS up, v - min(v) OVER f AS lo FROM s WINDOW f AS (PARTITION BY sensor_id ORDER BY t ROWS BETWEEN {R} PRECEDING AND {R} FOLLOWING))"
+
+
+def _term_sql(p: int) -> str:
+    over = "(abs(v - kw) - CASE WHEN v <= kw THEN lo ELSE up END)"
+    return f"CASE WHEN {over} <= 0 THEN 0 ELSE pow({over}, {p}) END"
+
+
+@register("op_d11_lb_terms", f"WITH {ENV}, x AS (SELECT *, lag(v, 1, v) OVER (PARTITION BY sensor_id ORDER BY t) AS kw FROM e) SELECT sensor_id, t::BIGINT AS t, round({_term_sql(2)}, 6) AS l2, round({_term_sql(1)}, 6) AS l1, round({_term_sql(0)}, 6) AS l0 FROM x")
+def _(spark, sf):
+    e = series.envelopes(sensors(spark, sf), R)
+    before = e.select("sensor_id", (F.col("t") + 1).alias("t"), F.col("v").alias("kw"))
+    x = e.join(before, ["sensor_id", "t"], "left").withColumn("kw", F.coalesce("kw", "v"))
+    return x.select("sensor_id", "t", *(r6(columns.lb_term(F.col("v"), F.col("kw"), F.col("lo"), F.col("up"), p), f"l{p}") for p in (2, 1, 0)))
+
+
+def _lp_sql(p: int) -> str:
+    return f"CASE WHEN abs(v - 50) <= 5 OR v = 50 THEN 0 ELSE pow(abs(v - 50) - 5, {p}) END * 0.5"
+
+
+@register("op_d12_weighted_lp", f"WITH {S} SELECT sensor_id, t::BIGINT AS t, round({_lp_sql(0)}, 6) AS p0, round({_lp_sql(1)}, 6) AS p1, round({_lp_sql(2)}, 6) AS p2, round({_lp_sql(3)}, 4) AS p3 FROM s")
+def _(spark, sf):
+    e = [columns.weighted_lp(F.col("v"), F.lit(50.0), F.lit(0.5), F.lit(5.0), p) for p in range(4)]
+    return sensors(spark, sf).select("sensor_id", "t", *(r6(x, f"p{i}") for i, x in enumerate(e[:3])), F.round(e[3], 4).alias("p3"))
+
+
+@register("op_d13_query_envelope", f"WITH {P}, {Q} SELECT sensor_id, i::INTEGER AS i, round({env_sql('q', R, 'max')}[i + 1] - q[i + 1], 6) AS up, round(q[i + 1] - {env_sql('q', R, 'min')}[i + 1], 6) AS lo FROM (SELECT *, unnest(range(0, {L})) AS i FROM q)".replace("lambda i:", "lambda z:").replace("i - 4, 1", "z - 4, 1").replace("least(i + 4", "least(z + 4"))
+def _(spark, sf):
+    w = search.query_windows(latest(sensors(spark, sf)), 1, R)
+    return w.select("sensor_id", F.col("p").alias("i"), r6("up", "up"), r6("lo", "lo"))
+
+
+@register("op_d14_data_envelope", f"WITH {ENV} SELECT sensor_id, t::BIGINT AS t, round(up, 6) AS up, round(lo, 6) AS lo FROM e")
+def _(spark, sf):
+    return series.envelopes(sensors(spark, sf), R).select("sensor_id", "t", r6("up", "up"), r6("lo", "lo"))
+
+
+# --- scans
+
+
+@register("op_k01_scan", top_sql(EU))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K))
+
+
+@register("op_k02_scan_dtw", top_sql(dtw_sql(R)))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K, "dtw", R))
+
+
+@register("op_k03_scan_cascade", top_sql(dtw_sql(R)))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.index_top_k(s, latest(s), [L], K, R, W, two_pass=False))
+
+
+@register("op_k04_scan_early_stop", top_sql(dtw_sql(R), 3))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.index_top_k(s, latest(s), [L], 3, R, W))
+
+
+@register("op_k05_distance_matrix", f"WITH {P}, {win(ahead=H)}, {Q} SELECT sensor_id, start::BIGINT AS start, round({EU}, 6) AS dist FROM w JOIN q USING (sensor_id)")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return search.distances(s, latest(s), L, reserve=H).select("sensor_id", "start", r6("dist", "dist"))
+
+
+@register("op_k06_scan_reserve", top_sql(EU, ahead=H))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K, reserve=H))
+
+
+@register("op_k07_scan_bound", top_sql(f"greatest({keogh_sql('q', 'c')}, {keogh_sql('c', 'q')})"))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K, "bound", R))
+
+
+@register("op_k08_scan_ignore_first", top_sql(EU, skip=1))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K, skip=1))
+
+
+@register("op_k09_group_scan", f"WITH {P}, {win(L, H + 1)}, {Q}, d AS (SELECT query_id, start, y, {EU} AS dist FROM w JOIN q USING (sensor_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, start) AS rank FROM d) SELECT query_id, start::BIGINT AS start, rank::BIGINT AS rank, y FROM r WHERE rank <= {K}")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    found = search.scan_top_k(s, latest(s), L, K, reserve=H + 1)
+    return gather.training_rows(s, found, H).select("query_id", "start", F.col("rank").cast("long").alias("rank"), "y")
+
+
+@register("op_k10_vector_scan", "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS start, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), start) AS rank FROM d) SELECT query_id, rank::BIGINT AS rank, round(dist, 6) AS dist FROM r WHERE rank <= 4")
+def _(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    pairs = v.join(v.select(F.col("vec_id").alias("start"), "label", F.col("e").alias("c")), "label")
+    d = pairs.select(F.col("vec_id").alias("query_id"), "start", columns.squared_euclid("e", "c").alias("dist"))
+    return search.top_k(d.withColumn("near", F.round("dist", 9)), ["query_id"], 4, by="near").select("query_id", F.col("rank").cast("long").alias("rank"), r6("dist", "dist"))
+
+
+@register("op_k11_min_k", f"WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY v, t) AS rank FROM s) SELECT sensor_id, t::BIGINT AS t, rank::BIGINT AS rank FROM r WHERE rank <= 5")
+def _(spark, sf):
+    return search.top_k(sensors(spark, sf), ["sensor_id"], 5, by="v", tie="t").select("sensor_id", "t", F.col("rank").cast("long").alias("rank"))
