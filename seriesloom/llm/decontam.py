@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_view, text_slices
+from .common import arrow_batches, byte_view, stage, text_slices
 from .shingles import MinHash, distinct, shingle_hashes
 
 MATCHES = "doc_id long, item_id long, n_item long, n_common long, containment double"
@@ -162,4 +162,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = Non
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
     """The rows of docs whose doc_id has no match; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, benchmark, s).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = stage(contaminated(docs, benchmark, s).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

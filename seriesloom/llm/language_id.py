@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> Model:
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, size=1 << 20):
             bucket, row = trigrams(data, offsets, s.bits)
             names, number = np.unique(np.array(rows.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             for i, name in enumerate(names.tolist()):
@@ -123,7 +123,7 @@ def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool) -> Da
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part, data, offsets in text_slices(batches):
+        for part, data, offsets in text_slices(batches, size=1 << 20):
             if markup:
                 data, offsets = byte_view(pa.array([_TAGS.sub(" ", t or "") for t in part.column("text").to_pylist()], pa.string()))
             ll, grams = shared.value.likelihoods(data, offsets, s)
@@ -196,5 +196,6 @@ def keep_identified(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     column for the declared language, and rows with a lang label are what the text model is fitted on."""
     none = F.lit(None).cast("string")
     inner = docs.select("text", F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"), F.col("lang").alias("declared"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
-    good = identify(inner, fit(docs, s), s).filter("accepted").select("_id", "_t").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_t"]), "left_semi")
+    # the few rejected rows are written first, so that the planner knows their size and need not move the texts
+    bad = stage(identify(inner, fit(docs, s), s).filter("not accepted").select("_id", "_t").distinct(), "rejected")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(bad["_t"]), "left_anti")
