@@ -126,7 +126,7 @@ def query_windows(queries: DataFrame, w: int, r: int) -> DataFrame:
     return flat.select("*", F.explode(starts).alias("p")).select("query_id", "sensor_id", "p", (F.col("i") - F.col("p")).alias("u"), "kw", "up", "lo")
 
 
-def group_bounds(bounds: DataFrame, query_length: int, lengths: list[int], w: int, mode: str = "both") -> DataFrame:
+def group_bounds(bounds: DataFrame, ends: DataFrame, query_length: int, lengths: list[int], w: int, mode: str = "both") -> DataFrame:
     """query_id, sensor_id, len, start, lb: bounds of all suffixes, summed over their whole windows from the end.
 
     A suffix that starts at s meets data window m with its window p = s' + (m * w - s), s' being the suffix's place in the
@@ -142,7 +142,8 @@ def group_bounds(bounds: DataFrame, query_length: int, lengths: list[int], w: in
     last = F.lit(query_length) - F.col("ec") - whole * w
     hit = each.filter((F.col("p") == last) & (F.col("tiles") == whole))
     lb = {"d2q": F.col("d"), "q2d": F.col("e")}.get(mode, F.greatest("d", "e"))
-    return hit.select("query_id", "sensor_id", "len", (F.col("shift") + query_length - F.col("len")).alias("start"), lb.alias("lb")).filter("start >= 0")
+    out = hit.select("query_id", "sensor_id", "len", (F.col("shift") + query_length - F.col("len")).alias("start"), lb.alias("lb"))
+    return out.join(ends, "sensor_id").filter("start >= 0 and start + len <= n").drop("n")
 
 
 def thresholds(bounds: DataFrame, verify: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:

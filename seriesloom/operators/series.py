@@ -119,3 +119,14 @@ def leave_out(series: DataFrame, cuts: DataFrame, length: int) -> DataFrame:
 def replicate(series: DataFrame, n: int) -> DataFrame:
     """Every series n times, as sensors sensor_id#0 to sensor_id#(n - 1)."""
     return series.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "sensor_id", "t", "v").select(F.concat_ws("#", "sensor_id", "i").alias("sensor_id"), "t", "v")
+
+
+def prefix_sums(series: DataFrame, chunk: int = 1 << 14) -> DataFrame:
+    """series with inclusive and exclusive running sums per sensor: sums inside chunks, plus each chunk's sum of all
+    earlier ones, so no task walks a whole sensor."""
+    rows = series.withColumn("chunk", F.floor(F.col("t") / chunk))
+    totals = rows.groupBy("sensor_id", "chunk").agg(F.sum("v").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("sensor_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    here = F.sum("v").over(Window.partitionBy("sensor_id", "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("here", here).join(totals.select("sensor_id", "chunk", before.alias("before")), ["sensor_id", "chunk"])
+    return out.select("sensor_id", "t", "v", (F.col("before") + F.col("here")).alias("inclusive"), (F.col("before") + F.col("here") - F.col("v")).alias("exclusive"))

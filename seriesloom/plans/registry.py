@@ -486,3 +486,528 @@ def _(spark, sf):
 @register("op_k11_min_k", f"WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY v, t) AS rank FROM s) SELECT sensor_id, t::BIGINT AS t, rank::BIGINT AS rank FROM r WHERE rank <= 5")
 def _(spark, sf):
     return search.top_k(sensors(spark, sf), ["sensor_id"], 5, by="v", tie="t").select("sensor_id", "t", F.col("rank").cast("long").alias("rank"))
+
+
+# --- index search
+
+
+def _windows_sql(mode: str) -> str:
+    """Window bounds as the index computes them: query windows p against disjoint data windows m."""
+    qe = f"qe AS (SELECT sensor_id, i, q[i + 1] AS kw, list_max(q[greatest(i + 1 - {R}, 1):least(i + 1 + {R}, 32)]) - q[i + 1] AS up, q[i + 1] - list_min(q[greatest(i + 1 - {R}, 1):least(i + 1 + {R}, 32)]) AS lo FROM (SELECT sensor_id, a[n - 31:n] AS q, unnest(range(0, 32)) AS i FROM p))"
+    qw = f"qw AS (SELECT sensor_id, p, i - p AS u, kw, up, lo FROM qe, range(0, 32 - {W} + 1) t(p) WHERE i >= p AND i < p + {W})"
+    term = lambda v, k, lo, up: f"CASE WHEN abs({v} - {k}) - CASE WHEN {v} <= {k} THEN {lo} ELSE {up} END <= 0 THEN 0 ELSE pow(abs({v} - {k}) - CASE WHEN {v} <= {k} THEN {lo} ELSE {up} END, 2) END"
+    wb = f"wb AS (SELECT sensor_id, p, t // {W} AS m, sum({term('v', 'kw', 'qw.lo', 'qw.up')}) AS d2q, sum({term('kw', 'v', 'e.lo', 'e.up')}) AS q2d FROM e JOIN qw USING (sensor_id) WHERE t % {W} = u GROUP BY ALL HAVING count(*) = {W})"
+    env = ENV.removeprefix(S + ", ")
+    return f"{P}, {env}, {qe}, {qw}, {wb}"
+
+
+def _bounds(spark, sf):
+    s = sensors(spark, sf)
+    qs = latest(s, 32).select("query_id", "sensor_id", "q")
+    return s, search.window_bounds(series.envelopes(s, R), search.query_windows(qs, W, R), W)
+
+
+@register("op_w03_query_windows", f"WITH {P}, e AS (SELECT sensor_id, a[n - 31:n] AS q FROM p), w AS (SELECT sensor_id, q, unnest(range(0, 32 - {W} + 1)) AS p FROM e) SELECT sensor_id, p::INTEGER AS p, round(list_sum(q[p + 1:p + {W}]), 6) AS total FROM w")
+def _(spark, sf):
+    w = search.query_windows(latest(sensors(spark, sf), 32), W, R)
+    return w.groupBy("sensor_id", "p").agg(r6(F.sum("kw"), "total"))
+
+
+@register("op_w04_window_bounds", f"WITH {_windows_sql('d2q')} SELECT sensor_id, p::INTEGER AS p, m::BIGINT AS m, round(d2q, 5) AS d2q FROM wb")
+def _(spark, sf):
+    return _bounds(spark, sf)[1].select("sensor_id", "p", "m", F.round("d2q", 5).alias("d2q"))
+
+
+@register("op_w05_window_bounds_both", f"WITH {_windows_sql('both')} SELECT sensor_id, p::INTEGER AS p, m::BIGINT AS m, round(d2q, 5) AS d2q, round(q2d, 5) AS q2d FROM wb")
+def _(spark, sf):
+    return _bounds(spark, sf)[1].select("sensor_id", "p", "m", F.round("d2q", 5).alias("d2q"), F.round("q2d", 5).alias("q2d"))
+
+
+GROUP = f"x AS (SELECT sensor_id, len, unnest(range(0, n - len + 1)) AS start FROM p, (SELECT unnest([16, 32]) AS len) l), y AS (SELECT *, (start + len) % {W} AS ec, (len - (start + len) % {W}) // {W} AS tiles FROM x), g AS (SELECT y.sensor_id, y.len, y.start, sum(d2q) AS d, sum(q2d) AS e, count(*) AS c, max(tiles) AS tiles FROM y JOIN wb ON wb.sensor_id = y.sensor_id AND wb.m * {W} - wb.p = y.start + y.len - 32 AND wb.p >= 32 - y.ec - y.tiles * {W} AND (wb.p - (32 - y.ec)) % {W} = 0 AND wb.p + {W} <= 32 - y.ec GROUP BY ALL)"
+
+
+@register("op_w06_group_bounds", f"WITH {_windows_sql('both')}, {GROUP} SELECT sensor_id, len::INTEGER AS len, start::BIGINT AS start, round(greatest(d, e), 5) AS lb FROM g WHERE c = tiles")
+def _(spark, sf):
+    s, b = _bounds(spark, sf)
+    return search.group_bounds(b, series.lengths(s), 32, [16, 32], W).select("sensor_id", "len", "start", F.round("lb", 5).alias("lb"))
+
+
+def _verified(s: DataFrame):
+    """Adds the true distances of (query_id, len, start) rows of one length L."""
+    items = latest(s)
+
+    def verify(rows):
+        w = series.windows(s, L)
+        return rows.join(items.select("query_id", "item"), "query_id").join(w, ["sensor_id", "start"]).withColumn("dist", columns.dtw(F.col("item"), F.col("c"), R)).drop("item", "c")
+
+    return verify
+
+
+def _threshold_parts(spark, sf):
+    s, b = _bounds(spark, sf)
+    bounds = search.group_bounds(b, series.lengths(s), 32, [L], W)
+    return s, bounds, search.thresholds(bounds, _verified(s), K)
+
+
+_TAU = f"{_windows_sql('both')}, {GROUP}, lb AS (SELECT sensor_id, start, greatest(d, e) AS lb FROM g WHERE c = tiles AND len = {L}), first AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY lb, start) AS rank FROM lb), {win()}, {Q}, tau AS (SELECT sensor_id, max({dtw_sql(R)}) AS tau FROM first JOIN w USING (sensor_id, start) JOIN q USING (sensor_id) WHERE rank <= {K} GROUP BY sensor_id)"
+
+
+@register("op_w08_threshold")
+def _(spark, sf):
+    return _threshold_parts(spark, sf)[2].select("query_id", F.round("tau", 4).alias("tau"))
+
+
+@register("op_w09_candidates")
+def _(spark, sf):
+    _, bounds, tau = _threshold_parts(spark, sf)
+    return search.candidates(bounds, tau).select("query_id", "len", "start", F.round("lb", 5).alias("lb"))
+
+
+@register("op_w10_verified", _pair_sql(dtw_sql(R)))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    every = series.windows(s, L).select(F.col("sensor_id").alias("query_id"), "sensor_id", "start")
+    return _verified(s)(every).select("sensor_id", "start", r6("dist", "dist"))
+
+
+@register("op_w11_select", top_sql(dtw_sql(R)))
+def _(spark, sf):
+    s, bounds, tau = _threshold_parts(spark, sf)
+    # places after the last whole window have no bound and are always verified
+    tail = series.windows(s, L).select(F.col("sensor_id").alias("query_id"), "sensor_id", "start").join(bounds.select("query_id", "start"), ["query_id", "start"], "left_anti")
+    chosen = search.candidates(bounds, tau).select("query_id", "sensor_id", "start").unionByName(tail)
+    return shown(search.top_k(_verified(s)(chosen), ["query_id"], K))
+
+
+def _index(lengths: list[int], k: int, **more):
+    def run(spark, sf):
+        s = sensors(spark, sf)
+        found = search.index_top_k(s, latest(s, max(lengths)), lengths, k, R, W, **more)
+        return found.select("query_id", "len", "start", F.col("rank").cast("long").alias("rank"), r6("dist", "dist"))
+
+    return run
+
+
+QUERIES["op_w14_exact_top_k"] = lambda spark, sf: shown(search.index_top_k(sensors(spark, sf), latest(sensors(spark, sf)), [L], K, R, W))
+ORACLE_SQL["op_w14_exact_top_k"] = top_sql(dtw_sql(R))
+QUERIES["op_w12_sorted_top_k"] = lambda spark, sf: shown(search.index_top_k(sensors(spark, sf), latest(sensors(spark, sf)), [L], 2 * K, R, W, mode="d2q"))
+ORACLE_SQL["op_w12_sorted_top_k"] = top_sql(dtw_sql(R), 2 * K)
+QUERIES["op_w13_small_chunks"] = lambda spark, sf: shown(search.index_top_k(sensors(spark, sf), latest(sensors(spark, sf)), [L], K, R, W, mode="q2d", chunk=512))
+ORACLE_SQL["op_w13_small_chunks"] = top_sql(dtw_sql(R))
+QUERIES["op_w27_search_session"] = _index([16, 32, 64], K)
+QUERIES["op_w28_retrieve_with_reserve"] = _index([16, 32], K, reserve=21, exclude=32)
+
+
+@register("op_w15_w18_continuous_search")
+def _(spark, sf):
+    """The latest queries of ten consecutive steps, each answered exactly."""
+    s = sensors(spark, sf)
+    n = series.lengths(s)
+    starts = n.select("sensor_id", F.explode(F.sequence(F.col("n") - 32 - 9, F.col("n") - 32)).alias("start"))
+    qs = q.cut_queries(s, starts, 32).select(F.concat_ws("@", "sensor_id", "start").alias("query_id"), "sensor_id", "start", "q")
+    found = search.index_top_k(s, qs, [16, 32], K, R, W)
+    return found.select("query_id", "len", "start", F.col("rank").cast("long").alias("rank"), r6("dist", "dist"))
+
+
+@register("op_w21_merge_top_k", top_sql(EU))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    d = search.distances(s, latest(s), L)
+    odd = search.top_k(d.filter(F.col("start") % 2 == 1), ["query_id", "len"], K)
+    even = search.top_k(d.filter(F.col("start") % 2 == 0), ["query_id", "len"], K)
+    return shown(search.merge_top_k(odd, even, K))
+
+
+@register("op_w22_kth_distance", f"WITH r AS ({top_sql(EU)}) SELECT query_id, max(dist) AS tau FROM r GROUP BY query_id")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return search.scan_top_k(s, latest(s), L, K).groupBy("query_id").agg(r6(F.max("dist"), "tau"))
+
+
+@register("op_w23_strided_sample", f"WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY t) - 1 AS rn FROM s) SELECT sensor_id, t::BIGINT AS t FROM r WHERE rn % 7 = 0 AND rn / 7 < 20")
+def _(spark, sf):
+    return search.strided_sample(sensors(spark, sf), ["sensor_id"], "t", 7, 20).select("sensor_id", "t")
+
+
+@register("op_w24_finished", f"WITH {S} SELECT sensor_id, bool_and(v >= 0) AS finished FROM s GROUP BY sensor_id")
+def _(spark, sf):
+    return search.finished(sensors(spark, sf).withColumn("ok", F.col("v") >= 0), "sensor_id", "ok")
+
+
+# --- top-k, sorting and scans
+
+
+@register("op_t01_top_k_per_segment", f"WITH {S}, k AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) + 2 AS k FROM (SELECT DISTINCT sensor_id FROM s)), r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY v, t) AS rank FROM s) SELECT sensor_id, t::BIGINT AS t FROM r JOIN k USING (sensor_id) WHERE rank <= k")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    s = sensors(spark, sf)
+    ks = s.select("sensor_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("sensor_id")) + 2)
+    return search.top_k(s.join(F.broadcast(ks), "sensor_id"), ["sensor_id"], F.col("k"), by="v", tie="t").select("sensor_id", "t")
+
+
+@register("op_t02_top_k", f"WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY v, t) AS rank FROM s) SELECT sensor_id, t::BIGINT AS t, v FROM r WHERE rank <= 32")
+def _(spark, sf):
+    return search.top_k(sensors(spark, sf), ["sensor_id"], 32, by="v", tie="t").select("sensor_id", "t", "v")
+
+
+@register("op_t03_histogram", f"WITH {S}, m AS (SELECT sensor_id, min(v) AS lo, max(v) AS hi FROM s GROUP BY sensor_id) SELECT sensor_id, least(floor((v - lo) / (hi - lo) * 64), 63)::BIGINT AS bucket, count(*) AS n FROM s JOIN m USING (sensor_id) GROUP BY ALL")
+def _(spark, sf):
+    s = sensors(spark, sf)
+    m = s.groupBy("sensor_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bucket = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 64), F.lit(63)).alias("bucket")
+    return s.join(m, "sensor_id").groupBy("sensor_id", bucket).agg(F.count("*").alias("n"))
+
+
+@register("op_t04_sort", f"WITH {P}, {win()} SELECT sensor_id, start::BIGINT AS start, list_sort(c) AS c FROM w")
+def _(spark, sf):
+    return series.windows(sensors(spark, sf), L).select("sensor_id", "start", F.sort_array("c").alias("c"))
+
+
+@register("op_t05_sort_limit", f"WITH {S} SELECT sensor_id, t::BIGINT AS t, v FROM s ORDER BY v DESC, sensor_id, t LIMIT 100")
+def _(spark, sf):
+    return sensors(spark, sf).orderBy(F.desc("v"), "sensor_id", "t").limit(100)
+
+
+@register("op_t06_aggregate", f"WITH {S} SELECT sensor_id, round(sum(v), 4) AS total, max(v) AS largest FROM s GROUP BY sensor_id")
+def _(spark, sf):
+    return sensors(spark, sf).groupBy("sensor_id").agg(F.round(F.sum("v"), 4).alias("total"), F.max("v").alias("largest"))
+
+
+@register("op_t07_min_max", f"WITH {S} SELECT sensor_id, CASE WHEN min(v) > 0 AND min(v) < 1e-3 THEN 0 ELSE min(v) END AS low, max(v) AS high FROM s GROUP BY sensor_id")
+def _(spark, sf):
+    low = F.min("v")
+    return sensors(spark, sf).groupBy("sensor_id").agg(F.when((low > 0) & (low < 1e-3), 0.0).otherwise(low).alias("low"), F.max("v").alias("high"))
+
+
+@register("op_t08_prefix_sums", f"WITH {S} SELECT sensor_id, t::BIGINT AS t, round(sum(v) OVER w, 4) AS inclusive, round(sum(v) OVER w - v, 4) AS exclusive FROM s WINDOW w AS (PARTITION BY sensor_id ORDER BY t)")
+def _(spark, sf):
+    return series.prefix_sums(sensors(spark, sf)).select("sensor_id", "t", F.round("inclusive", 4).alias("inclusive"), F.round("exclusive", 4).alias("exclusive"))
+
+
+@register("op_t09_order_results", f"WITH r AS ({top_sql(EU)}) SELECT query_id, start, row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, start) AS place FROM r")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    s = sensors(spark, sf)
+    found = search.scan_top_k(s, latest(s), L, K).withColumn("dist", F.round("dist", 6))
+    return found.select("query_id", "start", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dist"), "start")).cast("long").alias("place"))
+
+
+# --- inverted lists
+
+QB = f"qb AS (SELECT sensor_id AS query_id, sensor_id, unnest(range(0, {L})) AS dim, unnest(list_transform(a[n - {L} + 1:n], lambda x: trunc(x / 10)::BIGINT)) AS kw FROM p)"
+
+
+def _kw(spark, sf) -> DataFrame:
+    return latest(_bucketed(spark, sf)).select("query_id", "sensor_id", F.posexplode("q").alias("dim", "kw")).withColumn("kw", F.col("kw").cast("long"))
+
+
+@register("op_i01_composite_keys", f"WITH {BUCKETED} SELECT sensor_id, pos::BIGINT AS pos, dim::INTEGER AS dim, ((dim << 12) + value)::BIGINT AS key, value::BIGINT AS value FROM x")
+def _(spark, sf):
+    rows = invlist.postings(_bucket_windows(spark, sf)).withColumn("key", invlist.composite_key(F.col("dim"), F.col("value"), 12))
+    dim, value = invlist.split_key(F.col("key"), 12)
+    return rows.select("sensor_id", "pos", dim.cast("int").alias("dim"), "key", value.alias("value"))
+
+
+@register("op_i02_sliding_postings", f"WITH {BUCKETED} SELECT sensor_id, dim::INTEGER AS dim, value::BIGINT AS value, count(*) AS n FROM x GROUP BY ALL")
+def _(spark, sf):
+    return invlist.lists(invlist.postings(_bucket_windows(spark, sf)))
+
+
+@register("op_i03_disjoint_postings", f"WITH {S} SELECT sensor_id, (t // {L})::BIGINT AS pos, (t % {L})::INTEGER AS dim, trunc(v / 10)::INTEGER AS value FROM s")
+def _(spark, sf):
+    return invlist.disjoint_postings(series.bucketise(sensors(spark, sf), width=10.0), L)
+
+
+@register("op_i04_multi_series_postings", f"WITH {S}, g AS (SELECT *, dense_rank() OVER (ORDER BY sensor_id) - 1 AS g FROM s) SELECT (g * {L} + t % {L})::BIGINT AS dim, trunc(v / 10)::INTEGER AS value, count(*) AS n FROM g GROUP BY ALL")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    rows = invlist.disjoint_postings(series.bucketise(sensors(spark, sf), width=10.0), L)
+    g = rows.select("sensor_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("sensor_id")) - 1)
+    return rows.join(F.broadcast(g), "sensor_id").select((F.col("g") * L + F.col("dim")).cast("long").alias("dim"), "value").groupBy("dim", "value").agg(F.count("*").alias("n"))
+
+
+@register("op_i05_build_index", f"WITH {BUCKETED} SELECT count(*) AS entries, count(DISTINCT (sensor_id, dim, value)) AS lists FROM x")
+def _(spark, sf):
+    path = fresh_path(spark, "index")
+    files.write_postings(invlist.postings(_bucket_windows(spark, sf)), path)
+    return invlist.lists(files.read_postings(spark, path)).agg(F.sum("n").alias("entries"), F.count("*").alias("lists"))
+
+
+_EXPANDED = f"{BUCKETED}, {QB}, ex AS (SELECT query_id, pos, count(*) AS count, sum((value - kw) * (value - kw))::DOUBLE AS acd FROM x JOIN qb USING (sensor_id, dim) WHERE abs(value - kw) <= 2 GROUP BY ALL)"
+
+
+def _expanded(spark, sf):
+    return invlist.expand(invlist.postings(_bucket_windows(spark, sf)), _kw(spark, sf), 2)
+
+
+@register("op_i06_expansion", f"WITH {_EXPANDED} SELECT query_id, pos::BIGINT AS pos, count, acd FROM ex")
+def _(spark, sf):
+    return _expanded(spark, sf).select("query_id", "pos", "count", "acd")
+
+
+_DIMS = "dm AS (SELECT sensor_id, dim, min(value) AS lo, max(value) AS hi FROM x GROUP BY ALL), ub AS (SELECT query_id, list(pow(greatest(kw - lo, hi - kw), 2) ORDER BY pow(greatest(kw - lo, hi - kw), 2)) AS ubs FROM qb JOIN dm USING (sensor_id, dim) GROUP BY query_id)"
+
+
+@register("op_i07_dimension_bounds", f"WITH {_EXPANDED}, {_DIMS} SELECT query_id, ubs FROM ub")
+def _(spark, sf):
+    return invlist.dimension_bounds(invlist.postings(_bucket_windows(spark, sf)), _kw(spark, sf), 2).select("query_id", "ubs")
+
+
+_BOUNDED = f"{_EXPANDED}, {_DIMS}, bo AS (SELECT query_id, pos, count, acd, acd + 9.0 * ({L} - count) AS lb, acd + coalesce(list_sum(ubs[count + 1:{L}]), 0) AS ub FROM ex JOIN ub USING (query_id))"
+
+
+def _bounded(spark, sf):
+    rows, kw = invlist.postings(_bucket_windows(spark, sf)), _kw(spark, sf)
+    b = invlist.dimension_bounds(rows, kw, 2)
+    return invlist.result_bounds(invlist.expand(rows, kw, 2), b, L), b
+
+
+@register("op_i08_result_bounds", f"WITH {_BOUNDED} SELECT query_id, pos::BIGINT AS pos, lb::DOUBLE AS lb, ub::DOUBLE AS ub FROM bo")
+def _(spark, sf):
+    return _bounded(spark, sf)[0].select("query_id", "pos", "lb", "ub")
+
+
+@register("op_i09_termination", f"WITH {_BOUNDED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ub, pos) AS rank FROM bo), a AS (SELECT query_id, max(ub) FILTER (rank <= 3) AS kth, min(lb) FILTER (rank > 3) AS rest, count(*) AS n FROM r GROUP BY query_id) SELECT query_id, n >= 3 AND kth <= least(coalesce(rest, 'inf'::DOUBLE), {9.0 * L}) AS finished FROM a")
+def _(spark, sf):
+    bounded, b = _bounded(spark, sf)
+    return invlist.finished(bounded, b, 3, L)
+
+
+_EXACT = f"{P}, {win()}, {Q}, d AS (SELECT query_id, start, list_sum(list_transform(range(1, {L + 1}), lambda i: pow(trunc(c[i] / 10) - trunc(q[i] / 10), 2))) AS dist FROM w JOIN q USING (sensor_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, start) AS rank FROM d)"
+
+
+@register("op_i10_nearest", f"WITH {_EXACT} SELECT query_id, start::BIGINT AS pos, dist, rank::BIGINT AS rank FROM r WHERE rank <= 3")
+def _(spark, sf):
+    w = _bucket_windows(spark, sf)
+    found = invlist.nearest(invlist.postings(w), w, _kw(spark, sf), 3, L, reach=2)
+    return found.select("query_id", "pos", "dist", F.col("rank").cast("long").alias("rank"))
+
+
+@register("op_i11_point_query", f"WITH {BUCKETED}, {QB} SELECT query_id, pos::BIGINT AS pos, count(*) AS matches FROM x JOIN qb ON x.sensor_id = qb.sensor_id AND x.dim = qb.dim AND x.value = qb.kw GROUP BY ALL HAVING count(*) > 3")
+def _(spark, sf):
+    return invlist.point_query(invlist.postings(_bucket_windows(spark, sf)), _kw(spark, sf), 3).select("query_id", "pos", "matches")
+
+
+@register("op_i12_prune_statistics", f"WITH {_EXPANDED}, e AS (SELECT sensor_id, count(DISTINCT pos) AS entries FROM x GROUP BY sensor_id) SELECT query_id, count(*) AS touched, entries, round(1 - count(*) / entries, 6) AS pruned FROM ex JOIN e ON e.sensor_id = ex.query_id GROUP BY query_id, entries")
+def _(spark, sf):
+    stats = invlist.prune_statistics(_expanded(spark, sf), _bucket_windows(spark, sf))
+    return stats.select("query_id", "touched", "entries", r6("pruned", "pruned"))
+
+
+# --- gather
+
+
+def _found(spark, sf, k: int = K, reserve: int = H + 1):
+    s = sensors(spark, sf)
+    return s, search.scan_top_k(s, latest(s), L, k, reserve=reserve)
+
+
+def _found_sql(k: int = K, ahead: int = H + 1) -> str:
+    return f"{P}, {win(ahead=ahead)}, {Q}, d AS (SELECT query_id, sensor_id, start, c, y, {EU} AS dist FROM w JOIN q USING (sensor_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, start) AS rank FROM d), f AS (SELECT * FROM r WHERE rank <= {k})"
+
+
+@register("op_r01_subsequences", f"WITH {_found_sql()} SELECT query_id, rank::BIGINT AS rank, c AS x FROM f")
+def _(spark, sf):
+    s, found = _found(spark, sf)
+    return gather.subsequences(s, found, L).select("query_id", F.col("rank").cast("long").alias("rank"), "x")
+
+
+@register("op_r02_values_at", f"WITH {_found_sql()} SELECT query_id, rank::BIGINT AS rank, a[start + 6] AS y FROM f JOIN p USING (sensor_id)")
+def _(spark, sf):
+    s, found = _found(spark, sf)
+    return gather.values_at(s, found, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "y")
+
+
+@register("op_r03_training_rows", f"WITH {_found_sql()} SELECT query_id, rank::BIGINT AS rank, c AS x, y FROM f")
+def _(spark, sf):
+    s, found = _found(spark, sf)
+    rows = gather.training_rows(s, gather.subsequences(s, found, L), H)
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "x", "y")
+
+
+@register("op_r04_next_labels", f"WITH {_found_sql()} SELECT query_id, rank::BIGINT AS rank, h::INTEGER AS h, a[start + {L} + h + 1] AS y FROM f JOIN p USING (sensor_id), range(0, {H + 1}) t(h)")
+def _(spark, sf):
+    s, found = _found(spark, sf)
+    out = None
+    for h in range(H + 1):
+        one = gather.next_labels(s, found, h).select("query_id", F.col("rank").cast("long").alias("rank"), F.lit(h).alias("h"), "y")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("op_r05_grouped_training", f"WITH {_found_sql()} SELECT query_id, list(y ORDER BY rank) AS ys FROM f GROUP BY query_id")
+def _(spark, sf):
+    s, found = _found(spark, sf)
+    return gather.grouped(gather.training_rows(s, found, H)).select("query_id", F.transform("train", lambda x: x.y).alias("ys"))
+
+
+# --- predictors, ensemble and metrics
+
+KS = [4, 8]
+_W = "1 / (sqrt(dist) + 1e-4)"
+_GRID = f"{_found_sql(8)}, gr AS (SELECT query_id, k, sum(y * {_W}) / sum({_W}) AS mean, greatest(sum(y * y * {_W}) / sum({_W}) - pow(sum(y * {_W}) / sum({_W}), 2), 0) + 1e-4 AS var FROM f, (SELECT unnest([4, 8]) AS k) z WHERE rank <= k GROUP BY ALL)"
+
+
+def _grid(spark, sf):
+    s, found = _found(spark, sf, 8)
+    return s, forecast.knn_grid(gather.training_rows(s, found, H), KS)
+
+
+@register("op_g01_knn_regression", f"WITH {_GRID} SELECT query_id, round(mean, 5) AS mean, round(var, 4) AS var FROM gr WHERE k = 8")
+def _(spark, sf):
+    return _grid(spark, sf)[1].filter("k = 8").select("query_id", F.round("mean", 5).alias("mean"), F.round("var", 4).alias("var"))
+
+
+@register("op_g02_knn_grid", f"WITH {_GRID} SELECT query_id, k::INTEGER AS k, round(mean, 5) AS mean, round(var, 4) AS var FROM gr")
+def _(spark, sf):
+    return _grid(spark, sf)[1].select("query_id", "k", F.round("mean", 5).alias("mean"), F.round("var", 4).alias("var"))
+
+
+@register("op_g03_row_weights", f"WITH {_found_sql()} SELECT query_id, rank::BIGINT AS rank, round(1 / (sqrt(dist) + 1), 6) AS weight FROM f")
+def _(spark, sf):
+    _, found = _found(spark, sf)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), r6(1 / (F.sqrt("dist") + 1), "weight"))
+
+
+def _gp(spark, sf, lengths=(16,), ks=(8,)):
+    s = sensors(spark, sf)
+    qs = latest(s, max(lengths))
+    found = search.index_top_k(s, qs, list(lengths), max(ks), R, W, reserve=H + 1)
+    rows = None
+    for n in lengths:
+        one = gather.subsequences(s, gather.training_rows(s, found.filter(F.col("len") == n), H), n)
+        rows = one if rows is None else rows.unionByName(one)
+    return forecast.gp_grid(rows, qs, forecast.Settings(lengths=lengths, ks=ks, horizon=H))
+
+
+@register("op_g04_loo_gp")
+def _(spark, sf):
+    return _gp(spark, sf)
+
+
+@register("op_g06_loo_gp_grid")
+def _(spark, sf):
+    return _gp(spark, sf, (16, 32), (4, 8))
+
+
+@register("op_g13_multi_step", f"WITH {_found_sql(8)}, ls AS (SELECT query_id, h, k, a[start + {L} + h + 1] AS y, dist FROM f JOIN p USING (sensor_id), range(0, {H + 1}) t(h), (SELECT unnest([4, 8]) AS k) z WHERE rank <= k) SELECT query_id, h::INTEGER AS h, k::INTEGER AS k, round(sum(y * {_W}) / sum({_W}), 5) AS mean FROM ls GROUP BY ALL")
+def _(spark, sf):
+    s, found = _found(spark, sf, 8)
+    return forecast.multi_step(s, found, KS, H).select("query_id", "h", "k", F.round("mean", 5).alias("mean"))
+
+
+@register("op_g14_shift_concat", f"WITH {_found_sql()} SELECT query_id, rank::BIGINT AS rank, list_append(c[2:{L}], y) AS x FROM f")
+def _(spark, sf):
+    s, found = _found(spark, sf)
+    rows = gather.training_rows(s, gather.subsequences(s, found, L), H)
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), F.concat(F.slice("x", 2, L - 1), F.array("y")).alias("x"))
+
+
+@register("op_g18_sparse_gp")
+def _(spark, sf):
+    from ..operators.sparse import fit_predict
+
+    return fit_predict(sensors(spark, sf), every=64, most=50)
+
+
+@register("op_g20_noise_metadata", "WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'GAUSSIAN,0,' || value ELSE 'UNKNOWN' END AS m, value FROM events), g AS (SELECT avg(value) FILTER (event_id % 3 = 0) AS a FROM e) SELECT event_id, round(CASE WHEN m LIKE 'GAUSSIAN%' THEN value ELSE a END, 6) AS variance FROM e, g")
+def _(spark, sf):
+    from ..operators.sparse import noise_variances
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    m = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("GAUSSIAN,0,"), F.col("value").cast("string"))).otherwise(F.lit("UNKNOWN"))
+    return noise_variances(e.select("event_id", m.alias("metadata"))).select("event_id", r6("variance", "variance"))
+
+
+@register("op_g22_covariances", f"WITH {P}, {win()}, {Q}, d AS (SELECT sensor_id, start, {EU} / 10000 AS d2 FROM w JOIN q USING (sensor_id)) SELECT sensor_id, start::BIGINT AS start, round(1.44 * exp(-d2 / (2 * 25)), 6) AS gaussian, round(1.2 * exp(-sqrt(d2) / 10), 6) AS exponential, round(1.2 * (1 + sqrt(5 * d2) / 5 + d2 / 15) * exp(-sqrt(5 * d2) / 5), 6) AS matern5, round(1 / 1.2, 6) AS constant FROM d")
+def _(spark, sf):
+    d2 = columns.squared_euclid("q", "c") / 10000
+    rows = _pairs(spark, sf).select("sensor_id", "start", d2.alias("d2"))
+    return rows.select("sensor_id", "start", *(r6(columns.covariance(n, F.col("d2"), 5.0, 1.2), n) for n in ("gaussian", "exponential", "matern5", "constant")))
+
+
+_MIX = f"{_GRID}, mx AS (SELECT query_id, sum(mean * k) / sum(k) AS mean, sum(var * k) / sum(k) AS var FROM gr GROUP BY query_id)"
+
+
+@register("op_e01_ensemble", f"WITH {_MIX} SELECT query_id, round(mean, 5) AS mean, round(var, 4) AS var FROM mx")
+def _(spark, sf):
+    grid = _grid(spark, sf)[1].withColumn("weight", F.col("k"))
+    return forecast.ensemble(grid).select("query_id", F.round("mean", 5).alias("mean"), F.round("var", 4).alias("var"))
+
+
+@register("op_e02_expert_rows", f"WITH {_GRID} SELECT query_id, list(round(mean, 5) ORDER BY k) AS means FROM gr GROUP BY query_id")
+def _(spark, sf):
+    g = _grid(spark, sf)[1].groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", "mean"))).alias("g"))
+    return g.select("query_id", F.transform("g", lambda x: F.round(x["mean"], 5)).alias("means"))
+
+
+def _judged(spark, sf):
+    """Each sensor's last value forecast from the queries that end just before its horizon."""
+    s = sensors(spark, sf)
+    past = series.trim_tail(s, H + 1)
+    found = search.scan_top_k(past, latest(past), L, 8, reserve=H + 1)
+    grid = forecast.knn_grid(gather.training_rows(past, found, H), KS).withColumn("weight", F.lit(0.5))
+    last = s.join(series.lengths(s), "sensor_id").filter(F.col("t") == F.col("n") - 1).select(F.col("sensor_id").alias("query_id"), F.col("v").alias("y"))
+    return forecast.ensemble(grid).join(last, "query_id"), grid.join(last, "query_id")
+
+
+_LAST = f"{S}, p AS (SELECT sensor_id, list(v ORDER BY t) AS a0, list(v ORDER BY t)[1:count(*) - {H + 1}] AS a, count(*) - {H + 1} AS n FROM s GROUP BY sensor_id)"
+_JUDGED = f"{_found_sql(8).replace(P, _LAST)}, gr AS (SELECT query_id, k, sum(y * {_W}) / sum({_W}) AS mean, greatest(sum(y * y * {_W}) / sum({_W}) - pow(sum(y * {_W}) / sum({_W}), 2), 0) + 1e-4 AS var FROM f, (SELECT unnest([4, 8]) AS k) z WHERE rank <= k GROUP BY ALL), ju AS (SELECT query_id, avg(mean) AS mean, avg(var) AS var, any_value(a0[n + {H + 1}]) AS y FROM gr JOIN p ON p.sensor_id = query_id GROUP BY query_id)"
+
+
+@register("op_e03_expert_likelihood", f"WITH {_JUDGED} SELECT query_id, k::INTEGER AS k, round(exp(-pow(a0[n + {H + 1}] - mean, 2) / (2 * var)) / sqrt(2 * pi() * var), 6) AS likelihood FROM gr JOIN p ON p.sensor_id = query_id")
+def _(spark, sf):
+    return _judged(spark, sf)[1].select("query_id", "k", r6(columns.likelihood(F.col("y"), F.col("mean"), F.col("var")), "likelihood"))
+
+
+@register("op_e06_errors", f"WITH {_JUDGED} SELECT query_id, round(abs(y - mean), 5) AS ae, round(pow(y - mean, 2), 4) AS se FROM ju")
+def _(spark, sf):
+    return forecast.errors(_judged(spark, sf)[0]).select("query_id", F.round("ae", 5).alias("ae"), F.round("se", 4).alias("se"))
+
+
+@register("op_e07_standard_error", f"WITH {_JUDGED} SELECT query_id, round(pow(y - mean, 2) / var, 5) AS sse, round(pow(y - mean, 4) / var, 2) AS sse_compat FROM ju")
+def _(spark, sf):
+    j = _judged(spark, sf)[0]
+    y, m, v = F.col("y"), F.col("mean"), F.col("var")
+    return j.select("query_id", F.round(columns.standard_square_error(y, m, v), 5).alias("sse"), F.round(columns.standard_square_error(y, m, v, True), 2).alias("sse_compat"))
+
+
+@register("op_e08_log_likelihood", f"WITH {_JUDGED} SELECT query_id, round((pow(y - mean, 2) / var + ln(var) + ln(2 * pi())) / 2, 5) AS nll FROM ju")
+def _(spark, sf):
+    return forecast.errors(_judged(spark, sf)[0]).select("query_id", F.round("nll", 5).alias("nll"))
+
+
+@register("op_e09_metrics", f"WITH {_JUDGED} SELECT count(*) AS n, round(avg(abs(y - mean)), 5) AS mae, round(avg(pow(y - mean, 2)), 4) AS mse, round(avg(pow(y - mean, 2) / var), 5) AS msse, round(avg((pow(y - mean, 2) / var + ln(var) + ln(2 * pi())) / 2), 5) AS mnll FROM ju")
+def _(spark, sf):
+    m = forecast.metrics(forecast.errors(_judged(spark, sf)[0]))
+    return m.select("n", F.round("mae", 5).alias("mae"), F.round("mse", 4).alias("mse"), F.round("msse", 5).alias("msse"), F.round("mnll", 5).alias("mnll"))
+
+
+SMALL = forecast.Settings(lengths=(16, 32), ks=(4, 8), horizon=20, band=4, window=8, steps=10)
+
+
+@register("op_e10_forecast")
+def _(spark, sf):
+    """The flagship: 21-step-ahead forecasts of every sensor, neighbours by the index search, weights self-corrected."""
+    return forecast.continuous(sensors(spark, sf), SMALL)
+
+
+@register("op_e10_forecast_gp")
+def _(spark, sf):
+    from dataclasses import replace
+
+    return forecast.continuous(sensors(spark, sf), replace(SMALL, model="gp", steps=5))
+
+
+@register("op_e11_forecast_metrics")
+def _(spark, sf):
+    return forecast.metrics(forecast.errors(forecast.continuous(sensors(spark, sf), SMALL)), "sensor_id")
+
+
+@register("op_e17_etl", f"WITH {S}, m AS (SELECT * FROM s WHERE v >= 5) SELECT sensor_id, t::BIGINT AS t, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS z FROM m WINDOW w AS (PARTITION BY sensor_id)")
+def _(spark, sf):
+    marked = sensors(spark, sf).withColumn("v", F.when(F.col("v") < 5, -1.0).otherwise(F.col("v")))
+    return series.znormalise(series.drop_missing(marked)).select("sensor_id", "t", r6("z", "z"))
