@@ -1011,3 +1011,166 @@ def _(spark, sf):
 def _(spark, sf):
     marked = sensors(spark, sf).withColumn("v", F.when(F.col("v") < 5, -1.0).otherwise(F.col("v")))
     return series.znormalise(series.drop_missing(marked)).select("sensor_id", "t", r6("z", "z"))
+
+
+# --- sessions, streams and further models
+
+
+def _per_sensor(s: DataFrame, last: int, schema: str, f):
+    """f on the last `last` values of every sensor."""
+    import pandas as pd
+
+    tail = s.join(series.lengths(s), "sensor_id").filter(F.col("t") >= F.col("n") - last).groupBy("sensor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x.v).alias("values"))
+
+    def run(frames):
+        for frame in frames:
+            for sensor, values in zip(frame["sensor_id"], frame["values"]):
+                yield pd.DataFrame(f(sensor, values), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return tail.mapInPandas(run, schema)
+
+
+@register("op_w16_continuous_session")
+def _(spark, sf):
+    """Step by step over each sensor's last 160 values; every answer is exact."""
+    from ..streaming.session import Session
+
+    def steps(sensor, values):
+        session = Session(SMALL)
+        out = [(sensor, *got) for v in values if (got := session.push(float(v))) is not None]
+        return out
+
+    return _per_sensor(sensors(spark, sf), 160, "sensor_id string, target long, mean double, var double", steps)
+
+
+@register("op_e05_stream_forecast")
+def _(spark, sf):
+    """The events as a stream, forecast by stateful sessions."""
+    from ..streaming.stream import forecast_stream, run_available
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/event[s].parquet")
+    rows = events.select(F.col("event_type").alias("sensor_id"), "ts", F.col("event_id").alias("tie"), F.col("value").alias("v"))
+    return run_available(spark, forecast_stream(rows, SMALL, keep=256), "forecast")
+
+
+@register("op_e04_self_correction")
+def _(spark, sf):
+    """Expert weights after each step of the continuous forecast."""
+    from ..streaming.session import Session
+
+    def steps(sensor, values):
+        session, out = Session(SMALL), []
+        for i, v in enumerate(values):
+            if session.push(float(v)) is not None:
+                out += [(sensor, i, e, float(w)) for e, w in enumerate(session.experts.weight)]
+        return out
+
+    return _per_sensor(sensors(spark, sf), 120, "sensor_id string, step long, expert long, weight double", steps)
+
+
+def _supervised(values, dim: int = 8, rows: int = 40):
+    import numpy as np
+
+    v = np.asarray(values, float)
+    v = (v - v.mean()) / max(v.std(), 1e-9)
+    w = np.lib.stride_tricks.sliding_window_view(v, dim + 1)[-rows:]
+    return w[:-1, :dim], w[:-1, dim], w[-1, :dim]
+
+
+@register("op_g05_loo_errors")
+def _(spark, sf):
+    from ..functions import gaussian
+
+    def f(sensor, values):
+        x, y, _ = _supervised(values)
+        _, mean, var = gaussian.loo_terms(gaussian.np.array([3.0, 1.0, 0.7]), x, y)
+        return [(sensor, float(((y - mean) ** 2 / var).mean()))]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, error double", f)
+
+
+def _models(sensor, values):
+    import numpy as np
+
+    from ..functions import gaussian
+
+    x, y, at = _supervised(values)
+    start = np.array([3.0, 1.0, 0.7])
+    out = []
+    for name, f in (("marginal", lambda p: gaussian.marginal_objective(p, x, y)), ("loo", lambda p: gaussian.loo_objective(p, x, y)), ("weighted_loo", lambda p: gaussian.weighted_loo_objective(p, x, y, at))):
+        p, value = gaussian.scg(f, start, 5)
+        m, v = gaussian.predict(p, x, y, at[None])
+        out.append((sensor, name, float(value), float(m[0]), float(v[0])))
+    return out
+
+
+@register("op_g07_marginal_gp")
+def _(spark, sf):
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'marginal'")
+
+
+@register("op_g08_weighted_loo_gp")
+def _(spark, sf):
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'weighted_loo'")
+
+
+@register("op_g09_gp_predict")
+def _(spark, sf):
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'loo'")
+
+
+@register("op_g10_iterative_gp")
+def _(spark, sf):
+    """Five steps ahead one after the other, each prediction's uncertainty going into the next input."""
+    import numpy as np
+
+    from ..functions import gaussian
+
+    def f(sensor, values):
+        x, y, at = _supervised(values)
+        p, _ = gaussian.scg(lambda z: gaussian.loo_objective(z, x, y), np.array([3.0, 1.0, 0.7]), 5)
+        mean, cov, out = at.copy(), 1e-9 * np.eye(len(at)), []
+        for step in range(5):
+            m, v, cross = gaussian.predict_uncertain(p, x, y, mean, cov)
+            out.append((sensor, step, m, max(v, 1e-9)))
+            mean, cov = gaussian.next_input(mean, cov, m, max(v, 1e-9), cross)
+        return out
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, step long, mean double, var double", f)
+
+
+@register("op_g17_sparse_evidence")
+def _(spark, sf):
+    import numpy as np
+
+    from ..functions.gaussian import SparseGp
+
+    def f(sensor, values):
+        x, y, at = _supervised(values)
+        m = SparseGp([("gaussian", np.array([3.0, 1.0]))], 0.5, 20).fit(x, y)
+        mean, var = m.predict(at[None])
+        return [(sensor, m.evidence(), m.evidence("upper"), float(mean[0]), float(var[0]))]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, evidence double, upper double, mean double, var double", f)
+
+
+@register("op_g24_trainer")
+def _(spark, sf):
+    import numpy as np
+
+    from ..functions import gaussian
+
+    def f(sensor, values):
+        x, y, _ = _supervised(values)
+        p, value = gaussian.scg(lambda z: gaussian.loo_objective(z, x, y), np.array([3.0, 1.0, 0.7]), 30)
+        return [(sensor, *map(float, p), value)]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, length double, sf double, sn double, objective double", f)
+
+
+@register("op_e11_leave_out_experiment")
+def _(spark, sf):
+    from ..api import leave_out_experiment
+
+    return leave_out_experiment(sensors(spark, sf), 4, SMALL)
