@@ -254,7 +254,7 @@ class Transducer:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.special = regex.compile("|".join(regex.escape(x) for x in self.merges.special)) if self.merges.special else None
-        self.words = WordTable(self.encode_words, limit=400_000)
+        self.words = WordTable(self.encode_words, limit=200_000)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.words.encode(texts)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_view, stage, text_slices
+from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices
 
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> Model:
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for rows, data, offsets in text_slices(batches, size=1 << 20):
+        for rows, data, offsets in text_slices(batches):
             bucket, row = trigrams(data, offsets, s.bits)
             names, number = np.unique(np.array(rows.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             for i, name in enumerate(names.tolist()):
@@ -94,9 +94,14 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> Model:
         for name, c in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c.tobytes()], pa.binary())], names=["lang", "counts"])
 
-    got: dict[str, np.ndarray] = {}
-    for r in labelled.filter(keep).select("text", "lang").mapInArrow(run, "lang string, counts binary").toLocalIterator():
-        got[r.lang] = got.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
+    def add(groups):
+        for g in groups:
+            total = sum(np.frombuffer(x, np.int64) for x in g.column("counts").to_pylist())
+            yield pa.RecordBatch.from_arrays([g.column("lang").combine_chunks().slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    schema = "lang string, counts binary"
+    parts = labelled.filter(keep).select("text", "lang").mapInArrow(run, schema)
+    got = {r.lang: np.frombuffer(r.counts, np.int64) for r in by_key(parts, shuffle_partitions(labelled.sparkSession), ["lang"], add, schema).collect()}  # one row a language
     names = sorted(got)
     return Model(names, np.stack([got[x] for x in names]).astype(float) if names else np.zeros((0, 1 << s.bits)))
 
@@ -123,7 +128,7 @@ def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool) -> Da
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part, data, offsets in text_slices(batches, size=1 << 20):
+        for part, data, offsets in text_slices(batches):
             if markup:
                 data, offsets = byte_view(pa.array([_TAGS.sub(" ", t or "") for t in part.column("text").to_pylist()], pa.string()))
             ll, grams = shared.value.likelihoods(data, offsets, s)
