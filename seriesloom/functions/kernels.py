@@ -100,29 +100,42 @@ def smallest(values: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(values[at], kind="stable")][:k]
 
 
-def top_k(values: np.ndarray, query: np.ndarray, lengths: list[int], k: int, r: int, w: int, allowed: np.ndarray | None = None, limit: dict[int, float] | None = None, mode: str = "both", context=None) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+def top_k(values: np.ndarray, query: np.ndarray, lengths: list[int], k: int, r: int, w: int, allowed=None, limit: dict[int, float] | None = None, mode: str = "both", context=None) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
     """length -> (starts, distances, verified): the k nearest subsequences under banded DTW, exactly.
 
     The k smallest bounds are verified first; the k-th true distance, or a smaller limit known from elsewhere, is the
-    threshold, and only starts whose bound doesn't exceed it are verified. allowed masks starts out.
+    threshold, and only starts whose bound doesn't exceed it are verified. allowed masks starts out, for all lengths or
+    by length.
     """
     bounds = lower_bounds(values, query, lengths, r, w, mode, context)
     out = {}
     for length in lengths:
-        lb = bounds[length]
-        starts = np.arange(len(lb)) if allowed is None else np.flatnonzero(allowed[: len(lb)])
-        if not len(starts):
-            out[length] = np.zeros(0, np.int64), np.zeros(0), 0
-            continue
-        q, c = query[len(query) - length :], windows(values, length)
-        first = starts[smallest(lb[starts], k)]
-        d = dtw(q, c[first], r)
+        starts = _free(bounds[length], allowed, length)
+        first, d = _first(values, query, length, k, r, bounds[length], starts)
         tau = np.sort(d)[k - 1] if len(d) >= k else np.inf
         if limit:
             tau = min(tau, limit.get(length, np.inf))
-        rest = starts[(lb[starts] <= tau * (1 + 1e-12)) & ~np.isin(starts, first)]
-        more = np.concatenate([dtw(q, c[rest[a : a + 4096]], r) for a in range(0, len(rest), 4096)]) if len(rest) else np.zeros(0)
-        at, d = np.concatenate([first, rest]), np.concatenate([d, more])
+        open_ = starts[bounds[length][starts] <= tau * (1 + 1e-12)]
+        rest = open_[~np.isin(open_, first)]
+        q, c = query[len(query) - length :], windows(values, length)
+        more = [dtw(q, c[rest[a : a + 4096]], r) for a in range(0, len(rest), 4096)]
+        at, d = np.concatenate([first, rest]), np.concatenate([d, *more])
         order = np.lexsort((at, d))[:k]
         out[length] = at[order], d[order], len(at)
     return out
+
+
+def first_distances(values: np.ndarray, query: np.ndarray, lengths: list[int], k: int, r: int, w: int, allowed=None, mode: str = "both", context=None) -> dict[int, np.ndarray]:
+    """length -> true distances of the k smallest bounds, ascending: what a threshold over several chunks is made of."""
+    bounds = lower_bounds(values, query, lengths, r, w, mode, context)
+    return {length: np.sort(_first(values, query, length, k, r, bounds[length], _free(bounds[length], allowed, length))[1]) for length in lengths}
+
+
+def _free(lb: np.ndarray, allowed, length: int) -> np.ndarray:
+    mask = allowed[length] if isinstance(allowed, dict) else allowed
+    return np.arange(len(lb)) if mask is None else np.flatnonzero(mask[: len(lb)])
+
+
+def _first(values, query, length, k, r, lb, starts) -> tuple[np.ndarray, np.ndarray]:
+    first = starts[smallest(lb[starts], k)]
+    return first, dtw(query[len(query) - length :], windows(values, length)[first], r) if len(first) else np.zeros(0)

@@ -43,6 +43,7 @@ def scan_top_k(series: DataFrame, items: DataFrame, length: int, k: int, metric:
 
 
 FOUND = "query_id string, sensor_id string, len int, start long, dist double, verified long"
+FOUND_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
 
 
 def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 14, two_pass: bool = True) -> DataFrame:
@@ -57,51 +58,62 @@ def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: in
     longest = max(lengths)
     f = frame(series, longest - 1 + band, band, chunk)
     ends = series.groupBy("sensor_id").agg((F.max("t") + 1).alias("n"))
-    packs = queries.select(F.col("query_id").cast("string").alias("query_id"), "sensor_id", "q", F.col("start").alias("at"))
-    jobs = f.join(ends, "sensor_id").join(packs, "sensor_id")
-
-    def search(limited: bool, only_threshold: bool):
-        def run(batches):
+    packs = pack_queries(queries)
+
+    def place(values, row, at):
+        """Which starts of a chunk a query may use, by length."""
+        own = row["first"] + np.arange(len(values))
+        ok = own // chunk == row["chunk"]
+        if exclude is not None:
+            ok &= np.abs(own - at) >= exclude
+        return {length: ok & (own + length <= row["n"] - reserve) for length in lengths}
+
+    def run(threshold: bool):
+        def f(batches):
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    values, first, own = np.array(row["values"]), row["first"], row["chunk"]
-                    n_starts = len(values)
-                    place = first + np.arange(n_starts)
-                    ok = place // chunk == own
-                    if exclude is not None:
-                        ok &= np.abs(place - row["at"]) >= exclude
-                    q = np.array(row["q"])
-                    for length in lengths:
-                        free = ok & (place + length <= row["n"] - reserve)
-                        limit = {length: row["limits"].get(length)} if limited and row["limits"] and length in row["limits"] else None
-                        if only_threshold:
-                            lb = kernels.lower_bounds(values, q, [length], band, window, mode)[length]
-                            starts = np.flatnonzero(free[: len(lb)])
-                            best = starts[kernels.smallest(lb[starts], k)]
-                            d = kernels.dtw(q[len(q) - length :], kernels.windows(values, length)[best], band) if len(best) else np.zeros(0)
-                            got = list(zip(best.tolist(), d.tolist()))
-                            verified = len(got)
+                out: list[tuple] = []
+                for i in range(batch.num_rows):
+                    values = batch.column("values")[i].values.to_numpy(zero_copy_only=False)
+                    row = {c: batch.column(c)[i].as_py() for c in ("sensor_id", "first", "chunk", "n", "pack")}
+                    context = kernels.envelope(values, band)
+                    for job in row["pack"]:
+                        q, allowed = np.array(job["q"]), place(values, row, job["at"])
+                        if threshold:
+                            for length, d in kernels.first_distances(values, q, lengths, k, band, window, allowed, mode, context).items():
+                                out += [(job["query_id"], row["sensor_id"], length, j, float(x), len(d)) for j, x in enumerate(d)]
                         else:
-                            s, d, verified = kernels.top_k(values, q, [length], k, band, window, free, limit, mode)[length]
-                            got = list(zip(s.tolist(), d.tolist()))
-                        out += [(row["query_id"], row["sensor_id"], length, int(first + s), d, verified) for s, d in got]
+                            limit = dict(job["limits"] or []) if "limits" in job else None
+                            for length, (s, d, verified) in kernels.top_k(values, q, lengths, k, band, window, allowed, limit, mode, context).items():
+                                out += [(job["query_id"], row["sensor_id"], length, int(row["first"] + x), float(y), verified) for x, y in zip(s, d)]
                 if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int64())], names=["query_id", "sensor_id", "len", "start", "dist", "verified"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), FOUND_TYPES)], names=["query_id", "sensor_id", "len", "start", "dist", "verified"])
+
+        return f
 
-        return run
+    def jobs(packed):
+        return f.join(ends, "sensor_id").join(packed, "sensor_id").select("sensor_id", "first", "chunk", "n", "values", "pack")
 
     if two_pass:
-        seeds = jobs.mapInArrow(search(False, True), FOUND)
+        seeds = jobs(packs).mapInArrow(run(True), FOUND)
         tau = top_k(seeds, ["query_id", "len"], k).groupBy("query_id", "len").agg(F.max("dist").alias("tau"), F.count("*").alias("c")).filter(F.col("c") >= k)
         limits = tau.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("len", "tau"))).alias("limits"))
-        found = jobs.join(limits, "query_id", "left").mapInArrow(search(True, False), FOUND)
-    else:
-        found = jobs.mapInArrow(search(False, False), FOUND)
+        packs = pack_queries(queries, limits)
+    found = jobs(packs).mapInArrow(run(False), FOUND)
     return top_k(found, ["query_id", "len"], k).select("query_id", "sensor_id", "len", "rank", "start", "dist")
 
 
+def pack_queries(queries: DataFrame, limits: DataFrame | None = None, size: int = 64) -> DataFrame:
+    """sensor_id, pack: a sensor's queries in arrays of about `size`, so that a chunk of its series is sent once per pack
+    and not once per query."""
+    one = queries.select(F.col("query_id").cast("string").alias("query_id"), "sensor_id", "q", F.col("start").alias("at"))
+    fields = ["query_id", "q", "at"]
+    if limits is not None:
+        one, fields = one.join(limits, "query_id", "left"), [*fields, "limits"]
+    counts = queries.groupBy("sensor_id").agg(F.ceil(F.count("*") / size).alias("packs"))
+    dealt = one.join(counts, "sensor_id").withColumn("p", F.pmod(F.xxhash64("query_id"), F.col("packs")))
+    return dealt.groupBy("sensor_id", "p").agg(F.collect_list(F.struct(*fields)).alias("pack")).select("sensor_id", "pack")
+
+
 def disjoint_windows(series: DataFrame, w: int) -> DataFrame:
     """sensor_id, m, c: the m-th window of w places; a last incomplete one is left out."""
     packed = series.groupBy("sensor_id", F.floor(F.col("t") / w).alias("m")).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("p"))
