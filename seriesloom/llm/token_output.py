@@ -18,7 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +149,6 @@ class _Shard:
         self.hash, self.id_bytes, self.name = dictionary_hash, id_bytes, name
         self.out = self.fs.open_output_stream(self.tmp)
         self.size = HEAD.size
-        self.frames: list[bytes] = []
         self.ids, self.tokens, self.place = [], [], [HEAD.size]
         self.body: list[bytes] = []
 
@@ -166,7 +165,12 @@ class _Shard:
             self.out.write(x)
         self.out.write(np.array(self.ids, "<i8").tobytes() + np.array(self.tokens, "<u8").tobytes() + np.array(self.place, "<u8").tobytes())
         self.out.close()
-        self.fs.move(self.tmp, self.final)
+        try:
+            self.fs.move(self.tmp, self.final)
+        except OSError:  # some stores don't replace: another attempt at this task has put the same bytes there
+            if self.fs.get_file_info(self.final).type != fs.FileType.File:
+                raise
+            self.fs.delete_file(self.tmp)
         return self.name, len(self.ids), sum(self.tokens)
 
 
