@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices
@@ -132,16 +132,41 @@ def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool) -> Da
             if markup:
                 data, offsets = byte_view(pa.array([_TAGS.sub(" ", t or "") for t in part.column("text").to_pylist()], pa.string()))
             ll, grams = shared.value.likelihoods(data, offsets, s)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(list(ll - ll.max(1, keepdims=True)) if ll.shape[1] else [[]] * len(grams), pa.list_(pa.float64())), pa.array(grams)], names=[*keep, "ll", "grams"])
+            p = np.where(grams[:, None] > 0, _softmax(ll), 0.0)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(ll), _lists(p), pa.array(grams)], names=[*keep, "_ll", "_p", "_grams"])
 
-    schema = rows.select(*keep, F.array(F.lit(0.0)).alias("ll"), F.lit(0).cast("long").alias("grams")).schema
+    schema = rows.select(*keep, F.array(F.lit(0.0)).alias("_ll"), F.array(F.lit(0.0)).alias("_p"), F.lit(0).cast("long").alias("_grams")).schema
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _softmax(x: Column, k: int) -> list[Column]:
-    e = [F.exp(x[i]) for i in range(k)]
-    total = sum(e[1:], e[0])
-    return [v / total for v in e]
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    n, k = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _matrix(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as rows of k numbers, nulls as zeros, and which rows aren't null."""
+    there = ~np.asarray(col.is_null())
+    out = np.zeros((len(col), k))
+    out[there] = col.flatten().to_numpy().reshape(-1, k)
+    return out, there
+
+
+def fuse(ll: np.ndarray, own: np.ndarray, host, domain, declared, suffix, world: np.ndarray, s: Settings) -> np.ndarray:
+    """Posterior of each row and language. host, domain, declared, suffix: (sums, present), own: the row's share of the
+    first two; world: the languages' shares in the whole corpus."""
+    rest = lambda x: np.where(x[1][:, None], np.maximum(x[0] - own, 0), 0)
+    smooth = lambda n, to: (n + s.strength * to) / (n.sum(1, keepdims=True) + s.strength)
+    prior = smooth(rest(host), smooth(rest(domain), world))
+    out = ll + np.log(prior)
+    for sums, there in (declared, suffix):
+        out += np.where(there[:, None], np.log((1 - s.doubt) * smooth(sums, world) / world + s.doubt), 0)
+    return _softmax(out)
 
 
 def identify(rows: DataFrame, model: Model, s: Settings | None = None, markup: bool = False) -> DataFrame:
@@ -154,40 +179,35 @@ def identify(rows: DataFrame, model: Model, s: Settings | None = None, markup: b
     """
     s = s or Settings()
     k = len(model.languages)
-    others = [c for c in rows.columns if c not in ("text", "host", "domain", "suffix", "declared")]
+    others = [c for c in rows.columns if c not in ("text", "host", "domain", "suffix", "declared", "lang", "confidence", "accepted")]
     if not k:
         return rows.select(*others, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("accepted"))
     arrow_batches(rows.sparkSession)
     scored = stage(_likelihoods(rows, model, s, markup), "likelihoods")
-    ks = range(k)
-    scored = scored.withColumn("_p", F.when(F.col("grams") > 0, F.array(*_softmax(F.col("ll"), k))).otherwise(F.array(*[F.lit(0.0)] * k)))
-
     def sums(by: str, name: str) -> DataFrame:
-        return scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.col("_p")[i]) for i in ks)).alias(name))
-
-    total = scored.agg(*(F.coalesce(F.sum(F.col("_p")[i]), F.lit(0.0)) for i in ks)).first()
-    mass = sum(total) + k
-    world = [(t + 1) / mass for t in total]
-    # what each declaration or suffix says about a language: its rate there against its rate anywhere
-    zero = F.array(*[F.lit(0.0)] * k)
-    joined = scored.join(sums("host", "_h"), "host", "left").join(sums("domain", "_d"), "domain", "left").join(sums("declared", "_c"), "declared", "left").join(sums("suffix", "_x"), "suffix", "left")
-    own = F.col("_p")
-    h = F.zip_with(F.coalesce("_h", zero), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    d = F.zip_with(F.coalesce("_d", zero), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    joined = joined.withColumn("_h", F.when(F.col("host").isNull(), zero).otherwise(h)).withColumn("_d", F.when(F.col("domain").isNull(), zero).otherwise(d))
-    add = lambda c: sum((F.col(c)[i] for i in range(1, k)), F.col(c)[0])
-    domain = [(F.col("_d")[i] + s.strength * world[i]) / (add("_d") + s.strength) for i in ks]
-    prior = [(F.col("_h")[i] + s.strength * domain[i]) / (add("_h") + s.strength) for i in ks]
-
-    def factor(c: str, i: int) -> Column:
-        rate = (F.col(c)[i] + s.strength * world[i]) / (add(c) + s.strength)
-        return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.log((1 - s.doubt) * rate / world[i] + s.doubt))
-
-    post = F.array(*(F.col("ll")[i] + F.log(prior[i]) + factor("_c", i) + factor("_x", i) for i in ks))
-    out = joined.withColumn("_s", post).withColumn("_s", F.transform("_s", lambda v: v - F.array_max("_s"))).withColumn("_s", F.array(*_softmax(F.col("_s"), k)))
-    names = F.array(*(F.lit(x) for x in model.languages))
-    best = F.array_max("_s")
-    return out.select(*others, F.element_at(names, F.array_position("_s", best).cast("int")).alias("lang"), best.alias("confidence"), ((F.col("grams") > 0) & (best >= s.least)).alias("accepted"))
+        return scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.col("_p")[i]) for i in range(k))).alias(name))
+
+    total = scored.agg(*(F.coalesce(F.sum(F.col("_p")[i]), F.lit(0.0)) for i in range(k))).first()
+    world = (np.array(total) + 1) / (sum(total) + k)
+    evidence = {"host": "_h", "domain": "_d", "declared": "_c", "suffix": "_x"}
+    joined = scored
+    for by, name in evidence.items():
+        joined = joined.join(sums(by, name), by, "left")
+    joined = joined.select(*others, "_ll", "_p", "_grams", *evidence.values())
+    names = np.array(model.languages, object)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (ll, _), (own, _), *rest = (_matrix(batch.column(c), k) for c in ("_ll", "_p", *evidence.values()))
+            post = fuse(ll, own, *rest, world, s)
+            best = post.argmax(1)
+            sure = post[np.arange(len(best)), best]
+            accepted = (batch.column("_grams").to_numpy() > 0) & (sure >= s.least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(accepted)], names=[*others, "lang", "confidence", "accepted"])
+
+    return joined.mapInArrow(run, scored.select(*others, F.lit("").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(True).alias("accepted")).schema)
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, s: Settings | None = None) -> DataFrame:
