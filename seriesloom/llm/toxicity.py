@@ -54,14 +54,15 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 class Ftrl:
-    """FTRL-proximal with a state (z, n) per coordinate."""
+    """FTRL-proximal with a state (z, n) per coordinate; the last one is the bias, which L1 doesn't hold at zero."""
 
     def __init__(self, size: int, s: Settings):
         self.z, self.n, self.s = np.zeros(size), np.zeros(size), s
 
     def weights(self, i) -> np.ndarray:
         z, s = self.z[i], self.s
-        return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(self.n[i])) / s.alpha + s.l2))
+        l1 = np.where(i == len(self.z) - 1, 0.0, s.l1)
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(self.n[i])) / s.alpha + s.l2))
 
     def learn(self, i: np.ndarray, y: float, weight: float) -> None:
         w = self.weights(i)
@@ -80,15 +81,15 @@ def _bias(s: Settings) -> int:
 def fit(labelled: DataFrame, s: Settings | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the nonzero weights, from rows (doc_id, text, y); index 2**bits is the bias.
 
-    At most about sample_rows rows are used, chosen by a hash of doc_id; rows with a null y are left out. Without
-    rows of both labels the weights are empty or the bias alone, and all scores are alike.
+    At most about sample_rows rows are used, chosen by a hash of doc_id; rows with a null y are left out. Without any
+    labelled row the bias alone remains, and all scores are practically 0.
     """
     s = s or Settings()
     arrow_batches(labelled.sparkSession)
     labelled = labelled.filter("y is not null")
     total, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not total:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.array([_bias(s)]), np.array([-35.0])
     boost = min(s.balance, (total - positive) / positive) if positive else 1.0
     shards = max(1, min(total, s.sample_rows) // s.shard_rows)
     pick = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
