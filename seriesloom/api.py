@@ -64,6 +64,25 @@ def leave_out_experiment(series: DataFrame, number: int, settings: Settings) ->
     return forecast.errors(forecast.ensemble(grid).join(qs.select("query_id", F.col("truth").alias("y")), "query_id"))
 
 
+def sequential_experiment(series: DataFrame, number: int, settings: Settings) -> DataFrame:
+    """Forecasts of the last `number` overlapping queries of each sensor, all from the places before the first of them,
+    with equal expert weights. Returns query_id, mean, var, y and errors."""
+    from pyspark.sql import functions as F
+
+    from .operators import gather
+    from .operators.series import lengths, trim_tail
+
+    longest = max(settings.lengths)
+    whole = longest + settings.horizon + 1
+    starts = lengths(series).select("sensor_id", F.explode(F.sequence(F.col("n") - whole - number + 1, F.col("n") - whole)).alias("start"))
+    cut = q.cut_queries(series, starts, whole)
+    qs = cut.select(F.concat_ws("@", "sensor_id", "start").alias("query_id"), "sensor_id", "start", F.slice("q", 1, longest).alias("q"), F.element_at("q", whole).alias("truth"))
+    past = trim_tail(series, whole + number - 1)
+    found = search.index_top_k(past, qs, list(settings.lengths), max(settings.ks), settings.band, settings.window, reserve=settings.horizon + 1, chunk=settings.chunk)
+    grid = forecast.knn_grid(gather.training_rows(past, found, settings.horizon), list(settings.ks), "plain").withColumn("weight", F.lit(1.0))
+    return forecast.errors(forecast.ensemble(grid).join(qs.select("query_id", F.col("truth").alias("y")), "query_id"))
+
+
 def estimate_parameters(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float] = (5.0, 1.0, 1.0), steps: int = 30) -> np.ndarray:
     """Length, sf and sn of a Gaussian process by the leave-one-out objective."""
     return scg(lambda p: loo_objective(p, x, y), np.array(start), steps)[0]

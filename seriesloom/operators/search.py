@@ -46,7 +46,7 @@ FOUND = "query_id string, sensor_id string, len int, start long, dist double, ve
 FOUND_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
 
 
-def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 14, two_pass: bool = True) -> DataFrame:
+def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 14, two_pass: bool = True, profile: bool = False) -> DataFrame:
     """query_id, sensor_id, len, rank, start, dist: the k nearest subsequences of each query's suffixes under banded DTW.
 
     queries: (query_id, sensor_id, q, start) with start the query's place in its sensor. Series are cut into chunks of
@@ -99,9 +99,21 @@ def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: in
         limits = tau.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("len", "tau"))).alias("limits"))
         packs = pack_queries(queries, limits)
     found = jobs(packs).mapInArrow(run(False), FOUND)
+    if profile:
+        return found
     return top_k(found, ["query_id", "len"], k).select("query_id", "sensor_id", "len", "rank", "start", "dist")
 
 
+def index_profile(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int, window: int, chunk: int = 1 << 14) -> DataFrame:
+    """query_id, len, verified, places: how many places the search of each query had to verify. A chunk reports its own
+    count with each row it finds; counts are added over chunks."""
+    found = index_top_k(series, queries, lengths, k, band, window, chunk=chunk, two_pass=False, profile=True)
+    per_chunk = found.groupBy("query_id", "sensor_id", "len", F.floor(F.col("start") / chunk).alias("chunk")).agg(F.max("verified").alias("verified"))
+    ends = series.groupBy("sensor_id").agg((F.max("t") + 1).alias("n"))
+    total = per_chunk.groupBy("query_id", "sensor_id", "len").agg(F.sum("verified").alias("verified"))
+    return total.join(ends, "sensor_id").select("query_id", "len", "verified", (F.col("n") - F.col("len") + 1).alias("places"))
+
+
 def pack_queries(queries: DataFrame, limits: DataFrame | None = None, size: int = 64) -> DataFrame:
     """sensor_id, pack: a sensor's queries in arrays of about `size`, so that a chunk of its series is sent once per pack
     and not once per query."""

@@ -6,6 +6,8 @@ whole tables would take too long, there is none, and tests compare the operator
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1018,8 +1020,6 @@ def _(spark, sf):
 
 def _per_sensor(s: DataFrame, last: int, schema: str, f):
     """f on the last `last` values of every sensor."""
-    import pandas as pd
-
     tail = s.join(series.lengths(s), "sensor_id").filter(F.col("t") >= F.col("n") - last).groupBy("sensor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x.v).alias("values"))
 
     def run(frames):
@@ -1070,8 +1070,6 @@ def _(spark, sf):
 
 
 def _supervised(values, dim: int = 8, rows: int = 40):
-    import numpy as np
-
     v = np.asarray(values, float)
     v = (v - v.mean()) / max(v.std(), 1e-9)
     w = np.lib.stride_tricks.sliding_window_view(v, dim + 1)[-rows:]
@@ -1091,8 +1089,6 @@ def _(spark, sf):
 
 
 def _models(sensor, values):
-    import numpy as np
-
     from ..functions import gaussian
 
     x, y, at = _supervised(values)
@@ -1123,8 +1119,6 @@ def _(spark, sf):
 @register("op_g10_iterative_gp")
 def _(spark, sf):
     """Five steps ahead one after the other, each prediction's uncertainty going into the next input."""
-    import numpy as np
-
     from ..functions import gaussian
 
     def f(sensor, values):
@@ -1142,8 +1136,6 @@ def _(spark, sf):
 
 @register("op_g17_sparse_evidence")
 def _(spark, sf):
-    import numpy as np
-
     from ..functions.gaussian import SparseGp
 
     def f(sensor, values):
@@ -1157,8 +1149,6 @@ def _(spark, sf):
 
 @register("op_g24_trainer")
 def _(spark, sf):
-    import numpy as np
-
     from ..functions import gaussian
 
     def f(sensor, values):
@@ -1174,3 +1164,173 @@ def _(spark, sf):
     from ..api import leave_out_experiment
 
     return leave_out_experiment(sensors(spark, sf), 4, SMALL)
+
+
+# --- variants, helpers and drivers
+
+
+@register("op_k07_scan_l1", top_sql(L1))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K, "l1"))
+
+
+@register("op_k07_scan_vanilla", top_sql(dtw_sql(None)))
+def _(spark, sf):
+    s = sensors(spark, sf)
+    return shown(search.scan_top_k(s, latest(s), L, K, "vanilla"))
+
+
+@register("op_d06_dtw_symmetric", _pair_sql(dtw_sql(R)))
+def _(spark, sf):
+    """Banded DTW with the arguments swapped: the same value."""
+    return _pairs(spark, sf).select("sensor_id", "start", r6(columns.dtw(F.col("c"), F.col("q"), R), "dist"))
+
+
+@register("op_d07_dtw_matrix", _pair_sql(dtw_sql(R)))
+def _(spark, sf):
+    """Banded DTW by the vectorised kernel, over Arrow batches."""
+    from ..functions import kernels
+
+    @F.pandas_udf("double")
+    def dist(qs: pd.Series, cs: pd.Series) -> pd.Series:
+        q, c = np.stack(qs.to_numpy()), np.stack(cs.to_numpy())
+        out = np.empty(len(q))
+        first, group = np.unique(q, axis=0, return_inverse=True)
+        for i, one in enumerate(first):
+            out[group == i] = kernels.dtw(one, c[group == i], R)
+        return pd.Series(out)
+
+    return _pairs(spark, sf).select("sensor_id", "start", r6(dist("q", "c"), "dist"))
+
+
+@register("op_d15_metrics_together", f"WITH {P}, {win()}, {Q} SELECT sensor_id, start::BIGINT AS start, round({EU}, 6) AS euclid, round({L1}, 6) AS l1, round({dtw_sql(R)}, 6) AS dtw FROM w JOIN q USING (sensor_id)")
+def _(spark, sf):
+    return _pairs(spark, sf).select("sensor_id", "start", *(r6(search.METRICS[m](F.col("q"), F.col("c"), R), m) for m in ("euclid", "l1", "dtw")))
+
+
+@register("op_s16_file_names", "SELECT event_type || '.csv' AS data, event_type || '_d16_q20_dir.query' AS query, event_type || '_ql16_gqn20_group.query' AS \"group\" FROM events GROUP BY event_type")
+def _(spark, sf):
+    kinds = sensors(spark, sf).select(F.col("sensor_id").alias("k")).distinct()
+    names = files.file_names("@", L, 20)
+    return kinds.select(*(F.regexp_replace(F.lit(v), "@", F.col("k")).alias(n) for n, v in names.items()))
+
+
+@register("op_q11_geometric_grid", "SELECT len::INTEGER AS len, k::INTEGER AS k FROM (SELECT unnest([8, 16, 32, 64]) AS len), (SELECT unnest([4, 8, 16, 32]) AS k)")
+def _(spark, sf):
+    lengths, ks = q.geometric_grid(64, 32)
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, lengths))).alias("len")).select("len", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+
+
+@register("op_w07_bound_pipeline", f"WITH {_windows_sql('both')}, {GROUP} SELECT sensor_id, len::INTEGER AS len, start::BIGINT AS start, round(d, 5) AS d2q, round(e, 5) AS q2d FROM g WHERE c = tiles")
+def _(spark, sf):
+    s, b = _bounds(spark, sf)
+    ends = series.lengths(s)
+    one = search.group_bounds(b, ends, 32, [16, 32], W, "d2q").withColumnRenamed("lb", "d2q")
+    two = search.group_bounds(b, ends, 32, [16, 32], W, "q2d").withColumnRenamed("lb", "q2d")
+    return one.join(two, ["query_id", "sensor_id", "len", "start"]).select("sensor_id", "len", "start", F.round("d2q", 5).alias("d2q"), F.round("q2d", 5).alias("q2d"))
+
+
+@register("op_w17_threshold_from_last_step", f"WITH {P}, {win()}, q0 AS (SELECT sensor_id, n, a[n - {L}:n - 1] AS q FROM p), d0 AS (SELECT sensor_id, start, {EU} AS dist FROM w JOIN q0 USING (sensor_id) WHERE start < n - {L}), r0 AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY dist, start) AS rank FROM d0), {Q} SELECT sensor_id, round(max({EU}), 6) AS tau FROM r0 JOIN w USING (sensor_id, start) JOIN q USING (sensor_id) WHERE rank <= {K} GROUP BY sensor_id")
+def _(spark, sf):
+    """The winners of the step before against the new query: a valid threshold."""
+    s = sensors(spark, sf)
+    before = search.scan_top_k(series.trim_tail(s, 1), latest(s, L, 1), L, K)
+    again = gather.subsequences(s, before.select("sensor_id", "start"), L).join(latest(s).select("sensor_id", "item"), "sensor_id")
+    return again.groupBy("sensor_id").agg(r6(F.max(columns.squared_euclid(F.col("item"), F.col("x"))), "tau"))
+
+
+@register("op_g12_iterative_forecast")
+def _(spark, sf):
+    return QUERIES["op_g10_iterative_gp"](spark, sf).filter("step > 0")
+
+
+@register("op_g15_robust_inverse")
+def _(spark, sf):
+    """Residual of the jittered inverse of each sensor's covariance matrix."""
+    from ..functions import gaussian
+
+    def f(sensor, values):
+        x, _, _ = _supervised(values)
+        k = gaussian.covariance("gaussian", x, x, np.array([3.0, 1.0])) + 0.01 * np.eye(len(x))
+        return [(sensor, float(np.abs(k @ gaussian.inverse(k) - np.eye(len(x))).max()))]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, residual double", f)
+
+
+@register("op_g21_likelihood_update", f"WITH {_JUDGED} SELECT query_id, round(-1 / (var + 4), 6) AS r, round((y - mean) / (var + 4), 6) AS q, round(-(ln(2 * pi() * (var + 4)) + pow(y - mean, 2) / (var + 4)) / 2, 5) AS log_evidence FROM ju")
+def _(spark, sf):
+    """Gaussian likelihood with noise 4: first and second derivative of the log evidence, and the log evidence."""
+    total, e = F.col("var") + 4, F.col("y") - F.col("mean")
+    return _judged(spark, sf)[0].select("query_id", r6(-1 / total, "r"), r6(e / total, "q"), F.round(-(F.log(2 * F.pi() * total) + e * e / total) / 2, 5).alias("log_evidence"))
+
+
+@register("op_g23_gram_matrix", f"WITH {P}, g AS (SELECT sensor_id, a[n - 20:n] AS x FROM p), i AS (SELECT sensor_id, x, unnest(range(1, 22)) AS i FROM g) SELECT sensor_id, i::INTEGER AS i, j::INTEGER AS j, round(1.44 * exp(-pow((x[i] - x[j]) / 50, 2) / 2), 6) AS k FROM i, range(1, 22) t(j)")
+def _(spark, sf):
+    """Covariances of each sensor's last 21 values."""
+    x = q.latest(sensors(spark, sf), 21).select("sensor_id", F.posexplode("q").alias("i", "a"), "q").select("sensor_id", (F.col("i") + 1).alias("i"), "a", F.posexplode("q").alias("j", "b"))
+    d2 = F.pow((F.col("a") - F.col("b")) / 50, 2)
+    return x.select("sensor_id", "i", (F.col("j") + 1).alias("j"), r6(columns.covariance("gaussian", d2, 1.0, 1.2), "k"))
+
+
+@register("op_g25_gradient_check")
+def _(spark, sf):
+    """Largest difference of the analytic and the numerical gradient of the leave-one-out objective."""
+    from ..functions import gaussian
+
+    def f(sensor, values):
+        x, y, _ = _supervised(values)
+        p = np.array([3.0, 1.0, 0.7])
+        return [(sensor, float(np.abs(gaussian.loo_objective(p, x, y)[1] - gaussian.numerical_gradient(lambda z: gaussian.loo_objective(z, x, y)[0], p)).max()))]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, difference double", f)
+
+
+@register("op_g26_trainer_on_parabola")
+def _(spark, sf):
+    """The trainer on a parabola whose minimum is each sensor's mean and deviation."""
+    from ..functions import gaussian
+
+    def f(sensor, values):
+        at = np.array([np.mean(values), np.std(values)])
+        p, value = gaussian.scg(lambda z: (float(((z - at) ** 2).sum()), 2 * (z - at)), np.zeros(2), 30)
+        return [(sensor, float(np.abs(p - at).max()), value)]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, distance double, value double", f)
+
+
+@register("op_s19_estimate_parameters")
+def _(spark, sf):
+    from ..api import estimate_parameters, gp_predict
+
+    def f(sensor, values):
+        x, y, at = _supervised(values)
+        p = estimate_parameters(x, y, (3.0, 1.0, 0.7), 10)
+        m, v = gp_predict(p, x, y, at[None])
+        return [(sensor, float(m[0]), float(v[0]))]
+
+    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, mean double, var double", f)
+
+
+@register("op_e12_search_profile")
+def _(spark, sf):
+    """How many places each query's search verified, of all it could have."""
+    s = sensors(spark, sf)
+    found = search.index_profile(s, latest(s, 32), [16, 32], K, R, W)
+    return found.select("query_id", "len", "verified", "places")
+
+
+@register("op_e13_sequential_experiment")
+def _(spark, sf):
+    """Forecasts from overlapping queries, one after the other, judged on the value that came."""
+    from ..api import sequential_experiment
+
+    return sequential_experiment(sensors(spark, sf), 10, SMALL)
+
+
+@register("op_stream_tumbling", "SELECT event_type AS sensor_id, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def _(spark, sf):
+    """Event-time windows of a day over the stream of events; the last ones are closed by reading all that is there."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    rows = events.select(F.col("event_type").alias("sensor_id"), F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "value")
+    return rows.groupBy("sensor_id", F.col("w.start").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))
