@@ -185,7 +185,8 @@ def identify(rows: DataFrame, model: Model, s: Settings | None = None, markup: b
     arrow_batches(rows.sparkSession)
     scored = stage(_likelihoods(rows, model, s, markup), "likelihoods")
     def sums(by: str, name: str) -> DataFrame:
-        return scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.col("_p")[i]) for i in range(k))).alias(name))
+        """Written first, so that the planner knows its size: few keys are broadcast, many are joined by shuffle."""
+        return stage(scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.col("_p")[i]) for i in range(k))).alias(name)), f"sums-{by}")
 
     total = scored.agg(*(F.coalesce(F.sum(F.col("_p")[i]), F.lit(0.0)) for i in range(k))).first()
     world = (np.array(total) + 1) / (sum(total) + k)
