@@ -129,7 +129,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def arrow_batches(spark: SparkSession) -> None:
     """Arrow batches bounded in rows and bytes, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
