@@ -24,7 +24,7 @@ class KnnSearch:
     window: int = 16
     reserve: int = 0
     mode: str = "both"
-    chunk: int = 1 << 14
+    chunk: int = 1 << 12
 
     def __post_init__(self):
         if list(self.lengths) != sorted(set(self.lengths)) or min(self.lengths) < 1:

@@ -57,7 +57,7 @@ class Settings:
     weighted: bool = False
     start: tuple[float, float, float] = (5.0, 1.0, 1.0)
     scg_steps: int = 5
-    chunk: int = 1 << 14
+    chunk: int = 1 << 12
     seed: int = 0
 
 

@@ -46,7 +46,7 @@ FOUND = "query_id string, sensor_id string, len int, start long, dist double, ve
 FOUND_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
 
 
-def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 14, two_pass: bool = True, profile: bool = False) -> DataFrame:
+def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 12, two_pass: bool = True, profile: bool = False) -> DataFrame:
     """query_id, sensor_id, len, rank, start, dist: the k nearest subsequences of each query's suffixes under banded DTW.
 
     queries: (query_id, sensor_id, q, start) with start the query's place in its sensor. Series are cut into chunks of
@@ -91,7 +91,10 @@ def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: in
         return f
 
     def jobs(packed):
-        return f.join(ends, "sensor_id").join(packed, "sensor_id").select("sensor_id", "first", "chunk", "n", "values", "pack")
+        # the join deals by sensor; verification is dealt by chunk and pack, so that no sensor keeps one task busy
+        every = f.join(ends, "sensor_id").join(packed, "sensor_id").select("sensor_id", "first", "chunk", "n", "values", "p", "pack")
+        n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return every.repartition(n, "sensor_id", "chunk", "p").drop("p")
 
     if two_pass:
         seeds = jobs(packs).mapInArrow(run(True), FOUND)
@@ -114,8 +117,8 @@ def index_profile(series: DataFrame, queries: DataFrame, lengths: list[int], k:
     return total.join(ends, "sensor_id").select("query_id", "len", "verified", (F.col("n") - F.col("len") + 1).alias("places"))
 
 
-def pack_queries(queries: DataFrame, limits: DataFrame | None = None, size: int = 64) -> DataFrame:
-    """sensor_id, pack: a sensor's queries in arrays of about `size`, so that a chunk of its series is sent once per pack
+def pack_queries(queries: DataFrame, limits: DataFrame | None = None, size: int = 16) -> DataFrame:
+    """sensor_id, p, pack: a sensor's queries in arrays of about `size`, so that a chunk of its series is sent once per pack
     and not once per query."""
     one = queries.select(F.col("query_id").cast("string").alias("query_id"), "sensor_id", "q", F.col("start").alias("at"))
     fields = ["query_id", "q", "at"]
@@ -123,7 +126,7 @@ def pack_queries(queries: DataFrame, limits: DataFrame | None = None, size: int
         one, fields = one.join(limits, "query_id", "left"), [*fields, "limits"]
     counts = queries.groupBy("sensor_id").agg(F.ceil(F.count("*") / size).alias("packs"))
     dealt = one.join(counts, "sensor_id").withColumn("p", F.pmod(F.xxhash64("query_id"), F.col("packs")))
-    return dealt.groupBy("sensor_id", "p").agg(F.collect_list(F.struct(*fields)).alias("pack")).select("sensor_id", "pack")
+    return dealt.groupBy("sensor_id", "p").agg(F.collect_list(F.struct(*fields)).alias("pack"))
 
 
 def disjoint_windows(series: DataFrame, w: int) -> DataFrame:
