@@ -46,27 +46,29 @@ FOUND = "query_id string, sensor_id string, len int, start long, dist double, ve
 FOUND_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
 
 
-def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 12, two_pass: bool = True, profile: bool = False) -> DataFrame:
+def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: int, band: int = 8, window: int = 16, reserve: int = 0, mode: str = "both", exclude: int | None = None, chunk: int = 1 << 12, two_pass: bool = True, profile: bool = False, causal: bool = False) -> DataFrame:
     """query_id, sensor_id, len, rank, start, dist: the k nearest subsequences of each query's suffixes under banded DTW.
 
     queries: (query_id, sensor_id, q, start) with start the query's place in its sensor. Series are cut into chunks of
     bounded size, overlapping by the longest suffix and the band; a chunk's bounds see the values around it. The first
     pass verifies the k smallest bounds of every chunk, whose k-th distance over all chunks is a threshold for the query;
     the second pass verifies only starts whose bound doesn't exceed it. reserve keeps last places out, exclude keeps out
-    starts within so many places of the query's own. Fewer places than k: all of them.
+    starts within so many places of the query's own. causal counts reserve from the end of each query and not of its
+    sensor, so that nothing after a query is searched for it. Fewer places than k: all of them.
     """
     longest = max(lengths)
     f = frame(series, longest - 1 + band, band, chunk)
     ends = series.groupBy("sensor_id").agg((F.max("t") + 1).alias("n"))
     packs = pack_queries(queries)
 
-    def place(values, row, at):
+    def place(values, row, at, size):
         """Which starts of a chunk a query may use, by length."""
         own = row["first"] + np.arange(len(values))
         ok = own // chunk == row["chunk"]
         if exclude is not None:
             ok &= np.abs(own - at) >= exclude
-        return {length: ok & (own + length <= row["n"] - reserve) for length in lengths}
+        end = min(row["n"], at + size) if causal else row["n"]
+        return {length: ok & (own + length <= end - reserve) for length in lengths}
 
     def run(threshold: bool):
         def f(batches):
@@ -77,7 +79,9 @@ def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: in
                     row = {c: batch.column(c)[i].as_py() for c in ("sensor_id", "first", "chunk", "n", "pack")}
                     context = kernels.envelope(values, band)
                     for job in row["pack"]:
-                        q, allowed = np.array(job["q"]), place(values, row, job["at"])
+                        q, allowed = np.array(job["q"]), place(values, row, job["at"], len(job["q"]))
+                        if not any(mask.any() for mask in allowed.values()):
+                            continue
                         if threshold:
                             for length, d in kernels.first_distances(values, q, lengths, k, band, window, allowed, mode, context).items():
                                 out += [(job["query_id"], row["sensor_id"], length, j, float(x), len(d)) for j, x in enumerate(d)]

@@ -1032,15 +1032,10 @@ def _per_sensor(s: DataFrame, last: int, schema: str, f):
 
 @register("op_w16_continuous_session")
 def _(spark, sf):
-    """Step by step over each sensor's last 160 values; every answer is exact."""
-    from ..streaming.session import Session
+    """Step by step over each sensor's whole history; every answer is exact."""
+    from ..streaming.steps import session_steps
 
-    def steps(sensor, values):
-        session = Session(SMALL)
-        out = [(sensor, *got) for v in values if (got := session.push(float(v))) is not None]
-        return out
-
-    return _per_sensor(sensors(spark, sf), 160, "sensor_id string, target long, mean double, var double", steps)
+    return session_steps(sensors(spark, sf), SMALL).select("sensor_id", "target", "mean", "var")
 
 
 @register("op_e05_stream_forecast")
@@ -1051,22 +1046,16 @@ def _(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/event[s].parquet")
     rows = events.select(F.col("event_type").alias("sensor_id"), "ts", F.col("event_id").alias("tie"), F.col("value").alias("v"))
-    return run_available(spark, forecast_stream(rows, SMALL, keep=256), "forecast")
+    return run_available(spark, forecast_stream(rows, SMALL), "forecast")
 
 
 @register("op_e04_self_correction")
 def _(spark, sf):
     """Expert weights after each step of the continuous forecast."""
-    from ..streaming.session import Session
-
-    def steps(sensor, values):
-        session, out = Session(SMALL), []
-        for i, v in enumerate(values):
-            if session.push(float(v)) is not None:
-                out += [(sensor, i, e, float(w)) for e, w in enumerate(session.experts.weight)]
-        return out
+    from ..streaming.steps import session_steps
 
-    return _per_sensor(sensors(spark, sf), 120, "sensor_id string, step long, expert long, weight double", steps)
+    weights = session_steps(sensors(spark, sf), SMALL).select("sensor_id", F.col("t").alias("step"), F.posexplode("weights").alias("expert", "weight"))
+    return weights.select("sensor_id", "step", F.col("expert").cast("long").alias("expert"), "weight")
 
 
 def _supervised(values, dim: int = 8, rows: int = 40):
