@@ -912,7 +912,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.sparse import fit_predict
 
-    return fit_predict(sensors(spark, sf), every=64, most=50)
+    return fit_predict(sensors(spark, sf), most=400, learn=True)
 
 
 @register("op_g20_noise_metadata", "WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'GAUSSIAN,0,' || value ELSE 'UNKNOWN' END AS m, value FROM events), g AS (SELECT avg(value) FILTER (event_id % 3 = 0) AS a FROM e) SELECT event_id, round(CASE WHEN m LIKE 'GAUSSIAN%' THEN value ELSE a END, 6) AS variance FROM e, g")
