@@ -1018,18 +1018,6 @@ def _(spark, sf):
 # --- sessions, streams and further models
 
 
-def _per_sensor(s: DataFrame, last: int, schema: str, f):
-    """f on the last `last` values of every sensor."""
-    tail = s.join(series.lengths(s), "sensor_id").filter(F.col("t") >= F.col("n") - last).groupBy("sensor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x.v).alias("values"))
-
-    def run(frames):
-        for frame in frames:
-            for sensor, values in zip(frame["sensor_id"], frame["values"]):
-                yield pd.DataFrame(f(sensor, values), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return tail.mapInPandas(run, schema)
-
-
 @register("op_w16_continuous_session")
 def _(spark, sf):
     """Step by step over each sensor's whole history; every answer is exact."""
@@ -1058,51 +1046,66 @@ def _(spark, sf):
     return weights.select("sensor_id", "step", F.col("expert").cast("long").alias("expert"), "weight")
 
 
-def _supervised(values, dim: int = 8, rows: int = 40):
-    v = np.asarray(values, float)
-    v = (v - v.mean()) / max(v.std(), 1e-9)
-    w = np.lib.stride_tricks.sliding_window_view(v, dim + 1)[-rows:]
-    return w[:-1, :dim], w[:-1, dim], w[-1, :dim]
+#: Neighbours in the training sets of the models below.
+NEIGHBOURS = 32
+
+
+def _supervised(spark, sf, schema: str, f, horizon: int = H) -> DataFrame:
+    """f(sensor, x, y, at, shift, scale) on each sensor's training set: the nearest neighbours of its latest history in its
+    whole history with the values `horizon` places after the next, and that latest history; all less shift, by scale."""
+    s = sensors(spark, sf)
+    qs = latest(s)
+    found = search.index_top_k(s, qs, [L], NEIGHBOURS, R, W, reserve=horizon + 1)
+    rows = gather.subsequences(s, gather.training_rows(s, found, horizon), L)
+    packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y"))).alias("train")).join(qs.select("query_id", "q"), "query_id")
+
+    def run(frames):
+        for frame in frames:
+            for sensor, train, q in zip(frame["query_id"], frame["train"], frame["q"]):
+                x, y = np.array([r["x"] for r in train]), np.array([r["y"] for r in train])
+                shift, scale = y.mean(), max(float(np.concatenate([x.ravel(), y]).std()), 1e-9)
+                out = f(sensor, (x - shift) / scale, (y - shift) / scale, (np.asarray(q) - shift) / scale, shift, scale)
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return packed.mapInPandas(run, schema)
 
 
 @register("op_g05_loo_errors")
 def _(spark, sf):
     from ..functions import gaussian
 
-    def f(sensor, values):
-        x, y, _ = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         _, mean, var = gaussian.loo_terms(gaussian.np.array([3.0, 1.0, 0.7]), x, y)
         return [(sensor, float(((y - mean) ** 2 / var).mean()))]
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, error double", f)
+    return _supervised(spark, sf, "sensor_id string, error double", f)
 
 
-def _models(sensor, values):
+def _models(sensor, x, y, at, shift, scale):
     from ..functions import gaussian
 
-    x, y, at = _supervised(values)
     start = np.array([3.0, 1.0, 0.7])
     out = []
     for name, f in (("marginal", lambda p: gaussian.marginal_objective(p, x, y)), ("loo", lambda p: gaussian.loo_objective(p, x, y)), ("weighted_loo", lambda p: gaussian.weighted_loo_objective(p, x, y, at))):
         p, value = gaussian.scg(f, start, 5)
         m, v = gaussian.predict(p, x, y, at[None])
-        out.append((sensor, name, float(value), float(m[0]), float(v[0])))
+        out.append((sensor, name, float(value), float(m[0]) * scale + shift, float(v[0]) * scale**2))
     return out
 
 
 @register("op_g07_marginal_gp")
 def _(spark, sf):
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'marginal'")
+    return _supervised(spark, sf, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'marginal'")
 
 
 @register("op_g08_weighted_loo_gp")
 def _(spark, sf):
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'weighted_loo'")
+    return _supervised(spark, sf, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'weighted_loo'")
 
 
 @register("op_g09_gp_predict")
 def _(spark, sf):
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'loo'")
+    return _supervised(spark, sf, "sensor_id string, model string, objective double, mean double, var double", _models).filter("model = 'loo'")
 
 
 @register("op_g10_iterative_gp")
@@ -1110,42 +1113,39 @@ def _(spark, sf):
     """Five steps ahead one after the other, each prediction's uncertainty going into the next input."""
     from ..functions import gaussian
 
-    def f(sensor, values):
-        x, y, at = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         p, _ = gaussian.scg(lambda z: gaussian.loo_objective(z, x, y), np.array([3.0, 1.0, 0.7]), 5)
         mean, cov, out = at.copy(), 1e-9 * np.eye(len(at)), []
         for step in range(5):
             m, v, cross = gaussian.predict_uncertain(p, x, y, mean, cov)
-            out.append((sensor, step, m, max(v, 1e-9)))
+            out.append((sensor, step, m * scale + shift, max(v, 1e-9) * scale**2))
             mean, cov = gaussian.next_input(mean, cov, m, max(v, 1e-9), cross)
         return out
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, step long, mean double, var double", f)
+    return _supervised(spark, sf, "sensor_id string, step long, mean double, var double", f, horizon=0)
 
 
 @register("op_g17_sparse_evidence")
 def _(spark, sf):
     from ..functions.gaussian import SparseGp
 
-    def f(sensor, values):
-        x, y, at = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         m = SparseGp([("gaussian", np.array([3.0, 1.0]))], 0.5, 20).fit(x, y)
         mean, var = m.predict(at[None])
-        return [(sensor, m.evidence(), m.evidence("upper"), float(mean[0]), float(var[0]))]
+        return [(sensor, m.evidence(), m.evidence("upper"), float(mean[0]) * scale + shift, float(var[0]) * scale**2)]
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, evidence double, upper double, mean double, var double", f)
+    return _supervised(spark, sf, "sensor_id string, evidence double, upper double, mean double, var double", f)
 
 
 @register("op_g24_trainer")
 def _(spark, sf):
     from ..functions import gaussian
 
-    def f(sensor, values):
-        x, y, _ = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         p, value = gaussian.scg(lambda z: gaussian.loo_objective(z, x, y), np.array([3.0, 1.0, 0.7]), 30)
         return [(sensor, *map(float, p), value)]
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, length double, sf double, sn double, objective double", f)
+    return _supervised(spark, sf, "sensor_id string, length double, sf double, sn double, objective double", f)
 
 
 @register("op_e11_leave_out_experiment")
@@ -1239,12 +1239,11 @@ def _(spark, sf):
     """Residual of the jittered inverse of each sensor's covariance matrix."""
     from ..functions import gaussian
 
-    def f(sensor, values):
-        x, _, _ = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         k = gaussian.covariance("gaussian", x, x, np.array([3.0, 1.0])) + 0.01 * np.eye(len(x))
         return [(sensor, float(np.abs(k @ gaussian.inverse(k) - np.eye(len(x))).max()))]
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, residual double", f)
+    return _supervised(spark, sf, "sensor_id string, residual double", f)
 
 
 @register("op_g21_likelihood_update", f"WITH {_JUDGED} SELECT query_id, round(-1 / (var + 4), 6) AS r, round((y - mean) / (var + 4), 6) AS q, round(-(ln(2 * pi() * (var + 4)) + pow(y - mean, 2) / (var + 4)) / 2, 5) AS log_evidence FROM ju")
@@ -1267,12 +1266,11 @@ def _(spark, sf):
     """Largest difference of the analytic and the numerical gradient of the leave-one-out objective."""
     from ..functions import gaussian
 
-    def f(sensor, values):
-        x, y, _ = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         p = np.array([3.0, 1.0, 0.7])
         return [(sensor, float(np.abs(gaussian.loo_objective(p, x, y)[1] - gaussian.numerical_gradient(lambda z: gaussian.loo_objective(z, x, y)[0], p)).max()))]
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, difference double", f)
+    return _supervised(spark, sf, "sensor_id string, difference double", f)
 
 
 @register("op_g26_trainer_on_parabola")
@@ -1280,25 +1278,28 @@ def _(spark, sf):
     """The trainer on a parabola whose minimum is each sensor's mean and deviation."""
     from ..functions import gaussian
 
-    def f(sensor, values):
-        at = np.array([np.mean(values), np.std(values)])
-        p, value = gaussian.scg(lambda z: (float(((z - at) ** 2).sum()), 2 * (z - at)), np.zeros(2), 30)
-        return [(sensor, float(np.abs(p - at).max()), value)]
+    def run(frames):
+        for frame in frames:
+            out = []
+            for sensor, *target in zip(frame["sensor_id"], frame["mean"], frame["deviation"]):
+                at = np.array(target)
+                p, value = gaussian.scg(lambda z: (float(((z - at) ** 2).sum()), 2 * (z - at)), np.zeros(2), 30)
+                out.append((sensor, float(np.abs(p - at).max()), value))
+            yield pd.DataFrame(out, columns=["sensor_id", "distance", "value"])
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, distance double, value double", f)
+    return series.mean_deviation(sensors(spark, sf)).mapInPandas(run, "sensor_id string, distance double, value double")
 
 
 @register("op_s19_estimate_parameters")
 def _(spark, sf):
     from ..api import estimate_parameters, gp_predict
 
-    def f(sensor, values):
-        x, y, at = _supervised(values)
+    def f(sensor, x, y, at, shift, scale):
         p = estimate_parameters(x, y, (3.0, 1.0, 0.7), 10)
         m, v = gp_predict(p, x, y, at[None])
-        return [(sensor, float(m[0]), float(v[0]))]
+        return [(sensor, float(m[0]) * scale + shift, float(v[0]) * scale**2)]
 
-    return _per_sensor(sensors(spark, sf), 64, "sensor_id string, mean double, var double", f)
+    return _supervised(spark, sf, "sensor_id string, mean double, var double", f)
 
 
 @register("op_e12_search_profile")
