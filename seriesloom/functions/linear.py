@@ -44,3 +44,23 @@ def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def restore(z: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> np.ndarray:
     return z * dev + mean
+
+
+def sequence(first: int, last: int) -> np.ndarray:
+    """The whole numbers from first to last, both included."""
+    return np.arange(first, last + 1)
+
+
+def sign(x) -> np.ndarray:
+    """-1, 0 or 1 for each number."""
+    return np.sign(x)
+
+
+def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smaller of each two numbers."""
+    return np.minimum(a, b)
+
+
+def join_columns(*parts: np.ndarray) -> np.ndarray:
+    """Matrices and vectors next to each other; a vector is one column."""
+    return np.column_stack(parts)
