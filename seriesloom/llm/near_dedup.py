@@ -2,16 +2,18 @@
 
 1. Every text becomes its set of five-word shingles and a MinHash signature; texts with the same set form a class whose
    smallest id stands for it, so exact copies cost one row each and never meet in pairs.
-2. Signature bands of the representatives are grouped; each member of a bucket points at the bucket's smallest id, and
-   the components of those pointers are the candidate groups. Pairs that share a band lie in one candidate group.
-3. A group is cut into blocks of at most `block` texts; each pair of blocks is one task row-run, so no task holds more
-   than two blocks whatever a group's size, and every banded pair meets exactly once or more.
-4. Inside a block pair the signatures are compared batch by batch. After each batch the posterior of the similarity
-   (uniform prior, binomial evidence) prunes pairs whose chance of reaching the threshold is under `miss`; survivors are
-   verified on whole shingle sets, most similar first, skipping pairs that verified links already connect.
-5. Components of the verified links give the classes.
+2. Signature bands of the classes are grouped into buckets. Each member of a bucket is first compared with one hub, its
+   smallest digest: a bucket of near copies is connected by as many pairs as it has members.
+3. Only buckets with members that no link has connected to the hub go on. There, pairs of different components are
+   compared, in blocks of bounded size: the unconnected members with each other and with the hub's component. A pair that
+   shares several buckets is compared in the first one alone.
+4. Signatures are compared batch by batch. After each batch the posterior of the similarity (uniform prior, binomial
+   evidence) prunes pairs whose chance of reaching the threshold is under `miss`. Only the texts of survivors are fetched;
+   they are verified on whole shingle sets, most similar first, skipping pairs that verified links already connect.
+5. Components of the verified links give the classes. Versions of one doc_id are linked whatever they hold.
 
 Only links that the exact check confirms are used. A pair at the threshold escapes all bands with a chance under `miss`.
+A hub's members are dealt out in salted runs, which pass through a task one batch at a time.
 """
 
 from __future__ import annotations
@@ -22,27 +24,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, byte_view, by_key, shuffle_partitions, stage, text_slices, unstage
 from .graph import components
 from .shingles import MinHash, distinct, mix, shingle_hashes
 
-SIGNATURES = "doc_id long, n_shingles long, digest binary, signature binary"
+SIGNATURES = "doc_id long, text_key long, n_shingles long, digest binary, signature binary"
+LINKS = "u long, v long"
 
 
 @dataclass(frozen=True)
 class Settings:
     """percent: links need 100 * intersection >= percent * union. rows: minimum values of a band. miss: chance of
     losing a pair at the threshold, in the bands and in the Bayesian pruning. batch: signature values compared at a
-    time. block: most texts of one side of a comparison task."""
+    time. block: members of one side of a comparison task, on average. fan: members of a hub in one run, on average."""
 
     percent: int = 85
     rows: int = 6
     miss: float = 1e-5
     batch: int = 30
     block: int = 256
+    fan: int = 4096
 
     @property
     def bands(self) -> int:
@@ -80,108 +84,195 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
             h, at = distinct(*shingle_hashes(data, offsets))
             sig = family.signatures(h, at)
             digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURES)
+    return _keyed(docs).mapInArrow(run, SIGNATURES)
 
 
-def _bands(reps: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, key) for each band of each representative; the key holds the band's number and its values' hash."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def _bands(classes: DataFrame, s: Settings) -> DataFrame:
+    """(digest, band, key) for each band of each class; the key holds the band's number and its values' hash."""
     r, b = s.rows, s.bands
 
     def run(batches):
         for batch in batches:
-            data, offsets = byte_view(batch.column("signature"))
+            if not batch.num_rows:
+                continue
+            data, _ = byte_view(batch.column("signature"))
             sig = data.view(np.uint32).reshape(batch.num_rows, r * b).astype(np.uint64)
-            ids = batch.column("doc_id")
+            digests = batch.column("digest")
             for i in range(b):
                 key = np.full(batch.num_rows, i + 1, np.uint64)
                 for j in range(r):
                     key = mix(key + sig[:, i * r + j])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key.view(np.int64))], names=["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([digests, pa.array(np.full(batch.num_rows, i, np.int32)), pa.array(key.view(np.int64))], names=["digest", "band", "key"])
 
-    return reps.select("doc_id", "signature").mapInArrow(run, "doc_id long, key long")
+    return classes.select("digest", "signature").mapInArrow(run, "digest binary, band int, key long")
 
 
-def _sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return distinct(*shingle_hashes(*byte_view(text)))
+def _runs(stars: DataFrame, payload: DataFrame, s: Settings) -> DataFrame:
+    """(hub, salt, node, ...): the rows of payload (digest, ...) of every hub, with a null node, before those of its members;
+    a hub of many members has several runs, each with the hub's row at its head."""
+    salts = stage(stars.groupBy("hub").agg(F.ceil(F.count("*") / s.fan).cast("int").alias("salts")), "salts")
+    others = [c for c in payload.columns if c != "digest"]
+    hubs = salts.withColumnRenamed("hub", "digest").join(payload, "digest").select(F.col("digest").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("node"), *others)
+    members = stars.join(salts, "hub").withColumnRenamed("node", "digest").join(payload, "digest").select("hub", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int").alias("salt"), F.col("digest").alias("node"), *others)
+    return hubs.unionByName(members).repartition(shuffle_partitions(stars.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "node")
 
 
-def _verify(groups, s: Settings):
-    """Links of each block pair that the exact check confirms, enough of them to connect all that are linked."""
-    least, r, b = s.least_matches(), s.rows, s.bands
-    k = r * b
-    out_u: list[int] = []
-    out_v: list[int] = []
+def _star_survivors(stars: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The stars (hub, node) that the posterior bounds leave."""
+    least, k = s.least_matches(), s.values
+
+    def run(batches):
+        before = np.zeros((1, k), np.uint32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = byte_view(batch.column("signature"))[0].view(np.uint32).reshape(-1, k)
+            head = np.asarray(batch.column("node").is_null())
+            hub_at = np.maximum.accumulate(np.where(head, np.arange(len(head)) + 1, 0))  # 0: the hub of the batch before
+            known = np.concatenate([before, sig])
+            at = np.flatnonzero(~head)
+            matches, done = np.zeros(len(at), np.int32), 0
+            for upto, need in least:
+                matches += (sig[at, done:upto] == known[hub_at[at], done:upto]).sum(1, dtype=np.int32)
+                keep = matches >= need
+                at, matches, done = at[keep], matches[keep], upto
+            before = known[hub_at[-1:]]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("hub", "node")], names=["hub", "node"])
+
+    return _runs(stars, classes.select("digest", "signature"), s).mapInArrow(run, "hub binary, node binary")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, s: Settings) -> bool:
+    if 100 * min(len(a), len(b)) < s.percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= s.percent * (len(a) + len(b) - both)
+
+
+def _star_links(stars: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): the stars that the exact check confirms, as document ids; a run passes through one batch at a time."""
+
+    def run(batches):
+        hub, own = None, None
+        for rows, data, offsets in text_slices(batches):
+            h, at = distinct(*shingle_hashes(data, offsets))
+            u, v = [], []
+            for i, (head, doc) in enumerate(zip(np.asarray(rows.column("node").is_null()), rows.column("doc_id").to_pylist())):
+                one = h[at[i] : at[i + 1]]
+                if head:
+                    hub, own = doc, one.copy()
+                elif _similar(own, one, s):
+                    u.append(hub)
+                    v.append(doc)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return _runs(stars, texts, s).mapInArrow(run, LINKS)
+
+
+def _tasks(bands: DataFrame, hubs: DataFrame, classes: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """(key, i, j, side, band, node, doc_id, component, signature): who meets whom in the buckets whose members the stars
+    haven't connected. Blocks of unconnected members come first, those of the hub's component after them."""
+    known = classes.select("digest", "doc_id", "signature").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    groups = stage(known.select("digest", "component"), "class-components")
+    inside = bands.join(hubs.filter("n > 2"), "key").join(groups, "digest").join(groups.select(F.col("digest").alias("hub"), F.col("component").alias("of_hub")), "hub")
+    inside = stage(inside.filter("digest <> hub").select("key", "band", "digest", (F.col("component") != F.col("of_hub")).alias("open")), "bucket-members")
+    sizes = inside.groupBy("key").agg(F.count(F.when(F.col("open"), 1)).alias("r"), F.count("*").alias("n")).filter("r > 0 and n > 1")
+    sizes = stage(sizes.select("key", F.ceil(F.col("r") / s.block).cast("int").alias("p"), F.ceil((F.col("n") - F.col("r")) / s.block).cast("int").alias("q")), "bucket-sizes")
+    deal = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    p, q = F.col("p"), F.col("q")
+    placed = inside.join(sizes, "key").withColumn("own", F.when(F.col("open"), deal(p)).otherwise(p + deal(F.greatest(q, F.lit(1)))))
+    own, last = F.col("own"), p + q - 1
+    left = F.when(F.col("open"), F.transform(F.sequence(own, last), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    before = F.when(F.col("open"), own).otherwise(p)
+    right = F.when(before > 0, F.transform(F.sequence(F.lit(0), before - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("side"))))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    dealt = placed.select("key", "band", "digest", F.explode(F.concat(F.coalesce(left, none), F.coalesce(right, none))).alias("x")).select("key", "band", "digest", "x.*")
+    return dealt.join(known, "digest").select("key", "i", "j", "side", "band", F.col("digest").alias("node"), "component", "signature")
+
+
+def _prune(groups, s: Settings):
+    """For each task the nodes of pairs that the posterior bounds leave, each with its place, and one row with the pairs of
+    places and their matches."""
+    least, r, k = s.least_matches(), s.rows, s.values
     for t in groups:
-        n = t.num_rows
-        if n < 2:
+        if t.num_rows < 2:
             continue
         t = t.combine_chunks()
-        ids, side = t.column("doc_id").to_numpy(), t.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(n, k)
+        side, component = t.column("side").to_numpy(), t.column("component").to_numpy()
+        sig = byte_view(t.column("signature"))[0].view(np.uint32).reshape(-1, k)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         one_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left, right = (np.arange(n), np.arange(n)) if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(left) or not len(right):
-            continue
-        pairs, score = _survivors(sig, left, right, one_block, least, r, b, s.batch)
-        if not len(pairs):
+        found = []
+        for a in range(0, len(left), 32):
+            x, y = (m.ravel() for m in np.meshgrid(left[a : a + 32], left if one_block else right, indexing="ij"))
+            keep = component[x] != component[y]
+            if one_block:
+                keep &= x < y
+            x, y = x[keep], y[keep]
+            m, done = np.zeros(len(x), np.int32), 0
+            for upto, need in least:
+                if not len(x):
+                    break
+                m += (sig[x, done:upto] == sig[y, done:upto]).sum(1, dtype=np.int32)
+                keep = m >= need
+                x, y, m, done = x[keep], y[keep], m[keep], upto
+            if len(x):
+                early = t.column("band")[0].as_py() * r  # an earlier bucket has seen the pair
+                if early:
+                    keep = ~(sig[x, :early] == sig[y, :early]).reshape(len(x), -1, r).all(2).any(1)
+                    x, y, m = x[keep], y[keep], m[keep]
+                found.append(np.column_stack([x, y, m]))
+        found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        if not len(found):
             continue
-        used = np.unique(pairs)
-        h, at = _sets(t.column("text").take(pa.array(used)))
-        place = np.zeros(n, np.int64)
-        place[used] = np.arange(len(used))
-        parent = list(range(n))
+        used = np.unique(found[:, :2])
+        n = len(used) + 1
+        same = [pa.array([t.column(c)[0].as_py()] * n, kind) for c, kind in (("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*same, pa.array([None, *t.column("node").take(pa.array(used)).to_pylist()], pa.binary()), pa.array([-1, *used.tolist()], pa.int32()), pa.array([found.astype("<i4").tobytes()] + [None] * len(used), pa.binary())], names=["key", "i", "j", "node", "place", "pairs"])
+
+
+PRUNED = "key long, i int, j int, node binary, place int, pairs binary"
+
+
+def _sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return distinct(*shingle_hashes(*byte_view(text)))
+
+
+def _verify(groups, s: Settings):
+    """Links of each task that the exact check confirms, enough of them to connect all that are linked."""
+    for t in groups:
+        t = t.combine_chunks().sort_by("place")
+        pairs = np.frombuffer(t.column("pairs")[0].as_py(), "<i4").reshape(-1, 3)
+        ids, places = t.column("doc_id").to_numpy(), t.column("place").to_numpy()
+        h, at = _sets(t.column("text"))
+        row = np.zeros(places.max() + 1, np.int64)
+        row[places[1:]] = np.arange(1, len(places))
+        parent = list(range(len(places)))
 
         def root(x):
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        for p in np.argsort(-score, kind="stable").tolist():
-            x, y = int(pairs[p, 0]), int(pairs[p, 1])
+        u, v = [], []
+        for p in np.argsort(-pairs[:, 2], kind="stable").tolist():
+            x, y = int(row[pairs[p, 0]]), int(row[pairs[p, 1]])
             if (rx := root(x)) == (ry := root(y)):
                 continue
-            i, j = place[x], place[y]
-            a, c = h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]
-            if 100 * min(len(a), len(c)) < s.percent * max(len(a), len(c)):
-                continue
-            both = len(np.intersect1d(a, c, assume_unique=True))
-            if 100 * both >= s.percent * (len(a) + len(c) - both):
+            if _similar(h[at[x] : at[x + 1]], h[at[y] : at[y + 1]], s):
                 parent[max(rx, ry)] = min(rx, ry)
-                out_u.append(int(ids[x]))
-                out_v.append(int(ids[y]))
-        if len(out_u) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
-            out_u, out_v = [], []
-    if out_u:
-        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
-
-
-def _survivors(sig, left, right, one_block, least, r, b, batch):
-    """Banded pairs that the posterior bounds leave, with their matches."""
-    x, y = (m.ravel() for m in np.meshgrid(left, right, indexing="ij"))
-    if one_block:
-        x, y = x[keep := x < y], y[keep]
-    got, alive_x, alive_y = [], x, y
-    for a in range(0, len(alive_x), 1 << 16):
-        p, q = alive_x[a : a + (1 << 16)], alive_y[a : a + (1 << 16)]
-        m, band, done = np.zeros(len(p), np.int32), np.zeros(len(p), bool), 0
-        for upto, need in least:
-            eq = sig[p, done:upto] == sig[q, done:upto]
-            m += eq.sum(1, dtype=np.int32)
-            if done % r == 0 and upto % r == 0:
-                band |= eq.reshape(len(p), -1, r).all(2).any(1)
-            keep = m >= need
-            p, q, m, band, done = p[keep], q[keep], m[keep], band[keep], upto
-            if not len(p):
-                break
-        if len(p):
-            got.append(np.column_stack([p, q, m])[band])
-    if not got:
-        return np.zeros((0, 2), np.int64), np.zeros(0)
-    got = np.concatenate(got)
-    return got[:, :2], got[:, 2]
+                u.append(int(ids[x]))
+                v.append(int(ids[y]))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -190,31 +281,43 @@ def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     component_id is the smallest doc_id reachable over links with 100 * intersection >= percent * union of the shingle
     sets; kept marks that document. A text without words has n_shingles 0, is linked with nothing and is kept. A null
     doc_id has a null component and kept false. Rows that repeat a doc_id are versions of one document: all their links
-    count for it. An empty table gives an empty result.
+    count for it, and all its rows have its component. An empty table gives an empty result.
     """
     s = s or Settings()
     if s.batch % s.rows:
         raise ValueError("batch has to be a multiple of rows")
     spark = docs.sparkSession
     arrow_batches(spark)
+    n = shuffle_partitions(spark)
     sig = stage(signatures(docs, s), "signatures")
-    reps = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("digest", "r.doc_id", "r.signature")
-    reps = stage(reps, "representatives")
-    bands = stage(_bands(reps, s), "bands")
-    least = bands.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).filter("v < w").select("key", "v")
-    pointers = bands.join(least, "key").select(F.col("doc_id").alias("u"), "v").filter("u <> v")
-    group = stage(components(pointers, "candidates"), "groups")
-    unstage(bands)
-    size = group.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    n = F.col("blocks")
-    placed = group.join(size, "component").withColumn("block", F.when(n == 1, 0).otherwise(F.pmod(F.xxhash64("id"), n).cast("int")))
-    tasks = placed.select("id", "component", "block", F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    tasks = tasks.select(F.col("id").alias("doc_id"), "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(group.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    rows = tasks.join(reps.select("doc_id", "signature"), "doc_id").join(texts, "doc_id")
-    edges = stage(by_key(rows, shuffle_partitions(spark), ["component", "i", "j"], lambda g: _verify(g, s), "u long, v long"), "links")
-    found = components(edges, "classes")
-    rep_class = reps.select("digest", F.col("doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(rep_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    named = sig.filter("doc_id is not null")
+    full = named.filter("n_shingles > 0")
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "signature")).alias("r")).select("digest", "r.doc_id", "r.text_key", "r.signature")
+    classes = stage(classes, "classes-of-copies")
+    bands = stage(_bands(classes, s), "bands")
+    hubs = stage(bands.groupBy("key").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    # one row a document with several versions; few, as a rule, so written before it is joined
+    versions = stage(named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id"), "versions")
+    own = full.join(versions, "doc_id").select("digest", F.col("doc_id").alias("u")).join(classes.select("digest", F.col("doc_id").alias("v")), "digest").select("u", "v")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """(digest, doc_id, text) of the nodes (digest), one row each."""
+        wanted = stage(nodes.distinct().join(classes.select("digest", "doc_id", "text_key"), "digest"), "wanted")
+        return _keyed(docs).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["digest"]).select("digest", "doc_id", "text")
+
+    stars = stage(bands.join(hubs, "key").filter("digest <> hub").select("hub", F.col("digest").alias("node")).distinct(), "stars")
+    left = stage(_star_survivors(stars, classes, s), "star-survivors")
+    near = stage(texts(left.select(F.col("hub").alias("digest")).unionByName(left.select(F.col("node").alias("digest")))), "star-texts")
+    links = stage(_star_links(left, near, s).unionByName(own), "star-links")
+    found = stage(components(links, "star-components"), "connected")
+    open_ = stage(by_key(_tasks(bands, hubs, classes, found, s), n, ["key", "i", "j"], lambda g: _prune(g, s), PRUNED), "open-pairs")
+    rest = open_.join(texts(open_.filter("node is not null").select(F.col("node").alias("digest"))).withColumnRenamed("digest", "node"), "node", "left")
+    more = stage(by_key(rest.select("key", "i", "j", "place", "pairs", "doc_id", "text"), n, ["key", "i", "j"], lambda g: _verify(g, s), LINKS), "links")
+    all_ = found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
+    last = stage(components(all_, "classes"), "classes")
+    unstage(bands, hubs, stars, left, near, links, open_, more)
+    by_digest = classes.select("digest", F.col("doc_id").alias("id")).join(last, "id", "left").select("digest", F.coalesce("component", "id").alias("of_class"))
+    by_version = versions.withColumnRenamed("doc_id", "id").join(last, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("of_version"))
+    out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(by_digest, "digest", "left").join(by_version, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_version", "of_class", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
