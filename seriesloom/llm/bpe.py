@@ -1,19 +1,26 @@
 """BPE encoding as a bounded-lookahead streaming transducer, and decoding as an incremental state machine.
 
-Encoding never needs a whole word in memory. A merge is decided by what stands to its right only as far as a chain of
-merges of ever higher priority can reach; `Merges.lookahead` computes the longest such chain from the merge list. Tokens
-that end further than that from the end of what has been read are stable and are emitted at once, and since a token
-boundary splits the encoding of a word into those of its two sides, the rest starts afresh from there. Words shorter
-than the buffer are encoded together, one vectorised merge round for all words at a time, and remembered in a table of
-bounded size.
+A merge is decided by what stands to its right only as far as a chain of merges of ever higher priority can reach;
+`Merges.lookahead` computes the longest such chain from the merge list. Tokens that end further than that from the end of
+what has been read are stable and are emitted at once, and since a token boundary splits the encoding of a word into those
+of its two sides, the rest starts afresh from there.
+
+Every text is read in pieces (`Transducer.feed`). White space is a restart point: between two words nothing is held, so
+whole short words are encoded side by side, and their runs are remembered in a table of bounded size. A word that is longer,
+or that a piece's end cuts, goes through a `WordStream`: its state is the unread rest of its characters (what normalisation,
+a special token or a contraction could still change), the kind of the open pre-token, and the bytes of at most one window.
 
 Normalisation and splitting follow the tokenizer file: canonical composition, lower case character by character, then
-contractions, runs of letters, single digits and runs of other signs; white space is dropped.
+contractions, runs of letters, single digits and runs of other signs; white space is dropped. Memory is constant in the
+length of a text, but for a run of combining marks, which composition has to see whole.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import json
+import sys
 import unicodedata
 
 import numpy as np
@@ -26,6 +33,10 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)
 _NOT_SPACE = regex.compile(f"[^{SPACE}]+")
 _SPLIT = regex.compile(PATTERN)
 _INF = np.int32(2**31 - 1)
+#: Tails of a normalised run that can become a contraction, and the runs that go on from one piece to the next.
+_TAIL = regex.compile(r"'[rvl]?$")
+_RUNS = {"letters": regex.compile(r"[\p{L}]+"), "signs": regex.compile(r"[^\s\p{L}\p{N}]+")}
+_GAP = regex.compile(f"[{SPACE}]")
 
 
 def byte_letters() -> list[str]:
@@ -48,6 +59,22 @@ def normal(word: str) -> str:
     return word.lower()
 
 
+@functools.cache
+def _joins_left() -> frozenset[str]:
+    """The characters of combining class 0 that composition can join to the one before."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+def starts_afresh(c: str) -> bool:
+    """Whether nothing before this character changes how it and what follows are composed."""
+    return c.isascii() or (unicodedata.combining(c) == 0 and c not in _joins_left())
+
+
 class Merges:
     """The merge list as a hash table from pairs of ids to ranks and results, and its sufficient lookahead."""
 
@@ -62,7 +89,13 @@ class Merges:
         self.final = np.array([vocab[c + "</w>"] for c in letters], np.int32)
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]]
         self._table(pairs)
+        self.ranked = {(a << 32) | b: (r, made) for r, (a, b, made) in enumerate(pairs)}
+        self.widths = np.zeros(max(self.names) + 1, np.int64)
+        for i, t in self.names.items():
+            self.widths[i] = len(t.removesuffix("</w>"))
         self.lookahead = self._lookahead(pairs)
+        #: Bytes of a word that are held at a time.
+        self.window = max(4096, 2 * self.lookahead)
 
     def _table(self, pairs) -> None:
         bits = 20
@@ -155,41 +188,68 @@ class Merges:
         np.cumsum(np.bincount(owner, minlength=n), out=out[1:])
         return ids[np.argsort(owner, kind="stable")], out
 
-    def stream(self, data: bytes, buffer: int | None = None) -> list[int]:
-        """Ids of one word of any length, read through a buffer of constant size: once the buffer is full, the tokens
-        that end before the lookahead are stable and leave it."""
-        buffer = max(buffer or 0, 2 * self.lookahead)
+    def run(self, data: bytes, last: bool) -> list[int]:
+        """Ids of one window; last: a word ends with it. The pair of lowest rank, the leftmost of equals, is merged first."""
+        n = len(data)
+        sym = self.inner[np.frombuffer(data, np.uint8)].tolist()
+        if last and n:
+            sym[-1] = int(self.final[data[-1]])
+        after, before, ranked = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranked
+        heap = []
+        for i in range(n - 1):
+            if hit := ranked.get((sym[i] << 32) | sym[i + 1]):
+                heap.append((hit[0] << 32) | i)
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if sym[i] < 0 or (j := after[i]) >= n:
+                continue
+            hit = ranked.get((sym[i] << 32) | sym[j])
+            if not hit or hit[0] != top >> 32:
+                continue
+            sym[i], sym[j] = hit[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if hit := ranked.get((sym[i] << 32) | sym[k]):
+                    heapq.heappush(heap, (hit[0] << 32) | i)
+            if (h := before[i]) >= 0 and (hit := ranked.get((sym[h] << 32) | sym[i])):
+                heapq.heappush(heap, (hit[0] << 32) | h)
+        return [x for x in sym if x >= 0]
+
+    def advance(self, held: bytearray, last: bool) -> list[int]:
+        """Takes from held, an open pre-token's bytes, all that is stable, and returns its ids; last: all of it."""
         out: list[int] = []
-        held, read = b"", 0
-        while True:
-            piece = data[read : read + buffer - len(held)]
-            read += len(piece)
-            held += piece
-            end = read >= len(data)
-            symbols = self.inner[np.frombuffer(held, np.uint8)]
-            if end and len(symbols):
-                symbols[-1] = self.final[held[-1]]
-            ids, _ = self.merge(symbols, np.array([0, len(symbols)]))
-            if end:
-                return out + ids.tolist()
-            sizes = np.cumsum([self.width(i) for i in ids.tolist()])
-            stable = int(np.searchsorted(sizes, len(held) - self.lookahead, "right"))
-            out += ids[:stable].tolist()
-            held = held[int(sizes[stable - 1]) if stable else 0 :]
-
-    def width(self, i: int) -> int:
-        return len(self.names[i].removesuffix("</w>"))
+        while len(held) > self.window or (last and held):
+            part = bytes(held[: self.window])
+            end = last and len(held) <= self.window
+            ids = self.run(part, end)
+            if not end:
+                sizes = np.cumsum(self.widths[ids])
+                stable = int(np.searchsorted(sizes, len(part) - self.lookahead, "right"))
+                ids, part = ids[:stable], part[: int(sizes[stable - 1])]
+            out += ids
+            del held[: len(part)]
+        return out
 
 
 class Interned(dict):
-    """Numbers words in the order of their first use."""
+    """Numbers words in the order of their first use; long ones get a number but aren't remembered."""
+
+    #: Characters from which a word isn't remembered.
+    LONG = 256
 
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
+        self.n = 0
 
     def __missing__(self, word):
-        self[word] = n = len(self)
+        n = self.n
+        if len(word) < self.LONG:
+            self[word] = n
+        self.n += 1
         self.fresh.append(word)
         return n
 
@@ -227,7 +287,7 @@ class WordTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets."""
-        if len(self.seen) > self.limit:
+        if self.seen.n > self.limit or len(self.table.ids) > 8 * self.limit:
             self.seen, self.table = Interned(), Ragged()
         number, rows, counts = self.seen.__getitem__, [], []
         for text in texts:
@@ -245,20 +305,117 @@ class WordTable:
         return ids, total[first]
 
 
-class Transducer:
-    """The encoder: splits words into pre-tokens and runs the merges."""
+class WordStream:
+    """A run of a text without white space, fed in pieces; ids come out as soon as they are stable."""
+
+    def __init__(self, t: Transducer):
+        self.t, self.raw, self.text, self.kind, self.held = t, "", "", None, bytearray()
+        self.most = 0  # bytes and characters held at most between two calls
+
+    def feed(self, piece: str) -> list[int]:
+        self.raw += piece
+        out = self._take(self._cut(), False)
+        self.most = max(self.most, len(self.raw) + len(self.text) + len(self.held))
+        return out
+
+    def close(self) -> list[int]:
+        return self._take(len(self.raw), True)
+
+    def _cut(self) -> int:
+        """How much of the raw characters is settled: what follows can't compose with it, and no special token is cut."""
+        raw, longest = self.raw, self.t.longest_special
+        c = len(raw) - longest
+        while c > 0:
+            if not starts_afresh(raw[c]):
+                c -= 1
+                continue
+            for i in range(max(0, c - longest + 1), c):
+                if any(raw.startswith(x, i) and i + len(x) > c for x in self.t.merges.special):
+                    c = i
+                    break
+            else:
+                return c
+        return 0
+
+    def _take(self, n: int, end: bool) -> list[int]:
+        part, self.raw = self.raw[:n], self.raw[n:]
+        out, at = [], 0
+        if self.t.special is not None and "<|" in part:
+            for m in self.t.special.finditer(part):
+                out += self._plain(part[at : m.start()], True)
+                out.append(self.t.merges.special[m[0]])
+                at = m.end()
+        return out + self._plain(part[at:], end)
+
+    def _plain(self, part: str, end: bool) -> list[int]:
+        """The next characters of the run between special tokens; end: it ends with them."""
+        text, self.text = self.text + normal(part), ""
+        merges, out, at = self.t.merges, [], 0
+        if self.kind and text:
+            m = _RUNS[self.kind].match(text)
+            if m:
+                self.held += m[0].encode()
+                at = m.end()
+            if at < len(text):
+                out += merges.advance(self.held, True)
+                self.kind = None
+            else:
+                out += merges.advance(self.held, False)
+        tokens = [m.span() for m in _SPLIT.finditer(text, at)] if at < len(text) else []
+        if tokens and not end:
+            tail = _TAIL.search(text, at)
+            if tail and any(a == tail.start() for a, _ in tokens[-2:]):
+                self.text = text[tail.start() :]
+                tokens = [x for x in tokens if x[0] < tail.start()]
+            elif (m := [k for k, r in _RUNS.items() if r.fullmatch(text, *tokens[-1])]) and not (tokens[-1][1] - tokens[-1][0] > 1 and text[tokens[-1][0]] == "'" and m[0] == "letters"):
+                a, b = tokens.pop()
+                out += self.t.whole([text[x:y] for x, y in tokens])
+                tokens, self.kind = [], m[0]
+                self.held += text[a:b].encode()
+                out += merges.advance(self.held, False)
+        out += self.t.whole([text[x:y] for x, y in tokens])
+        if end:
+            out += merges.advance(self.held, True)
+            self.kind = None
+        return out
 
-    #: Bytes of a pre-token from which it is streamed alone instead of in a block.
-    LONG = 4096
 
-    def __init__(self, path: str):
+class Transducer:
+    """The encoder. `feed` takes the next piece of a text, `encode` whole texts side by side."""
+
+    def __init__(self, path: str, remember: int = 200_000):
         self.merges = Merges(path)
         self.special = regex.compile("|".join(regex.escape(x) for x in self.merges.special)) if self.merges.special else None
-        self.words = WordTable(self.encode_words, limit=200_000)
+        self.longest_special = max(map(len, self.merges.special), default=0)
+        self.words = WordTable(self.encode_words, limit=remember)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.words.encode(texts)
 
+    def feed(self, state: WordStream | None, piece: str, last: bool) -> tuple[np.ndarray, WordStream | None]:
+        """The ids that the next piece of a text settles, and the state to hand on: the word that the piece's end cuts, if
+        any. last: the text ends with it."""
+        parts: list = []
+        if state is not None:
+            gap = _GAP.search(piece)
+            parts.append(state.feed(piece[: gap.start()] if gap else piece))
+            if gap is None and not last:
+                return np.array(parts[0], np.int32), state
+            parts.append(state.close())
+            piece, state = piece[gap.start() :] if gap else "", None
+        body = piece
+        if not last:
+            words_end = max((i for i in range(len(piece) - 1, max(-1, len(piece) - 1 - Interned.LONG), -1) if piece[i] in SPACE), default=None)
+            if words_end is None:
+                words_end = next((m.start() for m in regex.finditer(f"(?r)[{SPACE}]", piece)), -1)
+            body, rest = piece[: words_end + 1], piece[words_end + 1 :]
+            if rest:
+                state = WordStream(self)
+        parts.append(self.encode([body])[0])
+        if state is not None:
+            parts.append(state.feed(rest))
+        return np.concatenate([np.array(x, np.int32) for x in parts]), state
+
     def _pretokens(self, word: str) -> list:
         if self.special is not None and "<|" in word and self.special.search(word):
             out, at = [], 0
@@ -268,33 +425,45 @@ class Transducer:
             return out + _SPLIT.findall(normal(word[at:]))
         return _SPLIT.findall(normal(word))
 
-    def encode_words(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def whole(self, tokens: list[str]) -> list[int]:
+        """Ids of whole pre-tokens, one after another."""
+        short = all(len(x) < Interned.LONG for x in tokens)
+        if short and len(tokens) > 8:
+            return self._side_by_side([x.encode() for x in tokens])[0].tolist()
+        return [i for x in tokens for i in self.merges.advance(bytearray(x.encode()), True)]
+
+    def _side_by_side(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         m = self.merges
+        lens = np.array([len(p) for p in parts], np.int64)
+        offsets = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(lens, out=offsets[1:])
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        symbols = m.inner[raw]
+        last = offsets[1:][lens > 0] - 1
+        symbols[last] = m.final[raw[last]]
+        return m.merge(symbols, offsets)
+
+    def encode_words(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that haven't been seen, and offsets. Short ones end inside a window, so all their tokens are stable
+        at once; the others are streams."""
         parts: list[bytes] = []
         counts, direct = [], {}
         for w in block:
-            if w.isascii() and w.isalpha():
-                tokens = [w.lower()]
-            else:
-                tokens = self._pretokens(w)
+            if len(w) >= Interned.LONG:
+                stream = WordStream(self)
+                direct[len(parts)] = [i for a in range(0, len(w), 1 << 16) for i in stream.feed(w[a : a + (1 << 16)])] + stream.close()
+                parts.append(b"")
+                counts.append(1)
+                continue
+            tokens = [w.lower()] if w.isascii() and w.isalpha() else self._pretokens(w)
             counts.append(len(tokens))
             for t in tokens:
                 if isinstance(t, int):
                     direct[len(parts)] = [t]
                     parts.append(b"")
-                elif len(b := t.encode()) > self.LONG:
-                    direct[len(parts)] = m.stream(b)
-                    parts.append(b"")
                 else:
-                    parts.append(b)
-        lens = np.array([len(p) for p in parts], np.int64)
-        offsets = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(lens, out=offsets[1:])
-        raw = np.frombuffer(b"".join(parts), np.uint8)
-        symbols = m.inner[raw]
-        last = offsets[1:][lens > 0] - 1
-        symbols[last] = m.final[raw[last]]
-        ids, at = m.merge(symbols, offsets)
+                    parts.append(t.encode())
+        ids, at = self._side_by_side(parts)
         if direct:
             pieces = [direct[i] if i in direct else ids[at[i] : at[i + 1]].tolist() for i in range(len(parts))]
             at = np.zeros(len(parts) + 1, np.int64)
@@ -327,40 +496,65 @@ class Pieces:
         return [blob[a:b] for a, b in zip(cut, cut[1:])]
 
 
-class LibraryDecoder:
-    """Decodes as a tokenizer file without a decoder does: the tokens' own spellings, joined by one space."""
+class TextMachine:
+    """Incremental decoder from ids to bytes of text, a run of ids at a time.
 
-    def __init__(self, names: dict[int, str]):
-        self.pieces = Pieces({i: t.encode() + b" " for i, t in names.items()})
+    Its state is what the next token needs to know of those before: as the library spells, whether there was one, since a
+    tokenizer file without a decoder gives the tokens' own spellings joined by a space; plain, whether a word has ended and
+    a space is due, since the encoder drops the original white space. Tokens are bytes, so a character may be cut between
+    two runs; `feed` hands on whole bytes and `ByteTextMachine` whole characters.
+    """
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        return [b[:-1] for b in self.pieces.spell(ids, offsets)]
+    def __init__(self, names: dict[int, str], special: set[int] = frozenset(), plain: bool = False):
+        self.plain, self.due = plain, False
+        if plain:
+            back = {c: b for b, c in enumerate(byte_letters())}
+            ends = {i: i not in special and t.endswith("</w>") for i, t in names.items()}
+            raw = {i: t.encode() if i in special else bytes(back[c] for c in t.removesuffix("</w>")) for i, t in names.items()}
+            # a word's end is kept as a space behind it, which is taken back where nothing follows
+            self.pieces = Pieces({i: r + b" " * ends[i] for i, r in raw.items()})
+            self.ends = np.zeros(len(self.pieces.at), bool)
+            self.ends[[i for i, e in ends.items() if e]] = True
+        else:
+            self.pieces = Pieces({i: b" " + t.encode() for i, t in names.items()})
+
+    def copy(self) -> TextMachine:
+        """A machine at the start of a text, with the same tables."""
+        out = object.__new__(TextMachine)
+        out.__dict__ |= self.__dict__ | {"due": False}
+        return out
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        return self.feed_runs(ids, np.array([0, len(ids)]), [self])[0]
+
+    def feed_runs(self, ids: np.ndarray, offsets: np.ndarray, machines: list[TextMachine]) -> list[bytes]:
+        """The bytes of many runs at once, each continuing its own machine."""
+        out = self.pieces.spell(ids, offsets)
+        for r, (m, a, b) in enumerate(zip(machines, offsets.tolist(), offsets[1:].tolist())):
+            if a == b:
+                continue
+            if not self.plain:
+                if not m.due:
+                    out[r], m.due = out[r][1:], True
+                continue
+            ends = bool(self.ends[ids[b - 1]])
+            out[r] = b" " * m.due + (out[r][:-1] if ends else out[r])
+            m.due = ends
+        return out
 
 
 class ByteTextMachine:
-    """Incremental decoder back to plain text: feed ids, get text as soon as its bytes are complete.
-
-    Its whole state is the unfinished UTF-8 sequence (three bytes at most) and whether a word end is pending. Word ends
-    become one space, since the encoder drops the original white space; malformed bytes become U+FFFD.
-    """
+    """A plain TextMachine that hands on whole characters: it also holds an unfinished UTF-8 sequence, three bytes at most.
+    Malformed bytes become U+FFFD."""
 
-    def __init__(self, names: dict[int, str], special: set[int] = frozenset()):
+    def __init__(self, machine: TextMachine):
         import codecs
 
-        back = {c: b for b, c in enumerate(byte_letters())}
-        self.bytes_of = {i: (t.encode() if i in special else bytes(back[c] for c in t.removesuffix("</w>")), i not in special and t.endswith("</w>")) for i, t in names.items()}
+        self.machine = machine
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.pending = False
 
     def feed(self, ids) -> str:
-        out = []
-        for i in ids:
-            raw, ends = self.bytes_of[int(i)]
-            if self.pending:
-                out.append(" ")
-            out.append(self.utf8.decode(raw, ends))
-            self.pending = ends
-        return "".join(out)
+        return self.utf8.decode(self.machine.feed(np.asarray(ids, np.int64)))
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)

@@ -84,6 +84,36 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
+def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES):
+    """(batch, pieces) with pieces (row, text, first, last) of about `size` bytes together: the texts of a batch in order, a
+    longer one in several pieces that end between two characters. Nulls are empty texts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, offsets = byte_view(batch.column(column))
+        out, held = [], 0
+        for row, (a, z) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+            at = a
+            while True:
+                end = min(z, at + max(size - held, 4))
+                while end < z and data[end] & 0xC0 == 0x80:
+                    end -= 1
+                if end < z and z - a <= size and at == a:  # a text of one piece isn't cut to fill up another's
+                    yield batch, out
+                    out, held = [], 0
+                    continue
+                out.append((row, data[at:end].tobytes().decode(), at == a, end == z))
+                held += end - at
+                at = end
+                if held >= size:
+                    yield batch, out
+                    out, held = [], 0
+                if at >= z:
+                    break
+        if out:
+            yield batch, out
+
+
 def binary_rows(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column from packed bytes and byte offsets."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
