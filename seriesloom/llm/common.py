@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on at a time; it bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
@@ -50,6 +51,14 @@ def unstage(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that begins with `name` and that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column in one uint8 array, and its int64 offsets; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -156,6 +165,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bit_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """`bits` flags (a power of two), set at the lower part of each of the 64-bit numbers in a column. The size is fixed,
+    however many there are; what passes wrongly finds no partner when it is joined."""
+    n = F.col(column).bitwiseAND(F.lit(bits - 1))  # added up on the executors, so a word of flags is collected once
+    found = ids.select(n.alias("n")).groupBy(F.shiftright("n", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(n & 63 as int)))").alias("x")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("x").to_numpy()
+    return out
+
+
+def flags(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Arrow batches bounded in rows and bytes, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_view, by_key, shuffle_partitions, stage, text_slices, unstage
+from .common import arrow_batches, bit_filter, byte_view, flags, by_key, shuffle_partitions, stage, text_slices, unstage
 from .graph import components
 from .shingles import MinHash, distinct, mix, shingle_hashes
 
@@ -46,7 +46,7 @@ class Settings:
     miss: float = 1e-5
     batch: int = 30
     block: int = 256
-    fan: int = 4096
+    fan: int = 128
 
     @property
     def bands(self) -> int:
@@ -275,6 +275,24 @@ def _verify(groups, s: Settings):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs that stand in wanted (doc_id, text_key). A bit filter of bounded size goes ahead of the join, so that
+    hardly any other text is moved."""
+    bits = min(max(1 << 20, 1 << (16 * wanted.count()).bit_length()), 1 << 26)
+    mark = F.xxhash64("doc_id", "text_key")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(mark.alias("mark")), "mark", bits))
+
+    def run(batches):
+        known = flags(shared.value)
+        for batch in batches:
+            hit = known[batch.column("mark").to_numpy() & (bits - 1)]
+            if hit.any():
+                yield batch.filter(pa.array(hit)).select(["doc_id", "text_key", "text"])
+
+    few = _keyed(docs).withColumn("mark", mark).mapInArrow(run, "doc_id long, text_key long, text string")
+    return few.join(wanted, ["doc_id", "text_key"])
+
+
 def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
@@ -303,7 +321,7 @@ def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     def texts(nodes: DataFrame) -> DataFrame:
         """(digest, doc_id, text) of the nodes (digest), one row each."""
         wanted = stage(nodes.distinct().join(classes.select("digest", "doc_id", "text_key"), "digest"), "wanted")
-        return _keyed(docs).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["digest"]).select("digest", "doc_id", "text")
+        return _fetch(docs, wanted).dropDuplicates(["digest"]).select("digest", "doc_id", "text")
 
     stars = stage(bands.join(hubs, "key").filter("digest <> hub").select("hub", F.col("digest").alias("node")).distinct(), "stars")
     left = stage(_star_survivors(stars, classes, s), "star-survivors")
