@@ -56,11 +56,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each lower-cased word, the same wherever the word stands."""
+#: Values of bytes that tell upper and lower case apart.
+EXACT = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, dtype=U64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A hash of each string, the same wherever it stands; A-Z count as lower case unless `values` says otherwise."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(values[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
