@@ -167,8 +167,17 @@ def _query_rows(qb: DataFrame) -> DataFrame:
     return qb.select("number", "n", "ids", "raw").mapInArrow(run, "q long, qi int, query_id long, x binary")
 
 
-def _distances(pairs: DataFrame, cb: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score) of the surviving pairs (c, ci, query_id, x), which pass by their candidate block."""
+def _best(q: np.ndarray, v: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k nearest."""
+    order = np.lexsort((v, d, q))
+    first = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]]))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
+
+
+def _distances(pairs: DataFrame, cb: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the surviving pairs (c, ci, query_id, x), which pass by their candidate block; of many
+    that tie in a block only the k nearest go on."""
     blocks = cb.select(F.col("number").alias("c"), F.lit(-1).alias("ci"), F.lit(None).cast("long").alias("query_id"), F.col("raw").alias("x"), "ids")
     rows = blocks.unionByName(pairs.withColumn("ids", F.lit(None).cast("binary")))
     dealt = rows.repartition(shuffle_partitions(cb.sparkSession), "c").sortWithinPartitions("c", "ci")
@@ -188,7 +197,9 @@ def _distances(pairs: DataFrame, cb: DataFrame) -> DataFrame:
                     part, at = batch.slice(a + 1, z - a - 1), ci[a + 1 : z]
                     q = np.frombuffer(b"".join(part.column("x").to_pylist())).reshape(len(at), -1)
                     score = np.sqrt(np.cumsum((x[at] - q) ** 2, axis=1)[:, -1])  # added in component order
-                    yield pa.RecordBatch.from_arrays([part.column("query_id"), pa.array(ids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    query = part.column("query_id").to_numpy()
+                    few = _best(query, ids[at], score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[few]) for x in (query, ids[at], score)], names=["query_id", "vec_id", "score"])
 
     return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -247,6 +258,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, s: Settings | None = None) -
     tau = stage(tau.filter(F.col("n") >= s.k).select("q", "qi", "tau"), "thresholds")
     left = seen.join(tau, ["q", "qi"], "left").filter("tau is null or lower <= tau")
     pairs = left.join(_query_rows(qb), ["q", "qi"]).select("c", "ci", "query_id", "x")
-    found = stage(_distances(pairs, cb), "distances")
+    found = stage(_distances(pairs, cb, s.k), "distances")
     unstage(cb, qb, seen, tau)
     return _merge(found, s.k)
