@@ -8,15 +8,17 @@ bytes only, and the recursion on names ends after one step:
    length - v + 1 bytes at equal places.
 2. Sort sampled tuples. Each block of documents sorts its tuples by fingerprint; equal ones get one name. The sorted
    names meet name range by name range, where those that stand only once in the corpus are found and discarded.
-3. Recurse on names. A string of `length` bytes can only repeat where some sampled tuple at most v - 1 bytes after its
-   start has a repeated name. Only these positions, sampled or not, are named again, now by all their `length` bytes.
+3. Recurse on names. A string of `length` bytes begins within one cycle before len(COVER) sampled tuples that lie whole in
+   it, and can only repeat where all their names do. Only these positions, sampled or not, are named again, now by all
+   their `length` bytes.
 4. Merge. The new names meet range by range in sorted order; equal neighbours are equal strings, and the smallest
    document among them says for each block which of its strings start earlier elsewhere.
 Whole documents that copy an earlier one are found by digest first and take no part in steps 3 and 4.
 
-Fingerprints have 64 bits; n strings of different content collide with a chance of about n * n / 2**65. Names travel as
-sorted differences, about 3 bytes each in step 2 and 8 in step 4, never as rows, and one range holds at most about
-`range_names` of them. Answers are bit maps that each block reads from the shared folder.
+Step 2 only rules positions out, so its names may collide. Those of step 4 have 128 bits: n strings of different content
+share one with a chance of about n * n / 2**129. Names travel as sorted differences of their upper halves, never as rows,
+and one range holds at most about `range_names` of them. Answers are bit maps that each block reads from the shared folder,
+where the blocks of several input partitions share a file.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, by_key, fresh_path, stage, unstage
-from .shingles import U64, mix, powers
+from .shingles import EXACT, U64, mix, powers
 
 #: A perfect difference set; every residue modulo 57 is a difference of two of its members.
 CYCLE, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
@@ -47,11 +49,13 @@ RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>,
 @dataclass(frozen=True)
 class Settings:
     """length: bytes of a string that counts as repeated; over 2 * 57. block_bytes: text handled at a time.
-    range_names: names that meet in one place, on average."""
+    range_names: names that meet in one place, on average. name_bits: of the sorted half of a name; fewer only serve to
+    test that equal halves are told apart."""
 
     length: int = 100
     block_bytes: int = 6 << 20
     range_names: int = 2_000_000
+    name_bits: int = 64
 
     @property
     def tuple_bytes(self) -> int:
@@ -79,17 +83,17 @@ def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
 
 class Prefix:
     """Polynomial prefix sums of a block, from which the hash of any string of it follows. Up to `STRETCH` bytes are
-    summed once and kept; a longer block is summed stretch by stretch."""
+    summed once and kept; a longer block is summed stretch by stretch. values: the numbers that stand for the bytes."""
 
     STRETCH = 8 << 20
 
-    def __init__(self, data: np.ndarray):
-        self.data, self.kept = data, None
+    def __init__(self, data: np.ndarray, values: np.ndarray = EXACT):
+        self.data, self.values, self.kept = data, values, None
 
     def _sums(self, a: int, z: int) -> np.ndarray:
         part = self.data[a:z]
         total = np.zeros(len(part) + 1, U64)
-        np.cumsum(_BYTE_ALL[part] * powers(len(part) + 1)[0][: len(part)], out=total[1:])
+        np.cumsum(self.values[part] * powers(len(part) + 1)[0][: len(part)], out=total[1:])
         return total
 
     def hashes(self, places: np.ndarray, length: int) -> np.ndarray:
@@ -108,7 +112,7 @@ class Prefix:
         return out
 
 
-_BYTE_ALL = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, dtype=U64)
+_SECOND = np.random.Generator(np.random.PCG64(100)).integers(0, 2**64, 256, dtype=U64)
 
 
 def sampled(offsets: np.ndarray, s: Settings) -> np.ndarray:
@@ -174,12 +178,13 @@ class BlockText:
         at = sampled(self.offsets, s)
         return at, self.prefix.hashes(at, s.tuple_bytes) >> drop << drop
 
-    def strings(self, s: Settings, at: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places that have one of the sampled places `at` less than a cycle after them, and their fingerprints."""
+    def strings(self, s: Settings, at: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places all of whose sampled places less than a cycle ahead are among `at`, and the two halves of their names."""
         n = len(self.data)
-        edge = np.bincount(np.maximum(at - CYCLE + 1, self.offsets[self.row_of[at]]), minlength=n + 1).astype(np.int32)
-        edge[at + 1] -= 1
-        ok = np.cumsum(edge[:n], dtype=np.int32) > 0
+        seen = np.zeros(n + CYCLE + 1, np.int32)
+        seen[at + 1] = 1
+        np.cumsum(seen, out=seen)
+        ok = seen[CYCLE : n + CYCLE] - seen[:n] == len(COVER)
         none = (self.lens < s.length) | skip
         for d in np.flatnonzero(none):
             ok[self.offsets[d] : self.offsets[d + 1]] = False
@@ -187,7 +192,8 @@ class BlockText:
         if len(tail):
             ok[(tail[:, None] - np.arange(1, s.length)).ravel()] = False
         places = np.flatnonzero(ok)
-        return places, self.prefix.hashes(places, s.length)
+        drop = U64(64 - s.name_bits)
+        return places, self.prefix.hashes(places, s.length) >> drop << drop, Prefix(self.data, _SECOND).hashes(places, s.length)
 
 
 def distinct_sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +203,19 @@ def distinct_sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x))) > 1
 
 
+def runs(names: np.ndarray, tags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal names together, and where in it a new one begins. Tags tell names of equal halves apart;
+    they are sorted only where some do."""
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate([[True], names[order][1:] != names[order][:-1]]) if len(names) else np.zeros(0, bool)
+    if tags is not None and len(names):
+        differ = tags[order][1:] != tags[order][:-1]
+        if (differ & ~new[1:]).any():
+            order = np.lexsort((tags, names))
+            new[1:] = (names[order][1:] != names[order][:-1]) | (tags[order][1:] != tags[order][:-1])
+    return order, new
+
+
 def members(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Which of x are among the sorted chosen ones: a small table on the upper bits rules most out, a search the rest."""
     if not len(chosen):
@@ -211,20 +230,35 @@ def members(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(folder: str, block: int) -> dict[int, bytes]:
-    """The bit maps of a block by name range, from the shared folder."""
+#: Input partitions whose answers share a folder, as a power of two: blocks are numbered from partition << 32.
+SHARED = 35
+
+
+def _part_rows(folder: str, block: int, columns: list[str]) -> list[dict]:
+    """The rows of a block in a table that _write_by_block has written; row groups without it are skipped."""
     where, at = fs.FileSystem.from_uri(folder)
-    info = where.get_file_info(f"{at}/block={block}")
-    out: dict[int, bytes] = {}
+    info = where.get_file_info(f"{at}/part={block >> SHARED}")
+    out: list[dict] = []
     if info.type == fs.FileType.Directory:
         for f in where.get_file_info(fs.FileSelector(info.path)):
             if f.path.endswith(".parquet"):
-                with where.open_input_file(f.path) as file:
-                    t = pq.ParquetFile(file).read(columns=["range", "bits"])
-                out |= dict(zip(t.column("range").to_pylist(), t.column("bits").to_pylist()))
+                out += pq.read_table(f.path, filesystem=where, columns=columns, filters=[("block", "==", block)], partitioning=None).to_pylist()
     return out
 
 
+def _write_by_block(df: DataFrame, n: int, name: str) -> str:
+    """Writes rows (block, ...) in files that each hold the blocks of several input partitions, in order of block."""
+    folder = fresh_path(df.sparkSession, name)
+    part = F.shiftright("block", SHARED)
+    df.withColumn("part", part).repartition(n, "part").sortWithinPartitions("part", "block").write.option("parquet.block.size", str(1 << 18)).partitionBy("part").parquet(folder)
+    return folder
+
+
+def _answers(folder: str, block: int) -> dict[int, bytes]:
+    """The bit maps of a block by name range, from the shared folder."""
+    return {r["range"]: r["bits"] for r in _part_rows(folder, block, ["range", "bits"])}
+
+
 def _flags(answers: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
     """One flag per sorted name from the bit maps of all ranges."""
     out = np.zeros(cuts[-1], bool)
@@ -234,11 +268,11 @@ def _flags(answers: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-MESSAGE = "range int, block long, n long, names binary, first long, docs binary"
+MESSAGE = "range int, block long, n long, names binary, tags binary, first long, docs binary"
 ANSWER = "block long, range int, bits binary"
 
 
-def _messages(block: int, names: np.ndarray, n: int, docs: np.ndarray | None) -> pa.RecordBatch:
+def _messages(block: int, names: np.ndarray, n: int, tags: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.RecordBatch:
     cuts = ranges(names, n)
     rows = [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     first = [int(docs[a:b].min()) if docs is not None else 0 for _, a, b in rows]
@@ -248,10 +282,11 @@ def _messages(block: int, names: np.ndarray, n: int, docs: np.ndarray | None) ->
             pa.array([block] * len(rows), pa.int64()),
             pa.array([b - a for _, a, b in rows], pa.int64()),
             pa.array([pack_sorted(names[a:b]) for _, a, b in rows], pa.binary()),
+            pa.array([b"" if tags is None else pack_numbers(tags[a:b]) for _, a, b in rows], pa.binary()),
             pa.array(first, pa.int64()),
             pa.array([b"" if docs is None else pack_numbers((docs[a:b] - f).astype(U64)) for (_, a, b), f in zip(rows, first)], pa.binary()),
         ],
-        names=["range", "block", "n", "names", "first", "docs"],
+        names=["range", "block", "n", "names", "tags", "first", "docs"],
     )
 
 
@@ -260,8 +295,8 @@ def _meet(groups, by_document: bool):
     for t in groups:
         n = t.column("n").to_pylist()
         names = np.concatenate([unpack_sorted(raw, k) for raw, k in zip(t.column("names").to_pylist(), n)])
-        order = np.argsort(names, kind="stable")
-        new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+        tags = np.concatenate([unpack_numbers(raw, k) for raw, k in zip(t.column("tags").to_pylist(), n)]) if by_document else None
+        order, new = runs(names, tags)
         group = np.empty(len(names), np.int64)
         group[order] = np.cumsum(new) - 1
         if by_document:
@@ -275,12 +310,6 @@ def _meet(groups, by_document: bool):
         yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), t.column("range").combine_chunks(), pa.array(bits, pa.binary())], names=["block", "range", "bits"])
 
 
-def _write_answers(df: DataFrame, n: int, name: str) -> str:
-    folder = fresh_path(df.sparkSession, name)
-    df.repartition(n, "block").sortWithinPartitions("block", "range").write.partitionBy("block").parquet(folder)
-    return folder
-
-
 def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_bytes, spans and kept for each row of docs (doc_id, text): the byte ranges that repeat earlier text, and
     the remaining bytes.
@@ -299,7 +328,7 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     blocks, n_names = packed.agg(F.count("*"), F.coalesce(F.sum("n_names"), F.lit(0))).first()
     if not blocks:
         return spark.createDataFrame([], RESULT)
-    spread = min(blocks, 4096)
+    spread = min(blocks, 4096)  # files of answers are written by so many tasks
     n = max(1, math.ceil(n_names / s.range_names))
     # names keep as many bits as let a name that stands once pass for repeated about once in ten thousand times
     drop = U64(max(0, 64 - (max(n_names, 1).bit_length() + 14)))
@@ -310,9 +339,9 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
                 b = BlockText(batch, i)
                 h, _ = distinct_sorted(b.names(s, drop)[1])
                 if len(h):
-                    yield _messages(b.number, h, n, None)
+                    yield _messages(b.number, h, n)
 
-    answers = _write_answers(by_key(packed.mapInArrow(named, MESSAGE), n, ["range"], lambda g: _meet(g, False), ANSWER), spread, "repeated-names")
+    answers = _write_by_block(by_key(packed.mapInArrow(named, MESSAGE), n, ["range"], lambda g: _meet(g, False), ANSWER), spread, "repeated-names")
 
     def digests(batches):
         for batch in batches:
@@ -325,33 +354,24 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     whole = stage(packed.mapInArrow(digests, "block long, row long, doc_id long, digest binary"), "digests")
     firsts = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
     copies = whole.join(firsts, "digest").filter("doc_id > least").select("block", "row")
-    copied = fresh_path(spark, "copies")
-    copies.repartition(spread, "block").groupBy("block").agg(F.collect_list("row").alias("rows")).write.partitionBy("block").parquet(copied)
+    copied = _write_by_block(copies, spread, "copies")
     unstage(whole)
 
     def prepared(b: BlockText):
         skip = np.zeros(len(b.ids), bool)
-        where, at = fs.FileSystem.from_uri(copied)
-        info = where.get_file_info(f"{at}/block={b.number}")
-        if info.type == fs.FileType.Directory:
-            for f in where.get_file_info(fs.FileSelector(info.path)):
-                if f.path.endswith(".parquet"):
-                    with where.open_input_file(f.path) as file:
-                        for rows in pq.ParquetFile(file).read(columns=["rows"]).column("rows").to_pylist():
-                            skip[rows] = True
+        skip[[r["row"] for r in _part_rows(copied, b.number, ["row"])]] = True
         at, names = b.names(s, drop)
         short, more = distinct_sorted(names)
         flags = _flags(_answers(answers, b.number), ranges(short, n)) if len(short) else more
         return skip, at[members(names, short[flags | more])]
 
     def counted(b: BlockText):
-        """Rows to skip, candidate places in order of their strings, and where each distinct string begins among them."""
+        """Rows to skip, candidate places in order of their strings, the strings' names and where each begins."""
         skip, at = prepared(b)
-        places, h = b.strings(s, at, skip)
-        order = np.argsort(h)
-        h = h[order]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return skip, places[order], h[new], new
+        places, h, tag = b.strings(s, at, skip)
+        order, new = runs(h, tag)
+        new = np.flatnonzero(new)
+        return skip, places[order], h[order][new], tag[order][new], new
 
     size = max(1, math.ceil(n_names * CYCLE / len(COVER) / 4 / s.range_names))  # about a quarter of all strings is named again
 
@@ -359,17 +379,17 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = BlockText(batch, i)
-                _, places, names, new = counted(b)
+                _, places, names, tags, new = counted(b)
                 if len(new):
-                    yield _messages(b.number, names, size, b.ids[b.row_of[np.minimum.reduceat(places, new)]])
+                    yield _messages(b.number, names, size, tags, b.ids[b.row_of[np.minimum.reduceat(places, new)]])
 
-    earlier = _write_answers(by_key(packed.mapInArrow(merged, MESSAGE), size, ["range"], lambda g: _meet(g, True), ANSWER), spread, "earlier-strings")
+    earlier = _write_by_block(by_key(packed.mapInArrow(merged, MESSAGE), size, ["range"], lambda g: _meet(g, True), ANSWER), spread, "earlier-strings")
 
     def result(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 b = BlockText(batch, i)
-                skip, places, names, new = counted(b)
+                skip, places, names, _, new = counted(b)
                 gone = np.zeros(len(b.data) + 1, np.int32)
                 if len(new):
                     flags = _flags(_answers(earlier, b.number), ranges(names, size))
