@@ -4,11 +4,14 @@ Texts are split into words (A-Z lower-cased, common punctuation taken as space)
 cut into windows of six shingles that overlap by three, and each template into pieces of at most four, so a piece that
 stands in a document lies whole in one window. Window and piece then have a similarity of at least (piece size) / 6;
 bands are single minimum values, and there are as many as retrieve even a one-shingle template with the chance `recall`
-from one window. Retrieved (document, template) pairs are verified exactly: the share of the template's shingles, as
-text, that the document holds.
+from one window. A template that is shorter than a piece is looked up by its shingles' hashes as well, so that it can't be
+missed. Retrieved (document, template) pairs are verified exactly: the share of the template's shingles, as text, that the
+document holds.
 
 The six hashes of a window are columns of a generated row and all minimum values are plain arithmetic on them, so the
-search runs inside generated code. Templates stand in the plan as literals; their number is checked.
+search runs inside generated code. Templates stand in the plan as literals; more than a plan should hold are scanned for in
+several passes. Windows that hit are gathered by document before they are shuffled, so a text moves once, however often it
+repeats a license.
 """
 
 from __future__ import annotations
@@ -45,7 +48,8 @@ TEMPLATES: dict[str, str] = {
 @dataclass(frozen=True)
 class Settings:
     """percent: share of a template's shingles that a document has to hold. recall: chance that one window retrieves a
-    template of one shingle. most_shingles: bound on the templates' shingles together, since they stand in the plan."""
+    template of one shingle. most_shingles: bound on the templates' shingles of one pass, since they stand in the plan; a
+    longer template is refused."""
 
     percent: int = 80
     recall: float = 0.99
@@ -74,8 +78,6 @@ def _shingle(w: Column, i: Column) -> Column:
 
 def template_shingles(spark: SparkSession, templates: dict[str, str], s: Settings) -> list[tuple[str, list[str], list[int]]]:
     """(name, shingles in order, their hashes) of each template; one of fewer than five words has none."""
-    if sum(len(t.split()) for t in templates.values()) > s.most_shingles:
-        raise ValueError("too many templates for one scan; give them in parts")
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
     at = F.sequence(F.lit(0), F.size("w") - 5)
     return [tuple(r) for r in rows.select("name", F.transform(at, lambda i: F.concat_ws(" ", F.slice("w", i + 1, 5))), F.transform(at, lambda i: _shingle(F.col("w"), i))).collect()]
@@ -93,10 +95,40 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, s: Settings |
     table gives an empty result.
     """
     s = s or Settings()
+    out = docs.sparkSession.createDataFrame([], "doc_id long, license string, n_template long, n_common long, containment double")
+    for part in _passes(TEMPLATES if templates is None else templates, s):
+        out = out.unionByName(_scan(docs, part, s))
+    return out
+
+
+def _passes(templates: dict[str, str], s: Settings) -> list[dict[str, str]]:
+    """The templates in parts of at most most_shingles words."""
+    out: list[dict[str, str]] = []
+    size = s.most_shingles + 1
+    for name, text in sorted(templates.items()):
+        n = len(text.split())
+        if n > s.most_shingles:
+            raise ValueError(f"template {name} is too long")
+        if size + n > s.most_shingles:
+            out.append({})
+            size = 0
+        out[-1][name] = text
+        size += n
+    return out
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], s: Settings) -> DataFrame:
     spark = docs.sparkSession
-    found = template_shingles(spark, TEMPLATES if templates is None else templates, s)
+    found = template_shingles(spark, templates, s)
     factors = s.factors
-    index = {(b, min(h * f & MASK for h in hashes[i : i + PIECE]), name) for name, _, hashes in found for i in range(0, len(hashes), PIECE) for b, f in enumerate(factors)}
+    index: dict[int, set[str]] = {}  # band << 32 | value -> templates
+    exact: dict[int, set[str]] = {}  # hash -> templates shorter than a piece
+    for name, _, hashes in found:
+        for i in range(0, len(hashes), PIECE):
+            for b, f in enumerate(factors):
+                index.setdefault(b << 32 | min(h * f & MASK for h in hashes[i : i + PIECE]), set()).add(name)
+        for h in hashes if len(hashes) < PIECE else ():
+            exact.setdefault(len(factors) << 32 | h, set()).add(name)
     if not index:
         return spark.createDataFrame([], "doc_id long, license string, n_template long, n_common long, containment double")
     # no filter on the words: it would be pushed below them and split every text twice
@@ -110,19 +142,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, s: Settings |
     least = [F.least(*(_value(F.col(f"h{k}"), f) for k in range(WINDOW))) for f in factors]
     hit = None
     for b, v in enumerate(least):
-        one = v.isin(sorted({x for c, x, _ in index if c == b}))
+        one = v.isin(sorted(x & MASK for x in index if x >> 32 == b))
         hit = one if hit is None else hit | one
+    for k in range(STEP if exact else 0):  # every shingle is among the first STEP of some window
+        hit = hit | F.col(f"h{k}").isin(sorted(x & MASK for x in exact))
     # a lambda keeps this filter out of whole-stage code, where it would be one method too long to be compiled; outside,
     # Spark gives every band a method of its own. The lambda itself is true and only reached by windows that hit.
     hit = hit & F.exists(F.array("h0"), lambda x: x >= 0)
-    # the few windows that hit a band are dealt by document, with its text; only for them bands are looked up one by one
-    hits = windows.filter(hit).withColumn("key", F.xxhash64("text")).repartition("doc_id", "key")
-    looked = hits.select("doc_id", "key", "text", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in enumerate(least)))).alias("x")).select("doc_id", "key", "text", "x.*")
-    table = spark.createDataFrame(sorted(index), "band int, value long, license string")
-    pairs = looked.join(F.broadcast(table), ["band", "value"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.collect_set("license").alias("licenses"))
+    # only for the few windows that hit a band, the templates are looked up
+    entries = sorted((index | exact).items())
+    table = F.map_from_arrays(F.array(*(F.lit(k).cast("long") for k, _ in entries)), F.array(*(F.array(*(F.lit(x) for x in sorted(v))) for _, v in entries)))
+    keys = [F.lit(b << 32) + v for b, v in enumerate(least)] + [F.lit(len(factors) << 32) + F.col(f"h{k}") for k in range(STEP)]
+    retrieved = F.array_distinct(F.flatten(F.filter(F.transform(F.array(*keys), lambda k: F.try_element_at(F.col("table"), k)), lambda x: x.isNotNull())))
+    hits = windows.filter(hit).withColumn("table", table).select("doc_id", "text", F.xxhash64("text").alias("key"), F.explode(retrieved).alias("license"))
+    pairs = hits.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.collect_set("license").alias("licenses"))
     own = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.concat_ws(" ", F.slice("w", i, 5)))
     texts = F.create_map(*(x for name, t, _ in found for x in (F.lit(name), F.array(*(F.lit(y) for y in sorted(set(t)))))))
-    exact = pairs.select("doc_id", "licenses", words(F.col("text")).alias("w")).select("doc_id", "licenses", own.alias("own")).select("doc_id", "own", F.explode("licenses").alias("license"))
-    counted = exact.withColumn("t", F.element_at(texts, F.col("license"))).select("doc_id", "license", F.size("t").cast("long").alias("n_template"), F.size(F.array_intersect("t", "own")).cast("long").alias("n"))
+    split = pairs.select("doc_id", "licenses", words(F.col("text")).alias("w")).select("doc_id", "licenses", own.alias("own")).select("doc_id", "own", F.explode("licenses").alias("license"))
+    counted = split.withColumn("t", F.element_at(texts, F.col("license"))).select("doc_id", "license", F.size("t").cast("long").alias("n_template"), F.size(F.array_intersect("t", "own")).cast("long").alias("n"))
     best = counted.groupBy("doc_id", "license", "n_template").agg(F.max("n").alias("n_common"))
     return best.filter(F.col("n_common") * 100 >= F.col("n_template") * s.percent).withColumn("containment", F.col("n_common") / F.col("n_template"))
