@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices
+from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices, unused
 
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
@@ -76,12 +76,12 @@ class Model:
 
 def fit(labelled: DataFrame, s: Settings | None = None) -> Model:
     """A model from rows (doc_id, text, lang); null texts and languages are left out. About sample_rows rows are used
-    at most, chosen by a hash of doc_id."""
+    at most, each chosen by a seeded draw of its own, so that repeated ids aren't taken together."""
     s = s or Settings()
     arrow_batches(labelled.sparkSession)
     labelled = labelled.filter("lang is not null and text is not null")
     total = labelled.select("lang").count()
-    keep = F.lit(True) if total <= s.sample_rows else F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * s.sample_rows / total)
+    keep = F.lit(True) if total <= s.sample_rows else F.rand(3) < s.sample_rows / total
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -111,7 +111,7 @@ def page_columns(pages: DataFrame) -> DataFrame:
     label, and a two-letter first path segment where there is one) and the language that the markup declares."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     path = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]{0,400}?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     none = lambda c: F.when(c != "", c)
     return pages.select(
         F.col("page_id").cast("long").alias("key"),
@@ -123,7 +123,8 @@ def page_columns(pages: DataFrame) -> DataFrame:
     )
 
 
-def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool) -> DataFrame:
+def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool, names: list[str]) -> DataFrame:
+    """rows without text, with log-likelihoods, the posterior of the text alone and the number of trigrams, as `names`."""
     keep = [c for c in rows.columns if c != "text"]
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -133,9 +134,9 @@ def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool) -> Da
                 data, offsets = byte_view(pa.array([_TAGS.sub(" ", t or "") for t in part.column("text").to_pylist()], pa.string()))
             ll, grams = shared.value.likelihoods(data, offsets, s)
             p = np.where(grams[:, None] > 0, _softmax(ll), 0.0)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(ll), _lists(p), pa.array(grams)], names=[*keep, "_ll", "_p", "_grams"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(ll), _lists(p), pa.array(grams)], names=[*keep, *names])
 
-    schema = rows.select(*keep, F.array(F.lit(0.0)).alias("_ll"), F.array(F.lit(0.0)).alias("_p"), F.lit(0).cast("long").alias("_grams")).schema
+    schema = rows.select(*keep, F.array(F.lit(0.0)).alias(names[0]), F.array(F.lit(0.0)).alias(names[1]), F.lit(0).cast("long").alias(names[2])).schema
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -183,29 +184,31 @@ def identify(rows: DataFrame, model: Model, s: Settings | None = None, markup: b
     if not k:
         return rows.select(*others, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("accepted"))
     arrow_batches(rows.sparkSession)
-    scored = stage(_likelihoods(rows, model, s, markup), "likelihoods")
+    ll, p, grams = (unused(c, rows) for c in ("log_likelihoods", "posterior", "trigrams"))
+    scored = stage(_likelihoods(rows, model, s, markup, [ll, p, grams]), "likelihoods")
+
     def sums(by: str, name: str) -> DataFrame:
         """Written first, so that the planner knows its size: few keys are broadcast, many are joined by shuffle."""
-        return stage(scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.col("_p")[i]) for i in range(k))).alias(name)), f"sums-{by}")
+        return stage(scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.col(p)[i]) for i in range(k))).alias(name)), f"sums-{by}")
 
-    total = scored.agg(*(F.coalesce(F.sum(F.col("_p")[i]), F.lit(0.0)) for i in range(k))).first()
+    total = scored.agg(*(F.coalesce(F.sum(F.col(p)[i]), F.lit(0.0)) for i in range(k))).first()
     world = (np.array(total) + 1) / (sum(total) + k)
-    evidence = {"host": "_h", "domain": "_d", "declared": "_c", "suffix": "_x"}
+    evidence = {by: unused(f"{by}_sums", rows) for by in ("host", "domain", "declared", "suffix")}
     joined = scored
     for by, name in evidence.items():
         joined = joined.join(sums(by, name), by, "left")
-    joined = joined.select(*others, "_ll", "_p", "_grams", *evidence.values())
+    joined = joined.select(*others, ll, p, grams, *evidence.values())
     names = np.array(model.languages, object)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            (ll, _), (own, _), *rest = (_matrix(batch.column(c), k) for c in ("_ll", "_p", *evidence.values()))
-            post = fuse(ll, own, *rest, world, s)
+            (text, _), (own, _), *rest = (_matrix(batch.column(c), k) for c in (ll, p, *evidence.values()))
+            post = fuse(text, own, *rest, world, s)
             best = post.argmax(1)
             sure = post[np.arange(len(best)), best]
-            accepted = (batch.column("_grams").to_numpy() > 0) & (sure >= s.least)
+            accepted = (batch.column(grams).to_numpy() > 0) & (sure >= s.least)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(accepted)], names=[*others, "lang", "confidence", "accepted"])
 
     return joined.mapInArrow(run, scored.select(*others, F.lit("").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(True).alias("accepted")).schema)
