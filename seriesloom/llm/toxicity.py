@@ -2,9 +2,10 @@
 
 Features are the distinct hashed words, word pairs and pairs with one word between them of a whole text, with value 1.
 Training is FTRL-proximal with per-coordinate rates and L1/L2 terms: each coordinate keeps a gradient sum z and a
-squared gradient sum n. It runs on a bounded sample of labelled rows. Shards of the sample train on executors in
-parallel; their states are averaged coordinate by coordinate and given to the next pass. The L1 term leaves few nonzero
-weights, and these alone are broadcast for scoring: at most `buckets` of them, 12 bytes each.
+squared gradient sum n. It runs on a bounded sample of labelled rows, in shards that train on executors at the same time,
+one partition each. After a pass the states are averaged part by part, again on the executors, and reach the next pass's
+learners ahead of their rows; neither states nor rows go through the driver. The L1 term leaves few nonzero weights, and
+these alone are collected and broadcast for scoring: at most `buckets` of them, 12 bytes each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_key, byte_view, pieces, stage, text_slices, unstage
+from .common import arrow_batches, by_key, shuffle_partitions, stage, text_slices, unstage
 from .shingles import U64, mix, word_hashes, word_spans
 
 _SALTS = (U64(0x51ED270B), U64(0x2545F491), U64(0x9E3779B1))
@@ -53,6 +54,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return (np.concatenate(out) >> U64(64 - bits)).astype(np.int64), np.concatenate(rows)
 
 
+def ftrl_weights(z: np.ndarray, n: np.ndarray, free, s: Settings) -> np.ndarray:
+    """The weights of states (z, n); free ones aren't held at zero by L1."""
+    l1 = np.where(free, 0.0, s.l1)
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+
+
 class Ftrl:
     """FTRL-proximal with a state (z, n) per coordinate; the last one is the bias, which L1 doesn't hold at zero."""
 
@@ -60,9 +67,7 @@ class Ftrl:
         self.z, self.n, self.s = np.zeros(size), np.zeros(size), s
 
     def weights(self, i) -> np.ndarray:
-        z, s = self.z[i], self.s
-        l1 = np.where(i == len(self.z) - 1, 0.0, s.l1)
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(self.n[i])) / s.alpha + s.l2))
+        return ftrl_weights(self.z[i], self.n[i], i == len(self.z) - 1, self.s)
 
     def learn(self, i: np.ndarray, y: float, weight: float) -> None:
         w = self.weights(i)
@@ -78,57 +83,108 @@ def _bias(s: Settings) -> int:
     return 1 << s.bits
 
 
+#: Parts in which a state travels, and its rows: z and n of one part's coordinates.
+PARTS = 64
+STATE = "shard int, part int, z binary, n binary"
+
+
+class _Learner:
+    """A state that is put together from its parts and then learns rows, batch by batch."""
+
+    def __init__(self, s: Settings):
+        self.m = Ftrl(_bias(s) + 1, s)
+
+    def take(self, part: int, z: bytes, n: bytes) -> None:
+        for state, raw in ((self.m.z, z), (self.m.n, n)):
+            state[_part(part, len(state))] = np.frombuffer(raw, np.float32)
+
+    def learn(self, data: np.ndarray, offsets: np.ndarray, labels: list[float], boost: float) -> None:
+        s = self.m.s
+        f, row = features(data, offsets, s.bits)
+        order = np.argsort(row, kind="stable")
+        f, at = f[order], np.searchsorted(row[order], np.arange(len(labels) + 1))
+        for j, y in enumerate(labels):
+            self.m.learn(np.append(np.unique(f[at[j] : at[j + 1]]), _bias(s)), y, boost if y > 0 else 1.0)
+
+    def rows(self, shard: int) -> pa.RecordBatch:
+        z, n = ([x[_part(p, len(x))].astype(np.float32).tobytes() for p in range(PARTS)] for x in (self.m.z, self.m.n))
+        return pa.RecordBatch.from_arrays([pa.array([shard] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(z, pa.binary()), pa.array(n, pa.binary())], names=["shard", "part", "z", "n"])
+
+
+def _part(p: int, size: int) -> slice:
+    step = -(-size // PARTS)
+    return slice(min(p * step, size), min((p + 1) * step, size))
+
+
+def _average(groups):
+    """The mean of the shards' states, part by part."""
+    for t in groups:
+        mean = [np.mean([np.frombuffer(x, np.float32) for x in t.column(c).to_pylist()], axis=0, dtype=np.float64).astype(np.float32).tobytes() for c in ("z", "n")]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), t.column("part").combine_chunks().slice(0, 1), *(pa.array([x], pa.binary()) for x in mean)], names=["shard", "part", "z", "n"])
+
+
 def fit(labelled: DataFrame, s: Settings | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the nonzero weights, from rows (doc_id, text, y); index 2**bits is the bias.
 
-    At most about sample_rows rows are used, chosen by a hash of doc_id; rows with a null y are left out. Without any
-    labelled row the bias alone remains, and all scores are practically 0.
+    At most about sample_rows rows are used, each chosen by a seeded draw of its own; rows with a null y are left out.
+    Repeated rows count as often as they stand; texts of any length are learned whole. Without any labelled row the bias
+    alone remains, and all scores are practically 0.
     """
     s = s or Settings()
-    arrow_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    arrow_batches(spark)
     labelled = labelled.filter("y is not null")
     total, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not total:
         return np.array([_bias(s)]), np.array([-35.0])
     boost = min(s.balance, (total - positive) / positive) if positive else 1.0
     shards = max(1, min(total, s.sample_rows) // s.shard_rows)
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    keep = F.lit(True) if total <= s.sample_rows else pick < int((1 << 30) * s.sample_rows / total)
-    sample = labelled.filter(keep).select("text", F.col("y").cast("double"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", F.lit(29)).alias("turn"))
+    keep = F.lit(True) if total <= s.sample_rows else F.rand(17) < s.sample_rows / total
+    none = F.lit(None).cast("binary")
+    turn = (F.rand(29) * (1 << 30)).cast("int") + PARTS  # after the state's parts
+    sample = labelled.filter(keep).select((F.rand(5) * shards).cast("int").alias("shard"), turn.alias("part"), none.alias("z"), none.alias("n"), "text", F.col("y").cast("double"))
     sample = stage(sample, "toxicity-sample")
-    size = _bias(s) + 1
-    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    state = spark.createDataFrame([], STATE)
+
+    def learn(batches):
+        shard, learner = None, None
+        for rows, data, offsets in text_slices(batches):
+            shard_of, label = rows.column("shard").to_numpy(), rows.column("y").to_pylist()
+            cut = [0, *(np.flatnonzero(shard_of[1:] != shard_of[:-1]) + 1).tolist(), len(shard_of)]
+            for a, b in zip(cut, cut[1:]):
+                if shard_of[a] != shard:
+                    if learner is not None:
+                        yield learner.rows(shard)
+                    shard, learner = int(shard_of[a]), _Learner(s)
+                while a < b and label[a] is None:
+                    learner.take(*(rows.column(c)[a].as_py() for c in ("part", "z", "n")))
+                    a += 1
+                if a < b:
+                    learner.learn(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], label[a:b], boost)
+        if learner is not None:
+            yield learner.rows(shard)
+
     for _ in range(s.passes):
-        start = sample.sparkSession.sparkContext.broadcast((z, n))
-
-        def learn(groups, start=start):
-            for t in groups:
-                m = Ftrl(0, s)
-                m.z, m.n = (x.astype(np.float64) for x in start.value)
-                t = t.sort_by("turn")
-                data, offsets = byte_view(t.column("text"))
-                labels = t.column("y").to_pylist()
-                for i, k in pieces(offsets):
-                    f, row = features(data[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i], s.bits)
-                    order = np.argsort(row, kind="stable")
-                    f, at = f[order], np.searchsorted(row[order], np.arange(k - i + 1))
-                    for j, y in enumerate(labels[i:k]):
-                        m.learn(np.append(np.unique(f[at[j] : at[j + 1]]), _bias(s)), y, boost if y > 0 else 1.0)
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.z, m.n)], names=["z", "n"])
-
-        total_z, total_n, states = np.zeros(size), np.zeros(size), 0
-        for r in by_key(sample, shards, ["shard"], learn, "z binary, n binary").toLocalIterator():  # one packed state per shard
-            total_z += np.frombuffer(r.z, np.float32)
-            total_n += np.frombuffer(r.n, np.float32)
-            states += 1
-        z, n = ((x / max(states, 1)).astype(np.float32) for x in (total_z, total_n))
-        start.unpersist()
-    unstage(sample)
-    m = Ftrl(0, s)
-    m.z, m.n = z.astype(np.float64), n.astype(np.float64)
-    w = m.weights(np.arange(size))
-    keep_ = np.flatnonzero(w)
-    return keep_, w[keep_]
+        known = state.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "part", "z", "n", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("y"))
+        dealt = known.unionByName(sample).repartitionById(shards, "shard").sortWithinPartitions("shard", "part")
+        states = stage(dealt.mapInArrow(learn, STATE), "toxicity-states")
+        new = stage(by_key(states, min(PARTS, shuffle_partitions(spark)), ["part"], _average, STATE), "toxicity-state")
+        unstage(states, state)
+        state = new
+
+    def nonzero(batches):
+        for batch in batches:
+            for part, z, n in zip(*(batch.column(c).to_pylist() for c in ("part", "z", "n"))):
+                at = np.arange(_bias(s) + 1)[_part(part, _bias(s) + 1)]
+                w = ftrl_weights(np.frombuffer(z, np.float32).astype(np.float64), np.frombuffer(n, np.float32).astype(np.float64), at == _bias(s), s)
+                few = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(at[few]), pa.array(w[few])], names=["i", "w"])
+
+    got = state.mapInArrow(nonzero, "i long, w double").toArrow()
+    unstage(sample, state)
+    i, w = got.column("i").to_numpy(), got.column("w").to_numpy()
+    order = np.argsort(i)
+    return i[order], w[order]
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], s: Settings | None = None) -> DataFrame:
