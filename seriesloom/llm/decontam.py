@@ -6,14 +6,15 @@ window, and window and item have a similarity bounded below by the partition. Fr
 number of bands (single minimum values), so that a contained item is retrieved with the chance `recall` at least.
 Retrieved (document, item) pairs are verified on the whole sets: the share of the item's shingles in the document.
 
-Items go to the executors in groups of at most `group_bytes`; a larger benchmark takes more passes over the documents,
-never a larger broadcast.
+Items are dealt into groups of about `group_bytes`, whose indexes are built on the executors. One index at a time is
+collected and broadcast, and released again once its pass over the documents is written; a larger benchmark takes more
+passes, never a larger broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_view, stage, text_slices
+from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices, unstage, unused
 from .shingles import MinHash, distinct, shingle_hashes
 
 MATCHES = "doc_id long, item_id long, n_item long, n_common long, containment double"
@@ -30,19 +31,20 @@ MATCHES = "doc_id long, item_id long, n_item long, n_common long, containment do
 @dataclass(frozen=True)
 class Settings:
     """percent: share of an item's shingles that a document has to hold. growth: ratio of the largest to the smallest
-    item size of a partition. recall: chance to retrieve a contained item. group_bytes: most bytes of items broadcast."""
+    item size of a partition. recall: chance to retrieve a contained item. group_bytes: bytes of the items of a group, on
+    average."""
 
     percent: int = 80
     growth: int = 2
-    recall: float = 0.999
+    recall: float = 1 - 1e-5
     group_bytes: int = 16 << 20
 
 
 class Index:
     """The items of one group: their shingle sets and, for each size partition, sorted minimum values per band."""
 
-    def __init__(self, ids: list[int], h: np.ndarray, at: np.ndarray, s: Settings):
-        self.ids, self.h, self.at, self.s = np.array(ids, np.int64), h, at, s
+    def __init__(self, ids: np.ndarray, h: np.ndarray, at: np.ndarray, s: Settings):
+        self.ids, self.h, self.at, self.s = np.asarray(ids, np.int64), h, at, s
         sizes = np.diff(at)
         self.parts = []
         low = 1
@@ -119,17 +121,22 @@ class Index:
         return out
 
 
-def item_groups(benchmark: DataFrame, s: Settings) -> Iterator[list]:
-    """The items in groups bounded in bytes; streamed to the driver partition by partition."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").toLocalIterator():
-        if held and size + len(r.text) * 4 > s.group_bytes:
-            yield held
-            held, size = [], 0
-        held.append(r)
-        size += len(r.text) * 4
-    if held:
-        yield held
+def indexes(benchmark: DataFrame, s: Settings) -> DataFrame:
+    """group, index: the packed index of each group of items, staged."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(4 * size / s.group_bytes))  # an index takes about four times its items' bytes
+    dealt = items.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int"))
+
+    def build(tables):
+        for t in tables:
+            h, at = distinct(*shingle_hashes(*byte_view(t.column("text"))))
+            keep = np.diff(at) > 0
+            index = Index(t.column("item_id").to_numpy()[keep], h, np.concatenate([at[:-1][keep], at[-1:]]), s)
+            yield pa.RecordBatch.from_arrays([t.column("group").combine_chunks().slice(0, 1), pa.array([pickle.dumps(index)], pa.large_binary()).cast(pa.binary())], names=["group", "index"])
+
+    n = min(groups, shuffle_partitions(benchmark.sparkSession))
+    return stage(by_key(dealt, n, ["group"], build, "group int, index binary"), "benchmark-indexes")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -144,10 +151,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = Non
     spark = docs.sparkSession
     arrow_batches(spark)
     out = spark.createDataFrame([], MATCHES)
-    for rows in item_groups(benchmark, s):
-        h, at = distinct(*shingle_hashes(*byte_view(pa.array([r.text for r in rows], pa.string()))))
-        keep = np.diff(at) > 0
-        index = spark.sparkContext.broadcast(Index([r.item_id for r, k in zip(rows, keep) if k], h, np.concatenate([at[:-1][keep], at[-1:]]), s))
+    built = indexes(benchmark, s)
+    groups = sorted(r[0] for r in built.select("group").collect())
+    for group in groups:
+        index = spark.sparkContext.broadcast(pickle.loads(built.filter(F.col("group") == group).first()["index"]))
 
         def run(batches, index=index):
             for rows, data, offsets in text_slices(batches):
@@ -156,11 +163,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = Non
                     d, i, n, c = (np.array(x) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array(index.value.ids[i]), pa.array(n), pa.array(c), pa.array(c / n)], names=["doc_id", "item_id", "n_item", "n_common", "containment"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES))
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
+        if len(groups) > 1:
+            found = stage(found, "matches")
+            index.unpersist()
+        out = out.unionByName(found)
+    unstage(built)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
     """The rows of docs whose doc_id has no match; rows with a null doc_id stay."""
-    gone = stage(contaminated(docs, benchmark, s).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = unused("contaminated_id", docs)
+    gone = stage(contaminated(docs, benchmark, s).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
