@@ -99,17 +99,21 @@ def _dtype(s: Settings):
 
 
 def train_dictionary(docs: DataFrame, s: Settings) -> bytes:
-    """A zstandard dictionary from a bounded sample of documents, spread evenly by a hash of doc_id; too few or too
-    uniform samples give none. It only affects sizes, never contents."""
+    """A zstandard dictionary from a bounded sample of rows, each chosen by a seeded draw of its own, so that neither rows
+    without an id nor copies are taken together; encoding ends once sample_bytes are full. Too few or too uniform samples
+    give none. It only affects sizes, never contents."""
 
     def run(batches):
         samples, size, table = [], 0, table_for(s.tokenizer)
         for rows, _, _ in text_slices(batches):
+            if size >= s.sample_bytes:
+                break
             ids, at = _with_end(*table.encode([t or "" for t in rows.column("text").to_pylist()]), s.end_id)
             for a, b in zip(at.tolist(), at[1:].tolist()):
-                if size < s.sample_bytes:
-                    samples.append(ids[a:b].astype(_dtype(s)).tobytes())
-                    size += len(samples[-1])
+                part = ids[a:b].astype(_dtype(s)).tobytes()[: s.sample_bytes - size]
+                if part:
+                    samples.append(part)
+                    size += len(part)
         try:
             out = zstandard.train_dictionary(s.dictionary_bytes, samples).as_bytes() if len(samples) >= 20 else b""
         except zstandard.ZstdError:
@@ -117,8 +121,8 @@ def train_dictionary(docs: DataFrame, s: Settings) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["dictionary"])
 
     n = docs.count()
-    keep = F.lit(True) if n <= s.sample_documents else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * s.sample_documents / n)
-    got = docs.select("doc_id", "text").filter(keep).repartition(1).mapInArrow(run, "dictionary binary").collect()
+    keep = F.lit(True) if n <= s.sample_documents else F.rand(41) < s.sample_documents / n
+    got = docs.filter(keep).select("text").repartition(1).mapInArrow(run, "dictionary binary").collect()
     return bytes(got[0][0]) if got else b""
 
 
