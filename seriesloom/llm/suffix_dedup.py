@@ -8,15 +8,14 @@ bytes only, and the recursion on names ends after one step:
    length - v + 1 bytes at equal places.
 2. Sort sampled tuples. Each block of documents sorts its tuples by fingerprint; equal ones get one name. The sorted
    names meet name range by name range, where those that stand only once in the corpus are found and discarded.
-3. Recurse on names. A string of `length` bytes begins within one cycle before len(COVER) sampled tuples that lie whole in
-   it, and can only repeat where all their names do. Only these positions, sampled or not, are named again, now by all
-   their `length` bytes.
+3. Recurse on names. A string of `length` bytes can only repeat where some sampled tuple at most v - 1 bytes after its
+   start has a repeated name. Only these positions, sampled or not, are named again, now by all their `length` bytes.
 4. Merge. The new names meet range by range in sorted order; equal neighbours are equal strings, and the smallest
    document among them says for each block which of its strings start earlier elsewhere.
 Whole documents that copy an earlier one are found by digest first and take no part in steps 3 and 4.
 
-Step 2 only rules positions out, so its names may collide. Those of step 4 have 128 bits: n strings of different content
-share one with a chance of about n * n / 2**129. Names travel as sorted differences of their upper halves, never as rows,
+Step 2 only rules positions out, so its names may collide. Those of step 4 have 88 bits: n strings of different content
+share one with a chance of about n * n / 2**89. Names travel as sorted differences of their first 64 bits with the other 24 beside them, never as rows,
 and one range holds at most about `range_names` of them. Answers are bit maps that each block reads from the shared folder,
 where the blocks of several input partitions share a file.
 """
@@ -49,8 +48,8 @@ RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>,
 @dataclass(frozen=True)
 class Settings:
     """length: bytes of a string that counts as repeated; over 2 * 57. block_bytes: text handled at a time.
-    range_names: names that meet in one place, on average. name_bits: of the sorted half of a name; fewer only serve to
-    test that equal halves are told apart."""
+    range_names: names that meet in one place, on average. name_bits: of the sorted part of a name; fewer only serve to
+    test that equal ones are told apart."""
 
     length: int = 100
     block_bytes: int = 6 << 20
@@ -112,6 +111,8 @@ class Prefix:
         return out
 
 
+#: The second part of a name: the lower bits of a hash of its own.
+TAG = U64((1 << 24) - 1)
 _SECOND = np.random.Generator(np.random.PCG64(100)).integers(0, 2**64, 256, dtype=U64)
 
 
@@ -179,12 +180,11 @@ class BlockText:
         return at, self.prefix.hashes(at, s.tuple_bytes) >> drop << drop
 
     def strings(self, s: Settings, at: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places all of whose sampled places less than a cycle ahead are among `at`, and the two halves of their names."""
+        """Places that have one of the sampled places `at` less than a cycle after them, and the two parts of their names."""
         n = len(self.data)
-        seen = np.zeros(n + CYCLE + 1, np.int32)
-        seen[at + 1] = 1
-        np.cumsum(seen, out=seen)
-        ok = seen[CYCLE : n + CYCLE] - seen[:n] == len(COVER)
+        edge = np.bincount(np.maximum(at - CYCLE + 1, self.offsets[self.row_of[at]]), minlength=n + 1).astype(np.int32)
+        edge[at + 1] -= 1
+        ok = np.cumsum(edge[:n], dtype=np.int32) > 0
         none = (self.lens < s.length) | skip
         for d in np.flatnonzero(none):
             ok[self.offsets[d] : self.offsets[d + 1]] = False
@@ -193,7 +193,7 @@ class BlockText:
             ok[(tail[:, None] - np.arange(1, s.length)).ravel()] = False
         places = np.flatnonzero(ok)
         drop = U64(64 - s.name_bits)
-        return places, self.prefix.hashes(places, s.length) >> drop << drop, Prefix(self.data, _SECOND).hashes(places, s.length)
+        return places, self.prefix.hashes(places, s.length) >> drop << drop, Prefix(self.data, _SECOND).hashes(places, s.length) & TAG
 
 
 def distinct_sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
