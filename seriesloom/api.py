@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .functions.gaussian import SparseGp, loo_objective, predict, scg
-from .operators import forecast, search
+from .operators import forecast, invlist, search
 from .operators import queries as q
 from .operators.forecast import Settings
+from .sources.storage import stored
 
 
 @dataclass
@@ -31,6 +32,8 @@ class KnnSearch:
             raise ValueError("lengths have to ascend")
         if self.mode not in ("d2q", "q2d", "both"):
             raise ValueError("mode has to be d2q, q2d or both")
+        if self.k < 1 or self.window < 1 or self.chunk < 1 or self.band < 0 or self.reserve < 0:
+            raise ValueError("k, window and chunk have to be positive, band and reserve not negative")
 
     def top_k(self, queries: DataFrame, two_pass: bool = True) -> DataFrame:
         """The k nearest subsequences of every query (query_id, sensor_id, start, q) and length."""
@@ -42,25 +45,88 @@ class KnnSearch:
         return self.top_k(found.selectExpr("sensor_id AS query_id", "sensor_id", "start", "q"))
 
 
+@dataclass
+class InvertedIndex:
+    """The inverted-list engine over windows of bucket values (sensor_id, start, c): postings are written once; queries
+    (query_id, sensor_id, dim, kw) can be set, and replaced one by one, between searches."""
+
+    windows: DataFrame
+    dims: int
+    queries: DataFrame | None = None
+
+    def __post_init__(self):
+        if self.dims < 1:
+            raise ValueError("dims has to be positive")
+        self.postings = stored(invlist.postings(self.windows), "postings")
+
+    def set_queries(self, queries: DataFrame) -> InvertedIndex:
+        if missing := {"query_id", "sensor_id", "dim", "kw"} - set(queries.columns):
+            raise ValueError(f"queries lack {sorted(missing)}")
+        self.queries = queries.select("query_id", "sensor_id", "dim", "kw")
+        return self
+
+    def update_queries(self, changed: DataFrame) -> InvertedIndex:
+        """Replaces the queries that share an id with the changed ones, adds the others, and leaves the rest alone."""
+        before = self._ready()
+        self.set_queries(changed)
+        rest = before.join(self.queries.select("query_id").distinct(), "query_id", "left_anti")
+        self.queries = stored(rest.unionByName(self.queries), "index-queries")
+        return self
+
+    def clear_queries(self) -> None:
+        self.queries = None
+
+    def _ready(self) -> DataFrame:
+        if self.queries is None:
+            raise ValueError("no queries have been set")
+        return self.queries
+
+    def nearest(self, k: int) -> DataFrame:
+        """The exact k nearest windows of each query; every query needs a value in each of the dims dimensions."""
+        if k < 1:
+            raise ValueError("k has to be positive")
+        return invlist.nearest(self.postings, self.windows, self._ready(), k, self.dims)
+
+    def matches(self, threshold: int) -> DataFrame:
+        """Entries that equal a query in more than `threshold` dimensions."""
+        return invlist.point_query(self.postings, self._ready(), threshold)
+
+
 def forecast_series(series: DataFrame, settings: Settings | None = None, **changes) -> DataFrame:
     """Step-by-step forecasts with metrics columns; settings may be given as keywords."""
     return forecast.errors(forecast.continuous(series, replace(settings or Settings(), **changes)))
 
 
+def _experts(series: DataFrame, found: DataFrame, qs: DataFrame, settings: Settings) -> DataFrame:
+    """The (length, k) grid of settings.model over found neighbours, with equal weights."""
+    from pyspark.sql import functions as F
+
+    from .operators import gather
+
+    rows = gather.training_rows(series, found, settings.horizon)
+    if settings.model == "gp":
+        parts = [gather.subsequences(series, rows.filter(F.col("len") == n), n) for n in settings.lengths]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        grid = forecast.gp_grid(rows, qs, settings)
+    else:
+        grid = forecast.knn_grid(rows, list(settings.ks), "plain")
+    return grid.withColumn("weight", F.lit(1.0))
+
+
 def leave_out_experiment(series: DataFrame, number: int, settings: Settings) -> DataFrame:
     """Forecasts of `number` sampled queries per sensor, each from its sensor without the query's surroundings: the
     query's places are excluded as starts, so no subsequence crosses a seam. Returns rows with y, mean, var and errors."""
     from pyspark.sql import functions as F
 
-    from .operators import gather
-
     longest = max(settings.lengths)
     whole = longest + settings.horizon + 1
     starts = q.sample_starts(series, whole, number)
     cut = q.cut_queries(series, starts, whole)
     qs = cut.select(F.concat_ws("@", "sensor_id", "start").alias("query_id"), "sensor_id", "start", F.slice("q", 1, longest).alias("q"), F.element_at("q", whole).alias("truth"))
     found = search.index_top_k(series, qs, list(settings.lengths), max(settings.ks), settings.band, settings.window, reserve=settings.horizon + 1, exclude=whole, chunk=settings.chunk)
-    grid = forecast.knn_grid(gather.training_rows(series, found, settings.horizon), list(settings.ks), "plain").withColumn("weight", F.lit(1.0))
+    grid = _experts(series, found, qs, settings)
     return forecast.errors(forecast.ensemble(grid).join(qs.select("query_id", F.col("truth").alias("y")), "query_id"))
 
 
@@ -69,7 +135,6 @@ def sequential_experiment(series: DataFrame, number: int, settings: Settings) ->
     with equal expert weights. Returns query_id, mean, var, y and errors."""
     from pyspark.sql import functions as F
 
-    from .operators import gather
     from .operators.series import lengths, trim_tail
 
     longest = max(settings.lengths)
@@ -79,7 +144,7 @@ def sequential_experiment(series: DataFrame, number: int, settings: Settings) ->
     qs = cut.select(F.concat_ws("@", "sensor_id", "start").alias("query_id"), "sensor_id", "start", F.slice("q", 1, longest).alias("q"), F.element_at("q", whole).alias("truth"))
     past = trim_tail(series, whole + number - 1)
     found = search.index_top_k(past, qs, list(settings.lengths), max(settings.ks), settings.band, settings.window, reserve=settings.horizon + 1, chunk=settings.chunk)
-    grid = forecast.knn_grid(gather.training_rows(past, found, settings.horizon), list(settings.ks), "plain").withColumn("weight", F.lit(1.0))
+    grid = _experts(past, found, qs, settings)
     return forecast.errors(forecast.ensemble(grid).join(qs.select("query_id", F.col("truth").alias("y")), "query_id"))
 
 

@@ -108,21 +108,20 @@ def top_k(values: np.ndarray, query: np.ndarray, lengths: list[int], k: int, r:
     by length.
     """
     bounds = lower_bounds(values, query, lengths, r, w, mode, context)
-    out = {}
-    for length in lengths:
-        starts = _free(bounds[length], allowed, length)
-        first, d = _first(values, query, length, k, r, bounds[length], starts)
-        tau = np.sort(d)[k - 1] if len(d) >= k else np.inf
-        if limit:
-            tau = min(tau, limit.get(length, np.inf))
-        open_ = starts[bounds[length][starts] <= tau * (1 + 1e-12)]
-        rest = open_[~np.isin(open_, first)]
-        q, c = query[len(query) - length :], windows(values, length)
-        more = [dtw(q, c[rest[a : a + 4096]], r) for a in range(0, len(rest), 4096)]
-        at, d = np.concatenate([first, rest]), np.concatenate([d, *more])
-        order = np.lexsort((at, d))[:k]
-        out[length] = at[order], d[order], len(at)
-    return out
+    return {length: bounded_top_k(values, query, length, k, r, bounds[length], _free(bounds[length], allowed, length), (limit or {}).get(length, np.inf)) for length in lengths}
+
+
+def bounded_top_k(values: np.ndarray, query: np.ndarray, length: int, k: int, r: int, lb: np.ndarray, starts: np.ndarray, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """(starts, distances, verified) of one length, from bounds of all its starts and those that may be used."""
+    first, d = _first(values, query, length, k, r, lb, starts)
+    tau = min(np.sort(d)[k - 1] if len(d) >= k else np.inf, limit)
+    open_ = starts[lb[starts] <= tau * (1 + 1e-12)]
+    rest = open_[~np.isin(open_, first)]
+    q, c = query[len(query) - length :], windows(values, length)
+    more = [dtw(q, c[rest[a : a + 4096]], r) for a in range(0, len(rest), 4096)]
+    at, d = np.concatenate([first, rest]), np.concatenate([d, *more])
+    order = np.lexsort((at, d))[:k]
+    return at[order], d[order], len(at)
 
 
 def first_distances(values: np.ndarray, query: np.ndarray, lengths: list[int], k: int, r: int, w: int, allowed=None, mode: str = "both", context=None) -> dict[int, np.ndarray]:
@@ -139,3 +138,67 @@ def _free(lb: np.ndarray, allowed, length: int) -> np.ndarray:
 def _first(values, query, length, k, r, lb, starts) -> tuple[np.ndarray, np.ndarray]:
     first = starts[smallest(lb[starts], k)]
     return first, dtw(query[len(query) - length :], windows(values, length)[first], r) if len(first) else np.zeros(0)
+
+
+class BoundRing:
+    """Bounds of the windows of a moving query against the disjoint windows of its growing series, kept from step to step.
+
+    The query is the latest `longest` values. When it moves on, most of its windows stay: a ring holds their rows, and only
+    new windows, and those within the band before them, whose envelope has got new values on its right, are refreshed. The
+    envelope that a window keeps on its left is wider than it need be, so its bound stays valid. Series windows enter as
+    they are completed, and those whose envelope was still open are refreshed. refreshed counts the rows of the last step.
+    """
+
+    def __init__(self, longest: int, r: int, w: int):
+        if longest < w:
+            raise ValueError("the longest length has to hold a window")
+        self.longest, self.r, self.w = longest, r, w
+        self.rows = longest - w + 1
+        self.d = self.e = np.zeros((self.rows, 0))
+        self.up, self.lo = np.zeros((self.rows, w)), np.zeros((self.rows, w))
+        self.n, self.refreshed = 0, 0
+
+    def step(self, values: np.ndarray) -> None:
+        """Takes the series as it is now: what it was before, with new values at its end."""
+        n, w, r = len(values), self.w, self.r
+        start, columns = n - self.longest, n // w
+        if columns > self.d.shape[1]:
+            more = ((0, 0), (0, max(columns, 2 * self.d.shape[1]) - self.d.shape[1]))
+            self.d, self.e = np.pad(self.d, more), np.pad(self.e, more)
+        dirty = np.arange(max(start, self.n - w - r + 1) if self.n else start, n - w + 1)
+        closed = max(0, (self.n - r - w) // w + 1) if self.n else 0  # columns whose envelope is final
+        up, lo = envelope(values[start:], r)
+        place = (dirty - start)[:, None] + np.arange(w)
+        self.up[dirty % self.rows], self.lo[dirty % self.rows] = up[place], lo[place]
+        first = max(0, closed * w - r)
+        du, dl = envelope(values[first:], r)
+        if len(dirty):
+            whole_up, whole_lo = envelope(values, r) if first else (du, dl)
+            self._fill(values, dirty, 0, columns, whole_up, whole_lo, 0)
+        rest = np.arange(start, dirty[0] if len(dirty) else n - w + 1)
+        if len(rest) and closed < columns:
+            self._fill(values, rest, closed, columns, du, dl, first)
+        self.n, self.refreshed = n, len(dirty)
+
+    def _fill(self, values, at, low, high, du, dl, first) -> None:
+        w, row = self.w, at % self.rows
+        x = values[low * w : high * w].reshape(-1, w)
+        u, v = (z[low * w - first : high * w - first].reshape(-1, w) for z in (du, dl))
+        d, e = np.zeros((len(at), high - low)), np.zeros((len(at), high - low))
+        for k in range(w):
+            d += outside(x[None, :, k], self.up[row, k, None], self.lo[row, k, None])
+            e += outside(values[at + k][:, None], u[None, :, k], v[None, :, k])
+        self.d[row, low:high], self.e[row, low:high] = d, e
+
+    def lower_bounds(self, length: int) -> np.ndarray:
+        """Bounds of all starts for the latest `length` values, over the whole series windows inside each candidate."""
+        starts = np.arange(max(0, self.n - length + 1))
+        column = -(-starts // self.w)
+        d, e = np.zeros(len(starts)), np.zeros(len(starts))
+        for k in range(length // self.w):
+            x = (column + k) * self.w - starts
+            ok = np.flatnonzero(x + self.w <= length)
+            row = (self.n - length + x[ok]) % self.rows
+            d[ok] += self.d[row, column[ok] + k]
+            e[ok] += self.e[row, column[ok] + k]
+        return np.maximum(d, e)

@@ -95,8 +95,13 @@ def knn_predict(s: Settings, train: dict[int, tuple]) -> tuple[np.ndarray, np.nd
     for length in s.lengths:
         _, y, dist = train[length]
         w = np.sqrt(dist) if s.weighted else np.ones(len(dist))
-        out += [gaussian.knn_regression(y[:k], w[:k]) if len(y) else (0.0, 1.0) for k in s.ks]
-    return np.array([m for m, _ in out]), np.array([v for _, v in out])
+        out += [gaussian.knn_regression(y[:k], w[:k]) if len(y) else (np.nan, np.nan) for k in s.ks]
+    m, v = np.array(out).T
+    # an expert whose length has no neighbour says what the others say on average
+    none = np.isnan(m)
+    if none.any():
+        m[none], v[none] = (0.0, 1.0) if none.all() else (m[~none].mean(), v[~none].mean())
+    return m, v
 
 
 def run_steps(s: Settings, neighbours, truth: np.ndarray, history: np.ndarray):
@@ -122,7 +127,9 @@ FORECAST = "query_id string, sensor_id string, step int, mean double, var double
 
 
 def continuous(series: DataFrame, s: Settings | None = None) -> DataFrame:
-    """query_id, sensor_id, step, mean, var, y: forecasts of every sensor over its last `steps` known truths.
+    """query_id, sensor_id, step, mean, var, y: forecasts of every sensor over its last `steps` known truths. A sensor whose
+    history before them has no neighbour with a label gets its steps with null mean and var, and a null y too if it is
+    shorter than the queries and truths themselves.
 
     The queries of all steps are known beforehand, so the search is one distributed index search over all steps; what is
     sequential, the weights, runs per sensor over its few neighbours only.
@@ -134,13 +141,19 @@ def continuous(series: DataFrame, s: Settings | None = None) -> DataFrame:
 
     longest, k = max(s.lengths), max(s.ks)
     tail = longest + s.horizon + s.steps
-    n = sensor_lengths(series).filter(F.col("n") >= 2 * tail)
+    least = tail + min(s.lengths) + s.horizon + 1
+    every = sensor_lengths(series)
+    n = every.filter(F.col("n") >= least)
     starts = n.select("sensor_id", F.explode(F.sequence(F.lit(0), F.lit(s.steps - 1))).alias("step"), (F.col("n") - tail).alias("base")).select("sensor_id", "step", (F.col("base") + F.col("step")).alias("start"), "base")
     q = starts.join(cut_queries(series, starts, longest), ["sensor_id", "start"]).select(F.concat_ws("@", "sensor_id", "step").alias("query_id"), "sensor_id", "q", "start")
     # neighbours and their labels end before the queries begin, so nothing of the future is used
     past = series.join(n.select("sensor_id", (F.col("n") - tail).alias("base")), "sensor_id").filter(F.col("t") < F.col("base")).drop("base")
     found = index_top_k(past, q, list(s.lengths), k, s.band, s.window, reserve=s.horizon + 1, chunk=s.chunk)
-    return replay(series, past, found, s, tail)
+    short = every.filter(F.col("n") < least).select("sensor_id", "n", F.explode(F.sequence(F.lit(0), F.lit(s.steps - 1))).alias("step"))
+    truth = short.withColumn("t", F.when(F.col("n") >= tail, F.col("n") - s.steps + F.col("step"))).join(series, ["sensor_id", "t"], "left")
+    none = F.lit(None).cast("double")
+    missing = truth.select(F.concat_ws("@", "sensor_id", "step").alias("query_id"), "sensor_id", "step", none.alias("mean"), none.alias("var"), F.col("v").alias("y"))
+    return replay(series, past, found, s, tail).unionByName(missing)
 
 
 def replay(series: DataFrame, past: DataFrame, found: DataFrame, s: Settings, tail: int) -> DataFrame:
@@ -196,6 +209,52 @@ def multi_step(series: DataFrame, found: DataFrame, ks: list[int], horizon: int)
     return out.select(F.substring_index("query_id", "|", 1).alias("query_id"), F.substring_index("query_id", "|", -1).cast("int").alias("h"), "len", "k", "mean", "var")
 
 
+def iterative_grid(series: DataFrame, found: DataFrame, items: DataFrame, s: Settings, steps: int) -> DataFrame:
+    """query_id, step, len, k, mean, var: every expert's forecasts of the next `steps` values, one after the other.
+
+    An expert learns its parameters from its k neighbours and the values that followed them. Each prediction enters the
+    expert's next input as an uncertain value, and its training rows move on: the oldest value leaves, the label enters and
+    the value after it is the new label. found keeps `steps` places after each neighbour free; items: (query_id, q).
+    """
+    from .gather import subsequences
+
+    parts = [subsequences(series, found.filter(F.col("len") == length), length + steps).withColumn("len", F.lit(length)) for length in s.lengths]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    packed = rows.groupBy("query_id").agg(F.collect_list(F.struct("len", "rank", "x")).alias("train")).join(items.select("query_id", "q"), "query_id")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                for length in s.lengths:
+                    near = np.array([r["x"] for r in sorted(row["train"], key=lambda r: r["rank"]) if r["len"] == length])
+                    for k in s.ks:
+                        out += [(row["query_id"], step, length, k, m, v) for step, (m, v) in enumerate(_iterate(near[:k], np.array(row["q"])[-length:], s, steps))]
+            if out:
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["query_id", "step", "len", "k", "mean", "var"])
+
+    return packed.mapInArrow(run, "query_id string, step int, len int, k int, mean double, var double")
+
+
+def _iterate(near: np.ndarray, query: np.ndarray, s: Settings, steps: int):
+    """(mean, var) of each step of one expert; near: its neighbours with the values after them."""
+    n = len(query)
+    if len(near) < 2:
+        return
+    first = near[:, : n + 1]
+    shift, scale = first[:, n].mean(), max(float(first.std()), 1e-9)
+    near, mean, cov = (near - shift) / scale, (query - shift) / scale, 1e-9 * np.eye(n)
+    p, _ = gaussian.scg(lambda z: gaussian.loo_objective(z, near[:, :n], near[:, n]), np.array(s.start), s.scg_steps)
+    for step in range(steps):
+        m, v, cross = gaussian.predict_uncertain(p, near[:, step : step + n], near[:, step + n], mean, cov)
+        v = max(v, 1e-9)
+        yield m * scale + shift, v * scale**2
+        mean, cov = gaussian.next_input(mean, cov, m, v, cross)
+
+
 def gp_grid(train: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     """query_id, len, k, mean, var of Gaussian-process experts from rows (query_id, len, rank, dist, x, y) and items
     (query_id, q)."""

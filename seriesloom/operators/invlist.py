@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
+from ..sources.storage import stored
 
 
 def composite_key(dim: Column, value: Column, bits: int) -> Column:
@@ -47,6 +48,41 @@ def expand(rows: DataFrame, queries: DataFrame, reach: int) -> DataFrame:
     return rows.join(near, ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
 
 
+def _buckets(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, sensor_id, dim, kw, value, side, before: every bucket of a query's dimensions, and how many entries lie
+    between it and the query's own on its side. Sorted are buckets, of which a dimension has few, never entries."""
+    from pyspark.sql import Window
+
+    away = F.col("value") - F.col("kw")
+    near = lists(rows).join(queries.select("query_id", "sensor_id", "dim", "kw"), ["sensor_id", "dim"]).withColumn("side", F.signum(away).cast("int"))
+    closer = Window.partitionBy("query_id", "dim", "side").orderBy(F.abs(away)).rowsBetween(Window.unboundedPreceding, -1)
+    return near.select("query_id", "sensor_id", "dim", "kw", "value", "side", F.coalesce(F.sum("n").over(closer), F.lit(0)).alias("before"))
+
+
+def expansion(rows: DataFrame, queries: DataFrame, entries: int, bound: int | None = None) -> DataFrame:
+    """query_id, sensor_id, dim, kw, value: the buckets that a bidirectional expansion visits: the query's own in every
+    dimension, then downwards and upwards, on each side until `entries` postings are reached (the bucket that reaches them
+    included), or buckets are further than `bound` away."""
+    chosen = _buckets(rows, queries).filter((F.col("side") == 0) | (F.col("before") < entries))
+    if bound is not None:
+        chosen = chosen.filter(F.abs(F.col("value") - F.col("kw")) <= bound)
+    return chosen.select("query_id", "sensor_id", "dim", "kw", "value")
+
+
+def expand_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """query_id, sensor_id, pos, count, acd of the entries in the chosen buckets."""
+    d = (F.col("value") - F.col("kw")).cast("double")
+    return rows.join(chosen, ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
+
+
+def frontier_bounds(rows: DataFrame, queries: DataFrame, entries: int) -> DataFrame:
+    """query_id, lbs, ubs: per query the sorted least and most that a dimension outside the expansion adds to a distance: the
+    squares of the nearest and the farthest bucket not visited, 0 where all were."""
+    far = F.when((F.col("side") != 0) & (F.col("before") >= entries), F.pow((F.col("value") - F.col("kw")).cast("double"), F.lit(2.0)))
+    ends = _buckets(rows, queries).groupBy("query_id", "dim").agg(F.coalesce(F.min(far), F.lit(0.0)).alias("lb"), F.coalesce(F.max(far), F.lit(0.0)).alias("ub"))
+    return ends.groupBy("query_id").agg(F.array_sort(F.collect_list("lb")).alias("lbs"), F.array_sort(F.collect_list("ub")).alias("ubs"))
+
+
 def dimension_bounds(rows: DataFrame, queries: DataFrame, reach: int) -> DataFrame:
     """query_id, lbs, ubs: per query the sorted least and most that a dimension outside the reach adds to a distance,
     (reach + 1)^2 and the squared distance to the farther end of the sensor's domain."""
@@ -79,24 +115,25 @@ def finished(bounded: DataFrame, expanded_bounds: DataFrame, k: int, dims: int)
     return out.select("query_id", ((F.col("n") >= k) & (F.col("kth") <= F.least(F.coalesce("rest", F.lit(float("inf"))), "unseen"))).alias("finished"))
 
 
-def nearest(rows: DataFrame, windows: DataFrame, queries: DataFrame, k: int, dims: int, reach: int = 1, most: int = 64) -> DataFrame:
-    """query_id, sensor_id, pos, dist, rank: the exact k nearest windows of bucket values. The reach doubles until every
-    query is finished (or `most` is passed, when all windows are verified); then the entries whose lb doesn't exceed the
-    k-th ub are verified on whole windows."""
+def nearest(rows: DataFrame, windows: DataFrame, queries: DataFrame, k: int, dims: int, entries: int = 64, most: int = 16) -> DataFrame:
+    """query_id, sensor_id, pos, dist, rank: the exact k nearest windows of bucket values. The expansion goes four times as far
+    until every query is finished (after `most` rounds all windows are verified); then the entries whose lb doesn't exceed
+    the k-th ub are verified on whole windows. Postings and queries are written once, since every round reads them."""
     from .search import top_k
 
+    rows, queries = stored(rows, "postings"), stored(queries, "index-queries")
     item = queries.groupBy("query_id", "sensor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "kw"))), lambda x: x.kw).alias("item"))
     whole = windows.select("sensor_id", F.col("start").alias("pos"), "c")
     exact = columns.squared_euclid(F.transform("item", lambda x: x.cast("double")), F.transform("c", lambda x: x.cast("double")))
-    while reach <= most:
-        b = dimension_bounds(rows, queries, reach)
-        bounded = result_bounds(expand(rows, queries, reach), b, dims)
+    for _ in range(most):
+        b = frontier_bounds(rows, queries, entries)
+        bounded = stored(result_bounds(expand_chosen(rows, expansion(rows, queries, entries)), b, dims), "bounded")
         if finished(bounded, b, k, dims).agg(F.bool_and("finished")).first()[0]:
             kth = top_k(bounded, ["query_id"], k, by="ub", tie="pos").groupBy("query_id").agg(F.max("ub").alias("kth"))
             chosen = bounded.join(kth, "query_id").filter(F.col("lb") <= F.col("kth")).select("query_id", "sensor_id", "pos")
             found = chosen.join(whole, ["sensor_id", "pos"]).join(item, ["query_id", "sensor_id"])
             return top_k(found.select("query_id", "sensor_id", "pos", exact.alias("dist")), ["query_id"], k, tie="pos")
-        reach *= 2
+        entries *= 4
     found = whole.join(item, "sensor_id")
     return top_k(found.select("query_id", "sensor_id", "pos", exact.alias("dist")), ["query_id"], k, tie="pos")
 

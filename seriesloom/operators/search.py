@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns, kernels
+from ..sources.storage import stored
 from .series import frame, windows
 
 METRICS: dict[str, Callable] = {
@@ -57,8 +58,9 @@ def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: in
     sensor, so that nothing after a query is searched for it. Fewer places than k: all of them.
     """
     longest = max(lengths)
-    f = frame(series, longest - 1 + band, band, chunk)
     ends = series.groupBy("sensor_id").agg((F.max("t") + 1).alias("n"))
+    # chunks are written once: both passes read them, and numbering and packing whole series costs more than a search
+    chunks = stored(frame(series, longest - 1 + band, band, chunk).join(ends, "sensor_id"), "chunks")
     packs = pack_queries(queries)
 
     def place(values, row, at, size):
@@ -96,7 +98,7 @@ def index_top_k(series: DataFrame, queries: DataFrame, lengths: list[int], k: in
 
     def jobs(packed):
         # the join deals by sensor; verification is dealt by chunk and pack, so that no sensor keeps one task busy
-        every = f.join(ends, "sensor_id").join(packed, "sensor_id").select("sensor_id", "first", "chunk", "n", "values", "p", "pack")
+        every = chunks.join(packed, "sensor_id").select("sensor_id", "first", "chunk", "n", "values", "p", "pack")
         n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return every.repartition(n, "sensor_id", "chunk", "p").drop("p")
 

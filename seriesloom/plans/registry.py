@@ -69,6 +69,44 @@ def dtw_sql(band: int | None, n: int = L) -> str:
     return f"list_extract(list_reduce({places}, lambda prev, j: {inner}, list_concat([0::DOUBLE], list_transform(range(0, {n}), lambda k: 'inf'::DOUBLE))), -1)"
 
 
+def band_sql(n: int, r: int = R, c: str = "c", q: str = "q") -> str:
+    """Banded DTW of c and q with 2r + 1 cells a row: cell d of row j stands for place j + d - r - 1 of q."""
+    inf, width = "'inf'::DOUBLE", 2 * r + 1
+    at = f"(j[1]::INT + d[1]::INT - {r + 1})"
+    value = f"CASE WHEN {at} BETWEEN 1 AND {n} THEN pow({c}[j[1]::INT] - {q}[{at}], 2) + least(coalesce(prev[d[1]::INT + 1], {inf}), prev[d[1]::INT], now[d[1]::INT]) ELSE {inf} END"
+    places = lambda k: f"list_transform(range(1, {k + 1}), lambda k: [k::DOUBLE])"
+    row = f"list_reduce({places(width)}, lambda now, d: list_append(now, {value}), [{inf}])[2:]"
+    first = f"list_transform(range(1, {width + 1}), lambda k: CASE WHEN k = {r + 1} THEN 0::DOUBLE ELSE {inf} END)"
+    return f"list_extract(list_reduce({places(n)}, lambda prev, j: {row}, {first}), {r + 1})"
+
+
+def nearest_sql(lengths, k: int, longest: int, reserve: int = 0, exclude: int | None = None, until: str = "n") -> str:
+    """nn: the k nearest of each query of qs (query_id, sensor_id, place, q of `longest` values) for every length, by banded
+    DTW over the starts of p; `until` is the end of what may be searched."""
+    near = "" if exclude is None else f" AND abs(i - place) >= {exclude}"
+    parts = [f"SELECT query_id, sensor_id, {n} AS len, i AS start, a, a[i + 1:i + {n}] AS c, q[{longest - n + 1}:{longest}] AS q FROM (SELECT *, unnest(range(0, ({until}) - {n + reserve} + 1)) AS i FROM qs JOIN p USING (sensor_id)) WHERE true{near}" for n in lengths]
+    dist = "CASE len " + " ".join(f"WHEN {n} THEN {band_sql(n)}" for n in lengths) + " END"
+    return f"cand AS ({' UNION ALL '.join(parts)}), dd AS (SELECT query_id, sensor_id, len, start, a, {dist} AS dist FROM cand), nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, len ORDER BY dist, start) AS rank FROM dd) WHERE rank <= {k})"
+
+
+NEAREST = "SELECT query_id, len::INTEGER AS len, start::BIGINT AS start, rank::BIGINT AS rank, round(dist, 6) AS dist FROM nn"
+
+
+def experiment_sql(qs: str, lengths, ks, horizon: int, exclude: int | None, until: str) -> str:
+    """Errors of the unweighted expert grid over the queries of qs, which also hold the truth y."""
+    return (
+        f"WITH {P}, {qs}, {nearest_sql(lengths, max(ks), max(lengths), horizon + 1, exclude, until)}, "
+        f"gr AS (SELECT query_id, len, k, avg(a[start + len + {horizon} + 1]) AS mean, greatest(avg(pow(a[start + len + {horizon} + 1], 2)) - pow(avg(a[start + len + {horizon} + 1]), 2), 0) + 1e-4 AS var FROM nn, (SELECT unnest({list(ks)}) AS k) z WHERE rank <= k GROUP BY ALL), "
+        "mx AS (SELECT query_id, avg(mean) AS mean, avg(var) AS var FROM gr GROUP BY query_id) "
+        "SELECT query_id, round(mean, 5) AS mean, round(var, 4) AS var, round(y, 6) AS y, round(abs(y - mean), 5) AS ae, round(pow(y - mean, 2), 4) AS se, round(pow(y - mean, 2) / var, 4) AS sse, round((pow(y - mean, 2) / var + ln(var) + ln(2 * pi())) / 2, 4) AS nll FROM mx JOIN qs USING (query_id)"
+    )
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    places = {"mean": 5, "var": 4, "y": 6, "ae": 5, "se": 4, "sse": 4, "nll": 4}
+    return rows.select("query_id", *(F.round(c, n).alias(c) for c, n in places.items()))
+
+
 def env_sql(a: str, r: int, f: str, n: int = L) -> str:
     return f"list_transform(range(1, {n + 1}), lambda i: list_{f}({a}[greatest(i - {r}, 1):least(i + {r}, {n})]))"
 
@@ -188,9 +226,11 @@ def _(spark, sf):
     return invlist.lists(files.read_postings(spark, path)).select("sensor_id", "dim", "value", ends.alias("end_offset"))
 
 
-@register("op_s13_random_postings")
+@register("op_s13_random_postings", "SELECT dim::INTEGER AS dim, 1000::BIGINT AS n, true AS inside FROM range(0, 32) t(dim)")
 def _(spark, sf):
-    return files.random_postings(spark, 32, 128, 1000)
+    """How many random postings each dimension has, and whether all values and places are in their ranges."""
+    inside = F.bool_and(F.col("value").between(0, 127) & F.col("pos").between(0, 999))
+    return files.random_postings(spark, 32, 128, 1000).groupBy("dim").agg(F.count("*").alias("n"), inside.alias("inside"))
 
 
 @register("op_s14_write_training_csv", f"WITH {P}, {win(L, 1)} SELECT round(list_sum(c), 4) AS x_total, round(y, 6) AS y FROM w")
@@ -554,12 +594,12 @@ def _threshold_parts(spark, sf):
 _TAU = f"{_windows_sql('both')}, {GROUP}, lb AS (SELECT sensor_id, start, greatest(d, e) AS lb FROM g WHERE c = tiles AND len = {L}), first AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY lb, start) AS rank FROM lb), {win()}, {Q}, tau AS (SELECT sensor_id, max({dtw_sql(R)}) AS tau FROM first JOIN w USING (sensor_id, start) JOIN q USING (sensor_id) WHERE rank <= {K} GROUP BY sensor_id)"
 
 
-@register("op_w08_threshold")
+@register("op_w08_threshold", f"WITH {_TAU} SELECT sensor_id AS query_id, round(tau, 4) AS tau FROM tau")
 def _(spark, sf):
     return _threshold_parts(spark, sf)[2].select("query_id", F.round("tau", 4).alias("tau"))
 
 
-@register("op_w09_candidates")
+@register("op_w09_candidates", f"WITH {_TAU} SELECT sensor_id AS query_id, {L}::INTEGER AS len, start::BIGINT AS start, round(lb, 5) AS lb FROM lb JOIN tau USING (sensor_id) WHERE lb <= tau")
 def _(spark, sf):
     _, bounds, tau = _threshold_parts(spark, sf)
     return search.candidates(bounds, tau).select("query_id", "len", "start", F.round("lb", 5).alias("lb"))
@@ -596,11 +636,17 @@ QUERIES["op_w12_sorted_top_k"] = lambda spark, sf: shown(search.index_top_k(sens
 ORACLE_SQL["op_w12_sorted_top_k"] = top_sql(dtw_sql(R), 2 * K)
 QUERIES["op_w13_small_chunks"] = lambda spark, sf: shown(search.index_top_k(sensors(spark, sf), latest(sensors(spark, sf)), [L], K, R, W, mode="q2d", chunk=512))
 ORACLE_SQL["op_w13_small_chunks"] = top_sql(dtw_sql(R))
+_LATEST = "qs AS (SELECT sensor_id AS query_id, sensor_id, n - {0} AS place, a[n - {0} + 1:n] AS q FROM p)"
 QUERIES["op_w27_search_session"] = _index([16, 32, 64], K)
+ORACLE_SQL["op_w27_search_session"] = f"WITH {P}, {_LATEST.format(64)}, {nearest_sql([16, 32, 64], K, 64)} {NEAREST}"
 QUERIES["op_w28_retrieve_with_reserve"] = _index([16, 32], K, reserve=21, exclude=32)
+ORACLE_SQL["op_w28_retrieve_with_reserve"] = f"WITH {P}, {_LATEST.format(32)}, {nearest_sql([16, 32], K, 32, 21, 32)} {NEAREST}"
+
 
+_STEPS = "qs AS (SELECT sensor_id || '@' || place AS query_id, sensor_id, place, a[place + 1:place + 32] AS q FROM (SELECT sensor_id, a, unnest(range(n - 41, n - 31)) AS place FROM p))"
 
-@register("op_w15_w18_continuous_search")
+
+@register("op_w15_w18_continuous_search", f"WITH {P}, {_STEPS}, {nearest_sql([16, 32], K, 32)} {NEAREST}")
 def _(spark, sf):
     """The latest queries of ten consecutive steps, each answered exactly."""
     s = sensors(spark, sf)
@@ -745,9 +791,20 @@ def _expanded(spark, sf):
     return invlist.expand(invlist.postings(_bucket_windows(spark, sf)), _kw(spark, sf), 2)
 
 
-@register("op_i06_expansion", f"WITH {_EXPANDED} SELECT query_id, pos::BIGINT AS pos, count, acd FROM ex")
+_CHOSEN = f"{BUCKETED}, {QB}, ls AS (SELECT sensor_id, dim, value, count(*) AS n FROM x GROUP BY ALL), nb AS (SELECT qb.*, value, n, sign(value - kw) AS side, coalesce(sum(n) OVER (PARTITION BY query_id, qb.dim, sign(value - kw) ORDER BY abs(value - kw) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM qb JOIN ls ON ls.sensor_id = qb.sensor_id AND ls.dim = qb.dim), ch AS (SELECT * FROM nb WHERE side = 0 OR before < 50)"
+
+
+@register("op_i06_expansion", f"WITH {_CHOSEN} SELECT query_id, pos::BIGINT AS pos, count(*) AS count, sum((x.value - kw) * (x.value - kw))::DOUBLE AS acd FROM x JOIN ch ON x.sensor_id = ch.sensor_id AND x.dim = ch.dim AND x.value = ch.value GROUP BY query_id, pos")
+def _(spark, sf):
+    """Each dimension from its own bucket downwards and upwards until 50 entries are reached on either side."""
+    rows = invlist.postings(_bucket_windows(spark, sf))
+    return invlist.expand_chosen(rows, invlist.expansion(rows, _kw(spark, sf), 50)).select("query_id", "pos", "count", "acd")
+
+
+@register("op_i06_frontier", f"WITH {_CHOSEN}, fr AS (SELECT query_id, dim, min(pow(value - kw, 2)) FILTER (side <> 0 AND before >= 50) AS lb, max(pow(value - kw, 2)) FILTER (side <> 0 AND before >= 50) AS ub FROM nb GROUP BY ALL) SELECT query_id, list_sort(list(coalesce(lb, 0)::DOUBLE)) AS lbs, list_sort(list(coalesce(ub, 0)::DOUBLE)) AS ubs FROM fr GROUP BY query_id")
 def _(spark, sf):
-    return _expanded(spark, sf).select("query_id", "pos", "count", "acd")
+    rows = invlist.postings(_bucket_windows(spark, sf))
+    return invlist.frontier_bounds(rows, _kw(spark, sf), 50)
 
 
 _DIMS = "dm AS (SELECT sensor_id, dim, min(value) AS lo, max(value) AS hi FROM x GROUP BY ALL), ub AS (SELECT query_id, list(pow(greatest(kw - lo, hi - kw), 2) ORDER BY pow(greatest(kw - lo, hi - kw), 2)) AS ubs FROM qb JOIN dm USING (sensor_id, dim) GROUP BY query_id)"
@@ -784,7 +841,7 @@ _EXACT = f"{P}, {win()}, {Q}, d AS (SELECT query_id, start, list_sum(list_transf
 @register("op_i10_nearest", f"WITH {_EXACT} SELECT query_id, start::BIGINT AS pos, dist, rank::BIGINT AS rank FROM r WHERE rank <= 3")
 def _(spark, sf):
     w = _bucket_windows(spark, sf)
-    found = invlist.nearest(invlist.postings(w), w, _kw(spark, sf), 3, L, reach=2)
+    found = invlist.nearest(invlist.postings(w), w, _kw(spark, sf), 3, L)
     return found.select("query_id", "pos", "dist", F.col("rank").cast("long").alias("rank"))
 
 
@@ -1148,11 +1205,15 @@ def _(spark, sf):
     return _supervised(spark, sf, "sensor_id string, length double, sf double, sn double, objective double", f)
 
 
-@register("op_e11_leave_out_experiment")
+_WHOLE = 32 + 20 + 1
+_SAMPLED = f"qs AS (SELECT sensor_id || '@' || place AS query_id, sensor_id, place, a[place + 1:place + 32] AS q, a[place + {_WHOLE}] AS y FROM (SELECT sensor_id, a, i * ((n - {2 * _WHOLE} - 1) // 4) + {_WHOLE} AS place FROM p, range(0, 4) t(i)))"
+
+
+@register("op_e11_leave_out_experiment", experiment_sql(_SAMPLED, [16, 32], [4, 8], 20, _WHOLE, "n"))
 def _(spark, sf):
     from ..api import leave_out_experiment
 
-    return leave_out_experiment(sensors(spark, sf), 4, SMALL)
+    return judged(leave_out_experiment(sensors(spark, sf), 4, SMALL))
 
 
 # --- variants, helpers and drivers
@@ -1231,7 +1292,12 @@ def _(spark, sf):
 
 @register("op_g12_iterative_forecast")
 def _(spark, sf):
-    return QUERIES["op_g10_iterative_gp"](spark, sf).filter("step > 0")
+    """Four steps of the iterative (length, k) grid: each expert's prediction enters its next input with its variance, and
+    its training rows move on by one place."""
+    s, settings = sensors(spark, sf), forecast.Settings(lengths=(16, 32), ks=(8, 16), band=R, window=W, start=(3.0, 1.0, 0.7))
+    qs = latest(s, 32)
+    found = search.index_top_k(s, qs, [16, 32], 16, R, W, reserve=4)
+    return forecast.iterative_grid(s, found, qs, settings, 4)
 
 
 @register("op_g15_robust_inverse")
@@ -1310,12 +1376,15 @@ def _(spark, sf):
     return found.select("query_id", "len", "verified", "places")
 
 
-@register("op_e13_sequential_experiment")
+_LAST_TEN = f"qs AS (SELECT sensor_id || '@' || place AS query_id, sensor_id, place, a[place + 1:place + 32] AS q, a[place + {_WHOLE}] AS y FROM (SELECT sensor_id, a, unnest(range(n - {_WHOLE} - 9, n - {_WHOLE} + 1)) AS place FROM p))"
+
+
+@register("op_e13_sequential_experiment", experiment_sql(_LAST_TEN, [16, 32], [4, 8], 20, None, f"n - {_WHOLE + 9}"))
 def _(spark, sf):
     """Forecasts from overlapping queries, one after the other, judged on the value that came."""
     from ..api import sequential_experiment
 
-    return sequential_experiment(sensors(spark, sf), 10, SMALL)
+    return judged(sequential_experiment(sensors(spark, sf), 10, SMALL))
 
 
 @register("op_stream_tumbling", "SELECT event_type AS sensor_id, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
