@@ -77,9 +77,10 @@ def expand_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def frontier_bounds(rows: DataFrame, queries: DataFrame, entries: int) -> DataFrame:
     """query_id, lbs, ubs: per query the sorted least and most that a dimension outside the expansion adds to a distance: the
-    squares of the nearest and the farthest bucket not visited, 0 where all were."""
+    squares of the nearest and the farthest bucket not visited. Where all buckets were visited no entry is outside, so the
+    least is infinite and the most 0."""
     far = F.when((F.col("side") != 0) & (F.col("before") >= entries), F.pow((F.col("value") - F.col("kw")).cast("double"), F.lit(2.0)))
-    ends = _buckets(rows, queries).groupBy("query_id", "dim").agg(F.coalesce(F.min(far), F.lit(0.0)).alias("lb"), F.coalesce(F.max(far), F.lit(0.0)).alias("ub"))
+    ends = _buckets(rows, queries).groupBy("query_id", "dim").agg(F.coalesce(F.min(far), F.lit(float("inf"))).alias("lb"), F.coalesce(F.max(far), F.lit(0.0)).alias("ub"))
     return ends.groupBy("query_id").agg(F.array_sort(F.collect_list("lb")).alias("lbs"), F.array_sort(F.collect_list("ub")).alias("ubs"))
 
 

@@ -801,10 +801,11 @@ def _(spark, sf):
     return invlist.expand_chosen(rows, invlist.expansion(rows, _kw(spark, sf), 50)).select("query_id", "pos", "count", "acd")
 
 
-@register("op_i06_frontier", f"WITH {_CHOSEN}, fr AS (SELECT query_id, dim, min(pow(value - kw, 2)) FILTER (side <> 0 AND before >= 50) AS lb, max(pow(value - kw, 2)) FILTER (side <> 0 AND before >= 50) AS ub FROM nb GROUP BY ALL) SELECT query_id, list_sort(list(coalesce(lb, 0)::DOUBLE)) AS lbs, list_sort(list(coalesce(ub, 0)::DOUBLE)) AS ubs FROM fr GROUP BY query_id")
+@register("op_i06_frontier", f"WITH {_CHOSEN}, fr AS (SELECT query_id, dim, min(pow(value - kw, 2)) FILTER (side <> 0 AND before >= 50) AS lb, max(pow(value - kw, 2)) FILTER (side <> 0 AND before >= 50) AS ub FROM nb GROUP BY ALL) SELECT query_id, list_transform(list_sort(list(coalesce(lb, 'inf'::DOUBLE))), lambda x: CASE WHEN isinf(x) THEN -1.0 ELSE x END)::DOUBLE[] AS lbs, list_sort(list(coalesce(ub, 0)::DOUBLE)) AS ubs FROM fr GROUP BY query_id")
 def _(spark, sf):
     rows = invlist.postings(_bucket_windows(spark, sf))
-    return invlist.frontier_bounds(rows, _kw(spark, sf), 50)
+    shown_ = F.transform("lbs", lambda x: F.when(x == float("inf"), -1.0).otherwise(x)).alias("lbs")
+    return invlist.frontier_bounds(rows, _kw(spark, sf), 50).select("query_id", shown_, "ubs")
 
 
 _DIMS = "dm AS (SELECT sensor_id, dim, min(value) AS lo, max(value) AS hi FROM x GROUP BY ALL), ub AS (SELECT query_id, list(pow(greatest(kw - lo, hi - kw), 2) ORDER BY pow(greatest(kw - lo, hi - kw), 2)) AS ubs FROM qb JOIN dm USING (sensor_id, dim) GROUP BY query_id)"
