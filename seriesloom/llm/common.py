@@ -16,9 +16,12 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset and the master is local, as in
+    tests) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark.sparkContext, "_seriesloom_dir", None)
         if at is None:
             at = spark.sparkContext._seriesloom_dir = "file://" + tempfile.mkdtemp(prefix="seriesloom-")

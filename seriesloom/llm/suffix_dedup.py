@@ -14,10 +14,10 @@ bytes only, and the recursion on names ends after one step:
    document among them says for each block which of its strings start earlier elsewhere.
 Whole documents that copy an earlier one are found by digest first and take no part in steps 3 and 4.
 
-Step 2 only rules positions out, so its names may collide. Those of step 4 have 88 bits: n strings of different content
-share one with a chance of about n * n / 2**89. Names travel as sorted differences of their first 64 bits with the other 24 beside them, never as rows,
-and one range holds at most about `range_names` of them. Answers are bit maps that each block reads from the shared folder,
-where the blocks of several input partitions share a file.
+Step 2 only rules positions out, so its names may collide. Those of step 4 have 84 bits: n strings of different content
+share one with a chance of about n * n / 2**85. Names travel as sorted differences of their first 64 bits with the other 20
+beside them, never as rows, and one range holds at most about `range_names` of them. Answers are bit maps that each block
+reads from the shared folder, where the blocks of several input partitions share a file.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from .shingles import EXACT, U64, mix, powers
 #: A perfect difference set; every residue modulo 57 is a difference of two of its members.
 CYCLE, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 LAST = 2**63 - 1
+#: Parts into which the copies of one text are dealt when they are joined.
+SALTS = 16
 PACKED = "block long, n_docs long, n_names long, ids binary, offsets binary, data binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
 
@@ -112,7 +114,7 @@ class Prefix:
 
 
 #: The second part of a name: the lower bits of a hash of its own.
-TAG = U64((1 << 24) - 1)
+TAG = U64((1 << 20) - 1)
 _SECOND = np.random.Generator(np.random.PCG64(100)).integers(0, 2**64, 256, dtype=U64)
 
 
@@ -353,9 +355,12 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
 
     whole = stage(packed.mapInArrow(digests, "block long, row long, doc_id long, digest binary"), "digests")
     firsts = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
-    copies = whole.join(firsts, "digest").filter("doc_id > least").select("block", "row")
+    # written, so that few are broadcast; if they are many, the copies of one text are dealt into parts
+    firsts = stage(firsts, "first-copies")
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = whole.withColumn("salt", F.pmod(F.xxhash64("block", "row"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).filter("doc_id > least").select("block", "row")
     copied = _write_by_block(copies, spread, "copies")
-    unstage(whole)
+    unstage(whole, firsts)
 
     def prepared(b: BlockText):
         skip = np.zeros(len(b.ids), bool)
