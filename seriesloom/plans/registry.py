@@ -92,18 +92,23 @@ def nearest_sql(lengths, k: int, longest: int, reserve: int = 0, exclude: int |
 NEAREST = "SELECT query_id, len::INTEGER AS len, start::BIGINT AS start, rank::BIGINT AS rank, round(dist, 6) AS dist FROM nn"
 
 
-def experiment_sql(qs: str, lengths, ks, horizon: int, exclude: int | None, until: str) -> str:
-    """Errors of the unweighted expert grid over the queries of qs, which also hold the truth y."""
+def mixed_sql(qs: str, lengths, ks, horizon: int, exclude: int | None, until: str) -> str:
+    """mx: mean and var of the unweighted expert grid over the queries of qs."""
+    label = f"a[start + len + {horizon} + 1]"
     return (
         f"WITH {P}, {qs}, {nearest_sql(lengths, max(ks), max(lengths), horizon + 1, exclude, until)}, "
-        f"gr AS (SELECT query_id, len, k, avg(a[start + len + {horizon} + 1]) AS mean, greatest(avg(pow(a[start + len + {horizon} + 1], 2)) - pow(avg(a[start + len + {horizon} + 1]), 2), 0) + 1e-4 AS var FROM nn, (SELECT unnest({list(ks)}) AS k) z WHERE rank <= k GROUP BY ALL), "
-        "mx AS (SELECT query_id, avg(mean) AS mean, avg(var) AS var FROM gr GROUP BY query_id) "
-        "SELECT query_id, round(mean, 5) AS mean, round(var, 4) AS var, round(y, 6) AS y, round(abs(y - mean), 5) AS ae, round(pow(y - mean, 2), 4) AS se, round(pow(y - mean, 2) / var, 4) AS sse, round((pow(y - mean, 2) / var + ln(var) + ln(2 * pi())) / 2, 4) AS nll FROM mx JOIN qs USING (query_id)"
+        f"gr AS (SELECT query_id, len, k, avg({label}) AS mean, greatest(avg(pow({label}, 2)) - pow(avg({label}), 2), 0) + 1e-4 AS var FROM nn, (SELECT unnest({list(ks)}) AS k) z WHERE rank <= k GROUP BY ALL), "
+        "mx AS (SELECT query_id, avg(mean) AS mean, avg(var) AS var FROM gr GROUP BY query_id)"
     )
 
 
+def experiment_sql(*grid) -> str:
+    """Errors of the grid over queries that also hold the truth y."""
+    return f"{mixed_sql(*grid)} SELECT query_id, round(mean, 8) AS mean, round(var, 4) AS var, round(y, 6) AS y, round(abs(y - mean), 8) AS ae, round(pow(y - mean, 2), 4) AS se, round(pow(y - mean, 2) / var, 4) AS sse, round((pow(y - mean, 2) / var + ln(var) + ln(2 * pi())) / 2, 4) AS nll FROM mx JOIN qs USING (query_id)"
+
+
 def judged(rows: DataFrame) -> DataFrame:
-    places = {"mean": 5, "var": 4, "y": 6, "ae": 5, "se": 4, "sse": 4, "nll": 4}
+    places = {"mean": 8, "var": 4, "y": 6, "ae": 8, "se": 4, "sse": 4, "nll": 4}
     return rows.select("query_id", *(F.round(c, n).alias(c) for c, n in places.items()))
 
 
@@ -1049,10 +1054,15 @@ def _(spark, sf):
 SMALL = forecast.Settings(lengths=(16, 32), ks=(4, 8), horizon=20, band=4, window=8, steps=10)
 
 
-@register("op_e10_forecast")
+# ten steps are fewer than the horizon, so no truth has come back yet and the experts' weights are still equal
+_TEN = "qs AS (SELECT sensor_id || '@' || step AS query_id, sensor_id, step, n - 62 + step AS place, a[n - 61 + step:n - 30 + step] AS q, a[n - 9 + step] AS y FROM p, range(0, 10) t(step))"
+_FORECAST = mixed_sql(_TEN, [16, 32], [4, 8], 20, None, "n - 62")
+
+
+@register("op_e10_forecast", f"{_FORECAST} SELECT query_id, sensor_id, step::INTEGER AS step, round(mean, 8) AS mean, round(var, 4) AS var, round(y, 6) AS y FROM mx JOIN qs USING (query_id)")
 def _(spark, sf):
     """The flagship: 21-step-ahead forecasts of every sensor, neighbours by the index search, weights self-corrected."""
-    return forecast.continuous(sensors(spark, sf), SMALL)
+    return forecast.continuous(sensors(spark, sf), SMALL).select("query_id", "sensor_id", "step", F.round("mean", 8).alias("mean"), F.round("var", 4).alias("var"), r6("y", "y"))
 
 
 @register("op_e10_forecast_gp")
@@ -1062,9 +1072,10 @@ def _(spark, sf):
     return forecast.continuous(sensors(spark, sf), replace(SMALL, model="gp", steps=5))
 
 
-@register("op_e11_forecast_metrics")
+@register("op_e11_forecast_metrics", f"{_FORECAST} SELECT sensor_id, count(*) AS n, round(avg(abs(y - mean)), 8) AS mae, round(avg(pow(y - mean, 2)), 3) AS mse, round(avg(pow(y - mean, 2) / var), 4) AS msse, round(avg((pow(y - mean, 2) / var + ln(var) + ln(2 * pi())) / 2), 4) AS mnll FROM mx JOIN qs USING (query_id) GROUP BY sensor_id")
 def _(spark, sf):
-    return forecast.metrics(forecast.errors(forecast.continuous(sensors(spark, sf), SMALL)), "sensor_id")
+    rows = forecast.metrics(forecast.errors(forecast.continuous(sensors(spark, sf), SMALL)), "sensor_id")
+    return rows.select("sensor_id", "n", F.round("mae", 8).alias("mae"), F.round("mse", 3).alias("mse"), F.round("msse", 4).alias("msse"), F.round("mnll", 4).alias("mnll"))
 
 
 @register("op_e17_etl", f"WITH {S}, m AS (SELECT * FROM s WHERE v >= 5) SELECT sensor_id, t::BIGINT AS t, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS z FROM m WINDOW w AS (PARTITION BY sensor_id)")
