@@ -39,10 +39,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and rereads it: cuts the lineage and survives lost executors.
+    group_rows: most rows of a row group, all of which a writer and a reader hold at once; Parquet itself looks at the
+    size only after a hundred rows."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write = df.write.option("compression", "zstd")
+    if group_rows:
+        write = write.option("parquet.block.row.count.limit", str(group_rows))
+    write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -86,7 +86,7 @@ class Prefix:
     """Polynomial prefix sums of a block, from which the hash of any string of it follows. Up to `STRETCH` bytes are
     summed once and kept; a longer block is summed stretch by stretch. values: the numbers that stand for the bytes."""
 
-    STRETCH = 8 << 20
+    STRETCH = 1 << 20
 
     def __init__(self, data: np.ndarray, values: np.ndarray = EXACT):
         self.data, self.values, self.kept = data, values, None
@@ -326,7 +326,7 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         raise ValueError("length is too small for the difference cover")
     spark = docs.sparkSession
     arrow_batches(spark)
-    packed = stage(pack_blocks(docs, s), "blocks")
+    packed = stage(pack_blocks(docs, s), "blocks", group_rows=1)  # a task may have any number of blocks, and holds one
     blocks, n_names = packed.agg(F.count("*"), F.coalesce(F.sum("n_names"), F.lit(0))).first()
     if not blocks:
         return spark.createDataFrame([], RESULT)
@@ -355,12 +355,12 @@ def repeated_passages(docs: DataFrame, s: Settings | None = None) -> DataFrame:
 
     whole = stage(packed.mapInArrow(digests, "block long, row long, doc_id long, digest binary"), "digests")
     firsts = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
-    # written, so that few are broadcast; if they are many, the copies of one text are dealt into parts
+    # written with all its parts, so that few are broadcast; if they are many, the copies of one text are dealt into parts
     firsts = stage(firsts, "first-copies")
-    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = stage(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "salted-copies")
     copies = whole.withColumn("salt", F.pmod(F.xxhash64("block", "row"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).filter("doc_id > least").select("block", "row")
     copied = _write_by_block(copies, spread, "copies")
-    unstage(whole, firsts)
+    unstage(whole, firsts, salted)
 
     def prepared(b: BlockText):
         skip = np.zeros(len(b.ids), bool)
