@@ -33,10 +33,16 @@ def lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sensor_id", "dim", "value").agg(F.count("*").alias("n"))
 
 
+def _known(df: DataFrame, name: str) -> DataFrame:
+    """A table of queries or results, written so that the planner knows its size: a small one is sent to the postings, of
+    which only counts are then shuffled; a large one is dealt out with them."""
+    return stored(df, name)
+
+
 def point_query(rows: DataFrame, queries: DataFrame, threshold: int) -> DataFrame:
     """query_id, sensor_id, pos, matches: entries that equal the query (query_id, sensor_id, dim, kw) in more than
     `threshold` dimensions."""
-    hits = rows.join(queries.withColumnRenamed("kw", "value"), ["sensor_id", "dim", "value"])
+    hits = rows.join(_known(queries.withColumnRenamed("kw", "value"), "index-queries"), ["sensor_id", "dim", "value"])
     return hits.groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("matches")).filter(F.col("matches") > threshold)
 
 
