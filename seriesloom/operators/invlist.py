@@ -78,7 +78,7 @@ def expansion(rows: DataFrame, queries: DataFrame, entries: int, bound: int | No
 def expand_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """query_id, sensor_id, pos, count, acd of the entries in the chosen buckets."""
     d = (F.col("value") - F.col("kw")).cast("double")
-    return rows.join(chosen, ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
+    return rows.join(_known(chosen, "chosen-buckets"), ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
 
 
 def frontier_bounds(rows: DataFrame, queries: DataFrame, entries: int) -> DataFrame:
