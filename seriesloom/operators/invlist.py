@@ -51,7 +51,7 @@ def expand(rows: DataFrame, queries: DataFrame, reach: int) -> DataFrame:
     query, and its distance so far (squared). The range is a set of values per query dimension, so this is an equi-join."""
     near = queries.select("query_id", "sensor_id", "dim", "kw", F.explode(F.sequence(F.col("kw") - reach, F.col("kw") + reach)).alias("value"))
     d = (F.col("value") - F.col("kw")).cast("double")
-    return rows.join(near, ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
+    return rows.join(_known(near, "near-buckets"), ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
 
 
 def _buckets(rows: DataFrame, queries: DataFrame) -> DataFrame:
