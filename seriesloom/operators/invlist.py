@@ -81,13 +81,17 @@ def expand_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(_known(chosen, "chosen-buckets"), ["sensor_id", "dim", "value"]).groupBy("query_id", "sensor_id", "pos").agg(F.count("*").alias("count"), F.sum(d * d).alias("acd"))
 
 
+def _sorted_ends(ends: DataFrame) -> DataFrame:
+    return _known(ends.groupBy("query_id").agg(F.array_sort(F.collect_list("lb")).alias("lbs"), F.array_sort(F.collect_list("ub")).alias("ubs")), "bounds")
+
+
 def frontier_bounds(rows: DataFrame, queries: DataFrame, entries: int) -> DataFrame:
     """query_id, lbs, ubs: per query the sorted least and most that a dimension outside the expansion adds to a distance: the
     squares of the nearest and the farthest bucket not visited. Where all buckets were visited no entry is outside, so the
     least is infinite and the most 0."""
     far = F.when((F.col("side") != 0) & (F.col("before") >= entries), F.pow((F.col("value") - F.col("kw")).cast("double"), F.lit(2.0)))
     ends = _buckets(rows, queries).groupBy("query_id", "dim").agg(F.coalesce(F.min(far), F.lit(float("inf"))).alias("lb"), F.coalesce(F.max(far), F.lit(0.0)).alias("ub"))
-    return ends.groupBy("query_id").agg(F.array_sort(F.collect_list("lb")).alias("lbs"), F.array_sort(F.collect_list("ub")).alias("ubs"))
+    return _sorted_ends(ends)
 
 
 def dimension_bounds(rows: DataFrame, queries: DataFrame, reach: int) -> DataFrame:
@@ -96,7 +100,7 @@ def dimension_bounds(rows: DataFrame, queries: DataFrame, reach: int) -> DataFra
     domain = rows.groupBy("sensor_id", "dim").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     far = F.greatest(F.col("kw") - F.col("low"), F.col("high") - F.col("kw")).cast("double")
     ends = queries.join(domain, ["sensor_id", "dim"]).select("query_id", F.lit(float((reach + 1) ** 2)).alias("lb"), (far * far).alias("ub"))
-    return ends.groupBy("query_id").agg(F.array_sort(F.collect_list("lb")).alias("lbs"), F.array_sort(F.collect_list("ub")).alias("ubs"))
+    return _sorted_ends(ends)
 
 
 def result_bounds(expanded: DataFrame, bounds: DataFrame, dims: int, threshold: int = 0) -> DataFrame:
