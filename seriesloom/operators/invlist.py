@@ -118,7 +118,7 @@ def finished(bounded: DataFrame, expanded_bounds: DataFrame, k: int, dims: int)
     list has reached included."""
     from .search import top_k
 
-    best = top_k(bounded, ["query_id"], k, by="ub", tie="pos")
+    best = _known(top_k(bounded, ["query_id"], k, by="ub", tie="pos"), "best")
     kth = best.groupBy("query_id").agg(F.max("ub").alias("kth"), F.count("*").alias("n"))
     rest = bounded.join(best.select("query_id", "pos"), ["query_id", "pos"], "left_anti").groupBy("query_id").agg(F.min("lb").alias("rest"))
     unseen = expanded_bounds.select("query_id", F.aggregate("lbs", F.lit(0.0), lambda s, x: s + x).alias("unseen"))
