@@ -134,6 +134,7 @@ def nearest(rows: DataFrame, windows: DataFrame, queries: DataFrame, k: int, dim
 
     rows, queries = stored(rows, "postings"), stored(queries, "index-queries")
     item = queries.groupBy("query_id", "sensor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "kw"))), lambda x: x.kw).alias("item"))
+    item = _known(item, "items")
     whole = windows.select("sensor_id", F.col("start").alias("pos"), "c")
     exact = columns.squared_euclid(F.transform("item", lambda x: x.cast("double")), F.transform("c", lambda x: x.cast("double")))
     for _ in range(most):
@@ -141,8 +142,8 @@ def nearest(rows: DataFrame, windows: DataFrame, queries: DataFrame, k: int, dim
         bounded = stored(result_bounds(expand_chosen(rows, expansion(rows, queries, entries)), b, dims), "bounded")
         if finished(bounded, b, k, dims).agg(F.bool_and("finished")).first()[0]:
             kth = top_k(bounded, ["query_id"], k, by="ub", tie="pos").groupBy("query_id").agg(F.max("ub").alias("kth"))
-            chosen = bounded.join(kth, "query_id").filter(F.col("lb") <= F.col("kth")).select("query_id", "sensor_id", "pos")
-            found = chosen.join(whole, ["sensor_id", "pos"]).join(item, ["query_id", "sensor_id"])
+            chosen = bounded.join(_known(kth, "kth"), "query_id").filter(F.col("lb") <= F.col("kth")).select("query_id", "sensor_id", "pos")
+            found = _known(chosen, "verified").join(whole, ["sensor_id", "pos"]).join(item, ["query_id", "sensor_id"])
             return top_k(found.select("query_id", "sensor_id", "pos", exact.alias("dist")), ["query_id"], k, tie="pos")
         entries *= 4
     found = whole.join(item, "sensor_id")
