@@ -7,8 +7,10 @@ unknown value, and every other context of a confident value is a new pattern. Sp
 for a kind is the mean confidence of its distinct values, a value's is one minus the chance that all its patterns err, where
 only usable patterns that are more likely right than wrong speak for it. Values that become confident support patterns of
 their own in the next round, until nothing is new. How many distinct values stand in a pattern is estimated first, by
-registers in a table of bounded size; patterns whose confident values are clearly outnumbered can't speak and bring in no
-edges, so the graph grows with what is found and not with common words. Values that high-confidence patterns reach become spans of the kind
+registers in a table of bounded size; patterns whose confident values are clearly outnumbered by it wait and bring in no
+edges, so the graph grows with what is found and not with common words. No estimate rules a pattern out: once the others are
+scored, all its values of any confidence and a sample of the rest are gathered. The mean over these is no less than over all
+of them, so below LIKELY the pattern can't speak; each other one brings in all its edges, and the graph is scored again. Values that high-confidence patterns reach become spans of the kind
 wherever these patterns surround them. Values count once however often they are copied.
 
 Words are the runs between ASCII white space; in patterns A-Z are lower case and a run of digits counts as one 0. Words of
@@ -47,7 +49,8 @@ _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 #: Most digit groups of a value, bits of the filters, and the confidence from which a pattern speaks for its values.
 GROUPS, BITS, LIKELY = 8, 1 << 24, 0.5
 #: Registers of an estimate, most estimates of the table and slots of one part of it, and the share of the estimated values
-#: of a pattern that its confident ones must be for its edges to be gathered.
+#: of a pattern that its confident ones must be for its edges to be gathered at once; other patterns wait until they are
+#: proven not to speak, or let in.
 REGISTERS, SLOTS, PART, SHARE = 64, 1 << 18, 1 << 12, 0.25
 #: Parts into which the edges of a pattern or a value are dealt when they are joined.
 SALTS = 16
@@ -57,7 +60,7 @@ SALTS = 16
 class Settings:
     """seeds: distinct confident values of a kind that a pattern needs. pattern: least confidence of a pattern that
     discovers. value: from which confidence a value counts as found. rounds: most rounds of growth, each of which reads the
-    texts twice. scorings: scorings of the graph in a round."""
+    texts three times or more. scorings: scorings of the graph in a round."""
 
     seeds: int = 3
     pattern: float = 0.8
@@ -210,6 +213,12 @@ class Filter:
 
 def _found(words: Words, rows: pa.RecordBatch, chosen: np.ndarray, slots) -> tuple[np.ndarray, ...]:
     """The chosen slots that overlap no base span."""
+    clear = _unspoken(words, rows, chosen, slots)
+    return tuple(x[clear] for x in slots)
+
+
+def _unspoken(words: Words, rows: pa.RecordBatch, chosen: np.ndarray, slots) -> np.ndarray:
+    """The numbers of the chosen slots that overlap no base span."""
     i, j, start, stop = (x[chosen] for x in slots)
     row = words.row[i]
     clear = np.ones(len(i), bool)
@@ -220,7 +229,7 @@ def _found(words: Words, rows: pa.RecordBatch, chosen: np.ndarray, slots) -> tup
             mine = np.flatnonzero(row == r)
             a, b = _in_bytes(words, r, text, spans)
             clear[mine] = _clear(sorted(zip(a.tolist(), b.tolist())), start[mine], stop[mine])
-    return tuple(x[clear] for x in (i, j, start, stop))
+    return chosen[clear]
 
 
 def edges_of(docs: DataFrame, patterns: DataFrame, values: DataFrame | None) -> DataFrame:
@@ -253,6 +262,47 @@ def edges_of(docs: DataFrame, patterns: DataFrame, values: DataFrame | None) ->
     return _keyed(docs).mapInArrow(run, "pattern long, value long")
 
 
+def _sampled(value: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Which values belong to a sample of one in 2**shift."""
+    return mix(value ^ U64(0x3C3C3C3C3C3C3C3C)) & ((U64(1) << shift.astype(U64)) - U64(1)) == 0
+
+
+def evidence_of(docs: DataFrame, waiting: DataFrame, values: DataFrame, slots: int) -> DataFrame:
+    """(pattern, value): what stands in the slots of `waiting` (pattern, n, values): all of `values` (value) that do, and a
+    sample of the others, of some 32 for each confident one; with a few others that the filters let through."""
+    rate = F.floor(F.log2(F.greatest(F.col("values") / (32 * F.col("n") + 256), F.lit(1.0)))).cast("long")
+    found = waiting.select(_slot(F.col("pattern"), slots).alias("slot"), rate.alias("rate")).groupBy("slot").agg(F.min("rate").alias("rate")).toArrow()
+    rates = np.zeros(slots, np.uint8)
+    rates[found.column("slot").to_numpy()] = found.column("rate").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(waiting, "pattern", BITS), bit_filter(values, "value", BITS), rates))
+
+    def run(batches):
+        known, wanted, rates = (*(Filter(x) for x in shared.value[:2]), shared.value[2])
+        for rows, data, offsets in text_slices(batches):
+            w = Words(data, offsets)
+            if not len(w.starts):
+                continue
+            every = w.slots()
+            two, around = w.patterns(every[0], every[1])
+            at = np.flatnonzero(known[two] | known[around])
+            if not len(at):
+                continue
+            slots_ = tuple(x[at] for x in every)
+            value, sides = w.values(slots_[2], slots_[3]), (two[at], around[at])
+            sure = wanted[value]
+            takes = [known[p] & (sure | _sampled(value, rates[((p >> U64(24)) & U64(slots - 1)).astype(np.int64)])) for p in sides]
+            chosen = np.flatnonzero(takes[0] | takes[1])
+            if not len(chosen):
+                continue
+            clear = _unspoken(w, rows, chosen, slots_)
+            out = [np.column_stack([p[clear][t[clear]], value[clear][t[clear]]]) for p, t in zip(sides, takes)]
+            out = np.unique(np.concatenate(out), axis=0).view(np.int64)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, c])) for c in (0, 1)], names=["pattern", "value"])
+
+    return _keyed(docs).mapInArrow(run, "pattern long, value long")
+
+
 def _registers(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The register of each value and the length of its run of zeros, from one."""
     h = mix(value ^ U64(0xA5A5A5A5A5A5A5A5))
@@ -391,21 +441,32 @@ def _usable(counts: DataFrame, s: Settings) -> DataFrame:
     return counts.select("pattern", most.alias("n")).filter(F.col("n") >= s.seeds)
 
 
+def _slots(count: int) -> int:
+    return min(max(PART, 1 << (8 * count).bit_length()), SLOTS)
+
+
+def _estimated(docs: DataFrame, usable: DataFrame, count: int) -> DataFrame:
+    """usable with the estimated number of values of each pattern, staged."""
+    there = distinct_values(docs, usable, _slots(count))
+    out = stage(usable.withColumn("slot", _slot(F.col("pattern"), _slots(count))).join(there, "slot", "left").select("pattern", "n", F.coalesce("values", F.lit(0.0)).alias("values")), "estimated")
+    unstage(there)
+    return out
+
+
 def _not_outnumbered(docs: DataFrame, usable: DataFrame, count: int) -> DataFrame:
     """The usable patterns whose confident values aren't clearly outnumbered, staged."""
-    slots = min(max(PART, 1 << (8 * count).bit_length()), SLOTS)
-    there = distinct_values(docs, usable, slots)
-    kept = usable.withColumn("slot", _slot(F.col("pattern"), slots)).join(there, "slot").filter(F.col("n") >= SHARE * F.col("values"))
-    out = stage(kept.select("pattern"), "patterns")
-    unstage(there)
+    estimated = _estimated(docs, usable, count)
+    out = stage(estimated.filter(F.col("n") >= SHARE * F.col("values")).select("pattern"), "patterns")
+    unstage(estimated)
     return out
 
 
 class _Graph:
-    """Scores of the patterns and values of one round; before: the values' confidence in the round before."""
+    """Scores of the patterns and values of one round; before: the values' confidence in the round before. waiting: patterns
+    whose edges aren't all here; they count their confident values, and have no confidence."""
 
-    def __init__(self, edges: DataFrame, before: DataFrame | None, s: Settings):
-        self.s, self.values = s, before
+    def __init__(self, edges: DataFrame, before: DataFrame | None, s: Settings, waiting: DataFrame | None = None):
+        self.s, self.values, self.waiting = s, before, waiting
         for _ in range(s.scorings):
             self.patterns = self._patterns(edges)
             self.values = self._values(edges)
@@ -413,6 +474,18 @@ class _Graph:
         self.patterns = stage(self._patterns(edges), "pattern-scores")
 
     def _patterns(self, edges: DataFrame) -> DataFrame:
+        scores = self._means(edges)
+        if self.waiting is None:
+            return scores
+        ps = [f"p{k}" for k in _KS]
+        marked = scores.join(self.waiting.select("pattern", F.lit(True).alias("waits")), "pattern", "left")
+        return marked.select(*(c for c in scores.columns if c not in ps), *(F.when(F.col("waits"), 0.0).otherwise(F.col(p)).alias(p) for p in ps))
+
+    def speaking(self, edges: DataFrame) -> DataFrame:
+        """The patterns that speak by these edges and the values' scores."""
+        return self._means(edges).filter(" or ".join(f"p{k} >= {LIKELY}" for k in _KS)).select("pattern")
+
+    def _means(self, edges: DataFrame) -> DataFrame:
         """pattern, n0.. (confident values of each kind), p0.. (confidence for each kind, 0 where too few support it)."""
         own = edges
         if self.values is not None:
@@ -445,11 +518,36 @@ class _Graph:
         return self.patterns.select("pattern", each).filter(F.col("x.p") >= self.s.pattern).select("pattern", F.col("x.kind").alias("kind"))
 
 
+def _grown(docs: DataFrame, seeds: DataFrame, usable: DataFrame, count: int, confident: DataFrame | None, before: DataFrame | None, s: Settings) -> tuple[_Graph, list[DataFrame]]:
+    """The scored graph of a round, and the staged tables that it is done with. Patterns wait while they are outnumbered by
+    estimate; those that can't be proven not to speak are let in, until none is."""
+    estimated = _estimated(docs, usable, count)
+    enough = F.col("n") >= SHARE * F.col("values")
+    chosen, waiting = (stage(estimated.filter(x), "patterns") for x in (enough, ~enough))
+    edges, old = seeds, [estimated]
+    new = edges_of(docs, chosen, confident)
+    while True:
+        edges = stage(edges.unionByName(new.select("pattern", "value", F.lit(-1).alias("kind"))).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
+        left = waiting.count()
+        graph = _Graph(edges, before, s, waiting if left else None)
+        old += [chosen, waiting, edges, graph.patterns, graph.values]
+        if not left:
+            return graph, old
+        evidence = evidence_of(docs, waiting, graph.values, _slots(count)).select("pattern", "value", F.lit(-1).alias("kind"))
+        pairs = seeds.unionByName(evidence).join(waiting.select("pattern"), "pattern", "left_semi").groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
+        chosen = stage(graph.speaking(pairs), "patterns")
+        if not chosen.count():
+            old.append(chosen)
+            return graph, old
+        waiting = stage(waiting.join(chosen, "pattern", "left_anti"), "patterns")
+        new = edges_of(docs, chosen, None)
+
+
 def discover(docs: DataFrame, scanned: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, text_key, extra), staged: the discovered spans of each text that has any, as an array of (start, kind, stop).
 
-    Each round reads the texts twice, for the number of values in each pattern and for the edges of what is known so far;
-    a last pass finds the places of the discovered values. The tokens of all texts are never kept.
+    Each round reads the texts three times, for the number of values in each pattern, for the edges of what is known so far
+    and for the proof that patterns which wait can't speak, and twice more whenever some are let in; a last pass finds the places of the discovered values. The tokens of all texts are never kept.
     """
     spark = docs.sparkSession
     seeds = scanned.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.value", "m.kind")
@@ -458,12 +556,9 @@ def discover(docs: DataFrame, scanned: DataFrame, s: Settings) -> DataFrame:
     usable = stage(_usable(per_kind, s), "usable-patterns")
     graph, confident, before, old = None, None, (usable.count(), 0), [seeds, usable]
     for _ in range(s.rounds if before[0] else 0):
-        chosen = _not_outnumbered(docs, usable, before[0])
-        new = edges_of(docs, chosen, confident).select("pattern", "value", F.lit(-1).alias("kind"))
-        edges = stage(seeds.unionByName(new).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
-        graph = _Graph(edges, graph.values if graph else None, s)
+        graph, done = _grown(docs, seeds, usable, before[0], confident, graph.values if graph else None, s)
         usable, confident = graph.usable(), graph.confident()
-        old += [chosen, edges, graph.patterns, graph.values]
+        old += done
         now = usable.count(), confident.count()
         if now == before:
             break
