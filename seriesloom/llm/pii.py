@@ -9,9 +9,11 @@ only usable patterns that are more likely right than wrong speak for it. Values
 their own in the next round, until nothing is new. How many distinct values stand in a pattern is estimated first, by
 registers in a table of bounded size; patterns whose confident values are clearly outnumbered by it wait and bring in no
 edges, so the graph grows with what is found and not with common words. No estimate rules a pattern out: once the others are
-scored, all its values of any confidence and a sample of the rest are gathered. The mean over these is no less than over all
-of them, so below LIKELY the pattern can't speak; each other one brings in all its edges, and the graph is scored again. Values that high-confidence patterns reach become spans of the kind
-wherever these patterns surround them. Values count once however often they are copied.
+scored, all its values that had any confidence at any scoring of the round, or before it, and a sample of the rest are
+gathered. The mean of their highest confidences is no less than that over all its values at any scoring, so below LIKELY the
+pattern never spoke; each other one brings in all its edges, and the round is scored again. Once none is let in, every scoring
+is that of all edges. Values that high-confidence patterns reach become spans of the kind wherever these patterns surround
+them. Values count once however often they are copied.
 
 Words are the runs between ASCII white space; in patterns A-Z are lower case and a run of digits counts as one 0. Words of
 any length are taken whole. Patterns and values are known by 64-bit hashes, which are computed for a block of texts at once;
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -445,36 +448,49 @@ def _slots(count: int) -> int:
     return min(max(PART, 1 << (8 * count).bit_length()), SLOTS)
 
 
-def _estimated(docs: DataFrame, usable: DataFrame, count: int) -> DataFrame:
-    """usable with the estimated number of values of each pattern, staged."""
+def _divided(docs: DataFrame, usable: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """(pattern, n, values) of the usable patterns whose confident values aren't clearly outnumbered, and of those that wait,
+    staged; values: the estimated number of values."""
     there = distinct_values(docs, usable, _slots(count))
-    out = stage(usable.withColumn("slot", _slot(F.col("pattern"), _slots(count))).join(there, "slot", "left").select("pattern", "n", F.coalesce("values", F.lit(0.0)).alias("values")), "estimated")
-    unstage(there)
+    estimated = stage(usable.withColumn("slot", _slot(F.col("pattern"), _slots(count))).join(there, "slot", "left").select("pattern", "n", F.coalesce("values", F.lit(0.0)).alias("values")), "estimated")
+    enough = F.col("n") >= SHARE * F.col("values")
+    out = tuple(stage(estimated.filter(x), "patterns") for x in (enough, ~enough))
+    unstage(there, estimated)
     return out
 
 
 def _not_outnumbered(docs: DataFrame, usable: DataFrame, count: int) -> DataFrame:
-    """The usable patterns whose confident values aren't clearly outnumbered, staged."""
-    estimated = _estimated(docs, usable, count)
-    out = stage(estimated.filter(F.col("n") >= SHARE * F.col("values")).select("pattern"), "patterns")
-    unstage(estimated)
-    return out
+    """The usable patterns whose edges are gathered at once, staged; _grown sees to the others."""
+    chosen, waiting = _divided(docs, usable, count)
+    unstage(waiting)
+    return chosen.select("pattern")
 
 
 class _Graph:
     """Scores of the patterns and values of one round; before: the values' confidence in the round before. waiting: patterns
-    whose edges aren't all here; they count their confident values, and have no confidence."""
+    whose edges aren't all here, which have no confidence; highest: the highest confidence of each value at any scoring or
+    before, where patterns wait."""
 
     def __init__(self, edges: DataFrame, before: DataFrame | None, s: Settings, waiting: DataFrame | None = None):
-        self.s, self.values, self.waiting = s, before, waiting
+        self.s, self.values, self.waiting, self.highest = s, before, waiting, None
+        scored = []
         for _ in range(s.scorings):
             self.patterns = self._patterns(edges)
             self.values = self._values(edges)
-        self.values = stage(self.values, "value-scores")
+            if waiting is not None:
+                self.values = stage(self.values, "value-scores")
+                scored.append(self.values)
+        if waiting is None:
+            self.values = stage(self.values, "value-scores")
+            scored.append(self.values)
+        else:
+            ever = reduce(DataFrame.unionByName, scored if before is None else [before, *scored])
+            self.highest = stage(ever.groupBy("value").agg(*(F.max(f"v{k}").alias(f"v{k}") for k in _KS)), "highest-scores")
         self.patterns = stage(self._patterns(edges), "pattern-scores")
+        self.staged = [self.patterns, *scored] + ([] if self.highest is None else [self.highest])
 
     def _patterns(self, edges: DataFrame) -> DataFrame:
-        scores = self._means(edges)
+        scores = self._means(edges, self.values)
         if self.waiting is None:
             return scores
         ps = [f"p{k}" for k in _KS]
@@ -482,14 +498,21 @@ class _Graph:
         return marked.select(*(c for c in scores.columns if c not in ps), *(F.when(F.col("waits"), 0.0).otherwise(F.col(p)).alias(p) for p in ps))
 
     def speaking(self, edges: DataFrame) -> DataFrame:
-        """The patterns that speak by these edges and the values' scores."""
-        return self._means(edges).filter(" or ".join(f"p{k} >= {LIKELY}" for k in _KS)).select("pattern")
+        """The patterns that may have spoken at some scoring, by edges to all values that ever had any confidence."""
+        return self._means(edges, self.highest).filter(" or ".join(f"p{k} >= {LIKELY}" for k in _KS)).select("pattern")
 
-    def _means(self, edges: DataFrame) -> DataFrame:
+    def count(self, edges: DataFrame) -> None:
+        """Lets the waiting patterns count all their confident values, by edges to all values of any confidence."""
+        known = self.patterns.join(self.waiting.select("pattern"), "pattern", "left_anti")
+        counts = self._means(edges, self.values).select("pattern", *(f"n{k}" for k in _KS), *(F.lit(0.0).alias(f"p{k}") for k in _KS))
+        self.patterns = stage(known.unionByName(counts), "pattern-scores")
+        self.staged.append(self.patterns)
+
+    def _means(self, edges: DataFrame, values: DataFrame | None) -> DataFrame:
         """pattern, n0.. (confident values of each kind), p0.. (confidence for each kind, 0 where too few support it)."""
         own = edges
-        if self.values is not None:
-            own = _join(edges, self.values, "value", "pattern", "left")
+        if values is not None:
+            own = _join(edges, values, "value", "pattern", "left")
         else:
             own = edges.select("*", *(F.lit(0.0).alias(f"v{k}") for k in _KS))
         conf = own.select("pattern", *(F.when(F.col("kind") == k, 1.0).when(F.col("kind") >= 0, 0.0).otherwise(F.coalesce(f"v{k}", F.lit(0.0))).alias(f"c{k}") for k in _KS))
@@ -520,25 +543,26 @@ class _Graph:
 
 def _grown(docs: DataFrame, seeds: DataFrame, usable: DataFrame, count: int, confident: DataFrame | None, before: DataFrame | None, s: Settings) -> tuple[_Graph, list[DataFrame]]:
     """The scored graph of a round, and the staged tables that it is done with. Patterns wait while they are outnumbered by
-    estimate; those that can't be proven not to speak are let in, until none is."""
-    estimated = _estimated(docs, usable, count)
-    enough = F.col("n") >= SHARE * F.col("values")
-    chosen, waiting = (stage(estimated.filter(x), "patterns") for x in (enough, ~enough))
-    edges, old = seeds, [estimated]
+    estimate; those that can't be proven silent at every scoring are let in, until none is. The scores are those of a graph
+    with all edges of all usable patterns."""
+    chosen, waiting = _divided(docs, usable, count)
+    edges, old = seeds, []
     new = edges_of(docs, chosen, confident)
     while True:
         edges = stage(edges.unionByName(new.select("pattern", "value", F.lit(-1).alias("kind"))).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
         left = waiting.count()
         graph = _Graph(edges, before, s, waiting if left else None)
-        old += [chosen, waiting, edges, graph.patterns, graph.values]
+        old += [chosen, waiting, edges]
         if not left:
-            return graph, old
-        evidence = evidence_of(docs, waiting, graph.values, _slots(count)).select("pattern", "value", F.lit(-1).alias("kind"))
-        pairs = seeds.unionByName(evidence).join(waiting.select("pattern"), "pattern", "left_semi").groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
+            return graph, old + graph.staged
+        evidence = evidence_of(docs, waiting, graph.highest, _slots(count)).select("pattern", "value", F.lit(-1).alias("kind"))
+        pairs = stage(seeds.unionByName(evidence).join(waiting.select("pattern"), "pattern", "left_semi").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "evidence")
         chosen = stage(graph.speaking(pairs), "patterns")
+        old.append(pairs)
         if not chosen.count():
-            old.append(chosen)
-            return graph, old
+            graph.count(pairs)
+            return graph, old + [chosen] + graph.staged
+        old += graph.staged
         waiting = stage(waiting.join(chosen, "pattern", "left_anti"), "patterns")
         new = edges_of(docs, chosen, None)
 
@@ -547,7 +571,8 @@ def discover(docs: DataFrame, scanned: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, text_key, extra), staged: the discovered spans of each text that has any, as an array of (start, kind, stop).
 
     Each round reads the texts three times, for the number of values in each pattern, for the edges of what is known so far
-    and for the proof that patterns which wait can't speak, and twice more whenever some are let in; a last pass finds the places of the discovered values. The tokens of all texts are never kept.
+    and for the proof that patterns which wait can't speak, and twice more whenever some are let in; a last pass finds the
+    places of the discovered values. The tokens of all texts are never kept.
     """
     spark = docs.sparkSession
     seeds = scanned.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.value", "m.kind")
