@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on at a time; it bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
+#: The same for passes that keep several numbers for each byte.
+FINE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table. createDataFrame would make it of Python rows, for whose stage every executor starts a second Python
+    daemon with workers of its own, and keeps them."""
+    return spark.range(1).filter("false").select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seriesloom/{name}-{uuid.uuid4().hex}"
 
@@ -183,8 +191,9 @@ def bit_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def flags(words: np.ndarray) -> np.ndarray:
-    return np.unpackbits(words.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+def flagged(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the flags `at` (numbers not negative) are set; the filter stays packed, a bit a flag."""
+    return (words.astype("<i8", copy=False).view(np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) != 0
 
 
 def arrow_batches(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices, unstage, unused
+from .common import arrow_batches, by_key, byte_view, no_rows, shuffle_partitions, stage, text_slices, unstage, unused
 from .shingles import MinHash, distinct, shingle_hashes
 
 MATCHES = "doc_id long, item_id long, n_item long, n_common long, containment double"
@@ -150,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = Non
     s = s or Settings()
     spark = docs.sparkSession
     arrow_batches(spark)
-    out = spark.createDataFrame([], MATCHES)
+    out = no_rows(spark, MATCHES)
     built = indexes(benchmark, s)
     groups = sorted(r[0] for r in built.select("group").collect())
     for group in groups:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices, unused
+from .common import FINE_BYTES, arrow_batches, by_key, byte_view, shuffle_partitions, stage, text_slices, unused
 
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, s: Settings | None = None) -> Model:
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, size=FINE_BYTES):
             bucket, row = trigrams(data, offsets, s.bits)
             names, number = np.unique(np.array(rows.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             for i, name in enumerate(names.tolist()):
@@ -129,7 +129,7 @@ def _likelihoods(rows: DataFrame, model: Model, s: Settings, markup: bool, names
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part, data, offsets in text_slices(batches):
+        for part, data, offsets in text_slices(batches, size=FINE_BYTES):
             if markup:
                 data, offsets = byte_view(pa.array([_TAGS.sub(" ", t or "") for t in part.column("text").to_pylist()], pa.string()))
             ll, grams = shared.value.likelihoods(data, offsets, s)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bit_filter, byte_view, flags, by_key, shuffle_partitions, stage, text_slices, unstage
+from .common import arrow_batches, bit_filter, by_key, byte_view, flagged, shuffle_partitions, stage, text_slices, unstage
 from .graph import components
 from .shingles import MinHash, distinct, mix, shingle_hashes
 
@@ -283,9 +283,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(mark.alias("mark")), "mark", bits))
 
     def run(batches):
-        known = flags(shared.value)
         for batch in batches:
-            hit = known[batch.column("mark").to_numpy() & (bits - 1)]
+            hit = flagged(shared.value, batch.column("mark").to_numpy() & (bits - 1))
             if hit.any():
                 yield batch.filter(pa.array(hit)).select(["doc_id", "text_key", "text"])
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bit_filter, by_key, byte_view, flags, shuffle_partitions, stage, text_slices, unstage, unused
+from .common import FINE_BYTES, arrow_batches, bit_filter, by_key, byte_view, flagged, no_rows, shuffle_partitions, stage, text_slices, unstage, unused
 from .shingles import EXACT, U64, mix, word_hashes, word_spans
 
 #: The kinds in their order and the characters of their patterns.
@@ -208,10 +208,10 @@ class Filter:
     """The hashes whose lower part a bit filter knows."""
 
     def __init__(self, words: np.ndarray):
-        self.has = flags(words)
+        self.words = words
 
     def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
-        return self.has[(hashes & U64(BITS - 1)).astype(np.int64)] & (hashes != U64(0))
+        return flagged(self.words, (hashes & U64(BITS - 1)).astype(np.int64)) & (hashes != U64(0))
 
 
 def _found(words: Words, rows: pa.RecordBatch, chosen: np.ndarray, slots) -> tuple[np.ndarray, ...]:
@@ -243,7 +243,7 @@ def edges_of(docs: DataFrame, patterns: DataFrame, values: DataFrame | None) ->
 
     def run(batches):
         known, wanted = (Filter(x) for x in shared.value)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, size=FINE_BYTES):
             w = Words(data, offsets)
             if not len(w.starts):
                 continue
@@ -281,7 +281,7 @@ def evidence_of(docs: DataFrame, waiting: DataFrame, values: DataFrame, slots: i
 
     def run(batches):
         known, wanted, rates = (*(Filter(x) for x in shared.value[:2]), shared.value[2])
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, size=FINE_BYTES):
             w = Words(data, offsets)
             if not len(w.starts):
                 continue
@@ -333,7 +333,7 @@ def distinct_values(docs: DataFrame, patterns: DataFrame, slots: int) -> DataFra
 
     def run(batches):
         known, table = Filter(shared.value), np.zeros((slots, REGISTERS), np.uint8)
-        for _, data, offsets in text_slices(batches):
+        for _, data, offsets in text_slices(batches, size=FINE_BYTES):
             w = Words(data, offsets)
             if not len(w.starts):
                 continue
@@ -369,7 +369,7 @@ def places_of(docs: DataFrame, patterns: DataFrame, values: DataFrame) -> DataFr
 
     def run(batches):
         known, wanted = (Filter(x) for x in shared.value)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, size=FINE_BYTES):
             w = Words(data, offsets)
             if not len(w.starts):
                 continue
@@ -589,7 +589,7 @@ def discover(docs: DataFrame, scanned: DataFrame, s: Settings) -> DataFrame:
             break
         before = now
     if graph is None or not before[1]:
-        out = stage(spark.createDataFrame([], "doc_id long, text_key long, extra " + _NO_SPANS), "discovered")
+        out = stage(no_rows(spark, "doc_id long, text_key long, extra " + _NO_SPANS), "discovered")
     else:
         at = places_of(docs, graph.strong(), confident).join(confident, "value").join(graph.strong(), ["pattern", "kind"], "left_semi")
         hits = at.select("doc_id", "text_key", "start", "kind", "stop").distinct()

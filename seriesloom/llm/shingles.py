@@ -31,6 +31,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _table(base: int) -> np.ndarray:
+    out = np.full(STRETCH, base, U64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Bytes that are worked on at a time. base**i and base**-i are the product of an entry for the stretch and one for the place
+#: in it, so that the tables stay small however long a block is.
+STRETCH = 1 << 16
+_UP, _DOWN = _table(_BASE), _table(_BASE_INV)
+_STRETCH_UP, _STRETCH_DOWN = pow(_BASE, STRETCH, 2**64), pow(_BASE_INV, STRETCH, 2**64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -62,10 +75,18 @@ EXACT = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, dtype=U
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """A hash of each string, the same wherever it stands; A-Z count as lower case unless `values` says otherwise."""
-    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    up, down = 1, np.empty(len(data) // STRETCH + 1, U64)
+    down[0], down[1:] = 1, _STRETCH_DOWN
+    down = np.multiply.accumulate(down)
+    for i in range(0, len(data), STRETCH):
+        part = total[i + 1 : i + 1 + STRETCH]
+        np.multiply(values[data[i : i + STRETCH]], _UP[: len(part)], out=part)
+        part *= U64(up)
+        np.cumsum(part, out=part)
+        part += total[i]
+        up = up * _STRETCH_UP % 2**64
+    return mix((total[ends] - total[starts]) * (down[starts // STRETCH] * _DOWN[starts % STRETCH]) + (ends - starts).astype(U64))
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
